@@ -112,19 +112,27 @@ def _solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def strategy_sweep(top_ports: DataFrame, rationalities=None, honeypots=None,
                    rationality_step: float = 0.1, max_honeypots: float = 7.0,
-                   honeypot_step: float = 1.0) -> DataFrame:
+                   honeypot_step: float = 1.0, partitions: int | None = None) -> DataFrame:
     """Best honeypot shares for each (day, rationality, budget) grid point.
 
     Each port row of a day is expanded over the grid by a generator (no join), then one
     pandas call per grid point solves the allocation (``operators.allocation``). A group
     holds one day's top ports only (<= 25 rows); parallelism is days x grid points.
+
+    The input is a few bytes per group but each group costs milliseconds of solver time,
+    so the rows are hash-partitioned on the group keys into ``partitions`` (default: the
+    cluster's default parallelism) explicitly; size-based coalescing would otherwise pack
+    every group into one task. The grouped call reuses that partitioning (no second exchange).
     Output: day, rationality, num_of_hp, reward, used_hps, feasible, port, prob.
     """
     rats = rationalities if rationalities is not None else grid_values(1.0, rationality_step)
     hps = honeypots if honeypots is not None else grid_values(max_honeypots, honeypot_step)
     rows = top_ports.select("day", F.col("port").cast("int").alias("port"), "attack_probability",
                             "open_port_probability", F.inline(_grid_array(rats, hps)))
-    return rows.groupBy("day", "rationality", "num_of_hp").applyInPandas(_solve_group, SWEEP_SCHEMA)
+    keys = ["day", "rationality", "num_of_hp"]
+    if partitions is None:
+        partitions = top_ports.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(partitions, *keys).groupBy(*keys).applyInPandas(_solve_group, SWEEP_SCHEMA)
 
 
 def sweep_records(sweep: DataFrame) -> DataFrame:

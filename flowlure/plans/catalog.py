@@ -56,7 +56,24 @@ def _r(col: str):
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-split a scan that yields fewer input splits than the cluster has cores.
+
+    A table stored as one small row group is read by one task; every per-row derivation
+    on it would then run single-threaded. Large tables already scan in many splits and
+    pass through unchanged (no extra shuffle).
+    """
+    cores = spark_cores(df)
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
+
+
+def spark_cores(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
 
 
 def raw_flows(spark, sf_dir) -> DataFrame:
@@ -68,13 +85,22 @@ def wide_flows(spark, sf_dir) -> DataFrame:
     return prepare_flows(raw_flows(spark, sf_dir), config.NETWORK_PREFIX_WIDE)
 
 
-def eval_flows(spark, sf_dir, drop_null_port: bool = True) -> DataFrame:
-    """Evaluation-job flows: prefix 147.32.8, NULL ports dropped by default."""
-    return prepare_flows(raw_flows(spark, sf_dir), config.NETWORK_PREFIX_EVAL, drop_null_port=drop_null_port)
+def eval_base(spark, sf_dir) -> DataFrame:
+    """Evaluation-job flows: prefix 147.32.8, NULL ports kept."""
+    return prepare_flows(raw_flows(spark, sf_dir), config.NETWORK_PREFIX_EVAL)
+
+
+def without_null_ports(flows: DataFrame) -> DataFrame:
+    return flows.where(F.col("Dport").isNotNull())
+
+
+def eval_flows(spark, sf_dir) -> DataFrame:
+    """Evaluation-job flows with NULL ports dropped."""
+    return without_null_ports(eval_base(spark, sf_dir))
 
 
-def strategies(spark, sf_dir) -> DataFrame:
-    return strategy_long(strategy_records_fixture(eval_flows(spark, sf_dir, drop_null_port=False)))
+def strategies_from(base: DataFrame) -> DataFrame:
+    return strategy_long(strategy_records_fixture(base))
 
 
 def stats(spark, sf_dir) -> DataFrame:
@@ -82,7 +108,7 @@ def stats(spark, sf_dir) -> DataFrame:
 
 
 def q_prepared_flows(spark, sf):
-    return eval_flows(spark, sf, drop_null_port=False)
+    return eval_base(spark, sf)
 
 
 def q_daily_attackers(spark, sf):
@@ -124,7 +150,7 @@ def q_daily_statistics_document(spark, sf):
 
 
 def q_strategy_long(spark, sf):
-    return strategies(spark, sf)
+    return strategies_from(eval_base(spark, sf))
 
 
 def q_unused_hosts_per_port(spark, sf):
@@ -135,35 +161,37 @@ def q_port_status_share(spark, sf):
     return port_status_share(attacker_flows(wide_flows(spark, sf)))
 
 
-def _assignment(spark, sf, mode="prob", setup=None):
-    strat = strategies(spark, sf)
+def _evaluation(spark, sf, mode="prob", setup=None):
+    """(attacker flows, strategies, assignment) sharing one flow lineage."""
+    base = eval_base(spark, sf)
+    att = attacker_flows(without_null_ports(base))
+    strat = strategies_from(base)
     if setup is not None:
         strat = strat.where((F.round("rationality", 6) == setup[0]) & (F.round("num_of_hp", 6) == setup[1]))
-    return honeypot_assignment(attacker_flows(eval_flows(spark, sf)), strat, mode=mode)
+    return att, strat, honeypot_assignment(att, strat, mode=mode)
 
 
 def q_honeypot_assignment(spark, sf):
-    return _assignment(spark, sf)
+    return _evaluation(spark, sf)[2]
 
 
 def q_first_detection(spark, sf):
-    return first_detection(_assignment(spark, sf))
+    return first_detection(_evaluation(spark, sf)[2])
 
 
 def q_saved_flows(spark, sf):
-    att = attacker_flows(eval_flows(spark, sf))
-    return saved_flows(att, first_detection(honeypot_assignment(att, strategies(spark, sf))))
+    att, _, assignment = _evaluation(spark, sf)
+    return saved_flows(att, first_detection(assignment))
 
 
 def q_strategy_setup_summary(spark, sf):
-    att = attacker_flows(eval_flows(spark, sf))
-    strat = strategies(spark, sf)
-    saved = saved_flows(att, first_detection(honeypot_assignment(att, strat)))
+    att, strat, assignment = _evaluation(spark, sf)
+    saved = saved_flows(att, first_detection(assignment))
     return strategy_setup_summary(saved, strat).select("rationality", "num_of_hp", _r("avg_saved_ratio"), _r("stddev"))
 
 
 def q_port_hit_summary(spark, sf):
-    hits = port_hit_summary(_assignment(spark, sf, mode="ratio", setup=HIT_SUMMARY_SETUP))
+    hits = port_hit_summary(_evaluation(spark, sf, mode="ratio", setup=HIT_SUMMARY_SETUP)[2])
     return hits.select("Dport", _r("avg_hit"), _r("stddev"))
 
 
@@ -172,11 +200,11 @@ def q_fixed_strategy_daily_results(spark, sf):
 
 
 def q_strategy_pair_comparison(spark, sf):
-    return strategy_pair_comparison(eval_flows(spark, sf, drop_null_port=False), rate=PAIR_SAMPLE_RATE)
+    return strategy_pair_comparison(eval_base(spark, sf), rate=PAIR_SAMPLE_RATE)
 
 
 def q_source_sample(spark, sf):
-    return source_sample(eval_flows(spark, sf, drop_null_port=False), rate=PAIR_SAMPLE_RATE)
+    return source_sample(eval_base(spark, sf), rate=PAIR_SAMPLE_RATE)
 
 
 def q_top_attacked_ports(spark, sf):
@@ -188,7 +216,7 @@ def q_strategy_parameter_grid(spark, sf):
 
 
 def q_strategy_scoring(spark, sf):
-    scored = strategy_scoring(strategies(spark, sf), stats(spark, sf))
+    scored = strategy_scoring(strategies_from(eval_base(spark, sf)), stats(spark, sf))
     return scored.select("strategy_id", "day", "rationality", "num_of_hp", "ports", _r("reward"),
                          _r("used_hps"), "feasible")
 

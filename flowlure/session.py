@@ -30,6 +30,8 @@ def local_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        # Call-site capture costs several driver<->JVM round trips per column function.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
