@@ -13,6 +13,7 @@ from flowlure import config
 from flowlure.functions import flow_roll, place_by_ratio
 from flowlure.operators.flows import attacker_flows, sample_sources
 from flowlure.operators.ports import port_status_share
+from flowlure.operators.timeline import count_after
 
 
 def strategy_map(mapping: dict) -> Column:
@@ -54,10 +55,9 @@ def fixed_strategy_daily_results(flows: DataFrame, strategy: dict | None = None,
                .select("DstAddr", "Dport", "ts", "day", "SrcAddr").distinct())
     firsts = hp_rows.groupBy("SrcAddr").agg(F.min("ts").alias("ts"))
     first_hits = hp_rows.join(firsts, ["SrcAddr", "ts"], "left_semi")
-    open_rows = base.where(~F.col("candidate")).select("SrcAddr", "day", F.col("ts").alias("open_ts"))
-    saved = (first_hits.join(open_rows, ["SrcAddr", "day"])
-             .where(F.col("ts") < F.col("open_ts"))
-             .groupBy("day").agg(F.count("*").alias("saved_count")))
+    open_rows = base.where(~F.col("candidate")).select("SrcAddr", "day", "ts")
+    per_hit = count_after(first_hits, open_rows, ["SrcAddr", "day"], ["SrcAddr", "day", "DstAddr", "Dport", "ts"])
+    saved = per_hit.groupBy("day").agg(F.sum("later").alias("saved_count"))
     hp_counts = first_hits.groupBy("day").agg(F.count("*").alias("hp_count"))
     return saved.join(hp_counts, "day").select("day", "saved_count", "hp_count")
 

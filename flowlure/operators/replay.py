@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flowlure import config
 from flowlure.functions import flow_roll, place_by_probability, place_by_ratio
 from flowlure.operators.ports import unused_hosts_per_port
+from flowlure.operators.timeline import count_after
 
 
 def _round(c, digits=config.GRID_DECIMALS):
@@ -84,14 +85,15 @@ def saved_flows(att_flows: DataFrame, detections: DataFrame) -> DataFrame:
     """Per (strategy, day): open-port attacker flows strictly after the source's detection.
 
     ``total_attacks`` counts all open-port attacker flows of the day. Strategies with no
-    saved flow on a day have no row. Output: strategy_id, day, saved, total_attacks, saved_ratio.
+    saved flow on a day have no row. The per-detection count uses ``count_after``
+    (minute pre-aggregation), so a source with many flows is not paired with every
+    strategy flow by flow. Output: strategy_id, day, saved, total_attacks, saved_ratio.
     """
     open_flows = att_flows.where(~F.col("unused")).select("SrcAddr", "day", "ts")
     totals = open_flows.groupBy("day").agg(F.count("*").alias("total_attacks"))
-    det = detections.select("SrcAddr", "day", "strategy_id", "detection_time")
-    saved = (open_flows.join(det, ["SrcAddr", "day"])
-             .where(F.col("ts") > F.col("detection_time"))
-             .groupBy("strategy_id", "day").agg(F.count("*").alias("saved")))
+    per_detection = count_after(detections, open_flows, ["SrcAddr", "day"],
+                                ["SrcAddr", "day", "strategy_id"], mark_time="detection_time")
+    saved = per_detection.groupBy("strategy_id", "day").agg(F.sum("later").alias("saved"))
     return (saved.join(totals, "day")
             .select("strategy_id", "day", "saved", "total_attacks",
                     (F.col("saved") / F.col("total_attacks")).alias("saved_ratio")))
