@@ -27,9 +27,11 @@ from flowlure.operators.ports import (
     unused_hosts_per_port,
 )
 from flowlure.operators.replay import (
+    detections,
     first_detection,
     honeypot_assignment,
     port_hit_summary,
+    record_low_flows,
     saved_flows,
     strategy_long,
     strategy_setup_summary,
@@ -38,9 +40,9 @@ from flowlure.operators.replay import (
 __all__ = [
     "attack_probability_daily", "attacker_flows", "average_attackers_per_port",
     "average_production_ratio", "daily_attackers", "daily_port_statistics",
-    "daily_statistics_document", "first_detection", "fixed_strategy_daily_results",
+    "daily_statistics_document", "detections", "first_detection", "fixed_strategy_daily_results",
     "honeypot_assignment", "open_port_probability_daily", "port_hit_summary",
-    "port_status_share", "prepare_flows", "production_ratio_daily", "sample_sources",
+    "port_status_share", "prepare_flows", "production_ratio_daily", "record_low_flows", "sample_sources",
     "saved_flows", "source_sample", "strategy_long", "strategy_pair_comparison",
     "strategy_parameter_grid", "strategy_scoring", "strategy_setup_summary",
     "strategy_sweep", "sweep_records", "top_attacked_ports", "unused_hosts_per_port",

@@ -8,13 +8,13 @@ source after the detection are "saved".
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlure import config
 from flowlure.functions import flow_roll, place_by_probability, place_by_ratio
 from flowlure.operators.ports import unused_hosts_per_port
-from flowlure.operators.timeline import count_after
+from flowlure.operators.timeline import count_after, minute_of_day
 
 
 def _round(c, digits=config.GRID_DECIMALS):
@@ -54,6 +54,10 @@ def honeypot_assignment(att_flows: DataFrame, strategies: DataFrame, mode: str =
     """
     cand = att_flows.where(F.col("unused")).select(
         "SrcAddr", "DstAddr", "Dport", "ts", "day", flow_roll(seed).alias("roll"))
+    return _assign(cand, att_flows, strategies, mode)
+
+
+def _assign(cand: DataFrame, att_flows: DataFrame, strategies: DataFrame, mode: str) -> DataFrame:
     strat = strategies.select(F.col("application_date").alias("day"), F.col("port").alias("Dport"),
                               "strategy_id", "prob")
     if mode == "prob":
@@ -69,6 +73,42 @@ def honeypot_assignment(att_flows: DataFrame, strategies: DataFrame, mode: str =
                     *extra, rule.alias("is_hp")))
 
 
+def record_low_flows(candidates: DataFrame, keys=("SrcAddr", "day", "Dport")) -> DataFrame:
+    """Flows whose roll is below every roll seen earlier in their (source, day, port).
+
+    A first hit under any threshold rule that is fixed per (day, port, strategy) (``roll
+    <= prob``, or ``ratio <= prob`` / ``roll < prob / ratio``) is always such a flow: an
+    earlier flow with a roll no higher would qualify too. Exact, in two levels so no
+    window holds a hot group: record lows within each minute of the day, then only those
+    below the minimum roll of all earlier minutes (a window over per-minute minima, at
+    most 1,440 rows per group). Rows with a NULL time pass through unchanged.
+    """
+    keys = list(keys)
+    timed = candidates.where(F.col("ts").isNotNull()).withColumn("_m", minute_of_day(F.col("ts")))
+    within = Window.partitionBy(*keys, "_m").orderBy("ts", "roll").rowsBetween(Window.unboundedPreceding, -1)
+    local_lows = (timed.withColumn("_prev", F.min("roll").over(within))
+                  .where(F.col("_prev").isNull() | (F.col("roll") < F.col("_prev"))).drop("_prev"))
+    per_minute = timed.groupBy(*keys, "_m").agg(F.min("roll").alias("_mr"))
+    earlier = Window.partitionBy(*keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    floors = per_minute.select(*keys, "_m", F.min("_mr").over(earlier).alias("_floor"))
+    lows = (local_lows.join(floors, [*keys, "_m"])
+            .where(F.col("_floor").isNull() | (F.col("roll") < F.col("_floor")))
+            .drop("_m", "_floor"))
+    return lows.unionByName(candidates.where(F.col("ts").isNull()))
+
+
+def detections(att_flows: DataFrame, strategies: DataFrame, mode: str = "prob",
+               seed: str = config.ROLL_SEED) -> DataFrame:
+    """First hit per (source, strategy, day), equal to ``first_detection(honeypot_assignment(...))``.
+
+    The strategy fan-out runs over :func:`record_low_flows` only, so a source with many
+    flows on a port contributes about log(n) rows per minute instead of n rows per strategy.
+    """
+    cand = record_low_flows(att_flows.where(F.col("unused")).select(
+        "SrcAddr", "DstAddr", "Dport", "ts", "day", flow_roll(seed).alias("roll")))
+    return first_detection(_assign(cand, att_flows, strategies, mode))
+
+
 def first_detection(assignment: DataFrame) -> DataFrame:
     """Earliest honeypot hit per (source, strategy, day).
 

@@ -22,7 +22,7 @@ from flowlure.operators import (
     daily_attackers,
     daily_port_statistics,
     daily_statistics_document,
-    first_detection,
+    detections,
     fixed_strategy_daily_results,
     honeypot_assignment,
     open_port_probability_daily,
@@ -176,17 +176,18 @@ def q_honeypot_assignment(spark, sf):
 
 
 def q_first_detection(spark, sf):
-    return first_detection(_evaluation(spark, sf)[2])
+    att, strat, _ = _evaluation(spark, sf)
+    return detections(att, strat)
 
 
 def q_saved_flows(spark, sf):
-    att, _, assignment = _evaluation(spark, sf)
-    return saved_flows(att, first_detection(assignment))
+    att, strat, _ = _evaluation(spark, sf)
+    return saved_flows(att, detections(att, strat))
 
 
 def q_strategy_setup_summary(spark, sf):
-    att, strat, assignment = _evaluation(spark, sf)
-    saved = saved_flows(att, first_detection(assignment))
+    att, strat, _ = _evaluation(spark, sf)
+    saved = saved_flows(att, detections(att, strat))
     return strategy_setup_summary(saved, strat).select("rationality", "num_of_hp", _r("avg_saved_ratio"), _r("stddev"))
 
 

@@ -28,3 +28,34 @@ def test_count_after_matches_brute_force(spark):
              .where(F.col("e.ts") > F.col("m.ts")).groupBy("SrcAddr", "strategy_id").count())
     want = {(r.SrcAddr, r.strategy_id): r["count"] for r in brute.collect()}
     assert got == want and ("a", "null") not in got
+
+
+def test_record_low_reduction_is_exact(spark):
+    from conftest import SF_CHECK
+    from flowlure.operators import attacker_flows, detections, first_detection, honeypot_assignment
+    from flowlure.plans import catalog
+
+    base = catalog.eval_base(spark, SF_CHECK)
+    att = attacker_flows(catalog.without_null_ports(base))
+    strat = catalog.strategies_from(base)
+    for mode in ("prob", "ratio"):
+        fast = sorted(tuple(r) for r in detections(att, strat, mode=mode).collect())
+        slow = sorted(tuple(r) for r in first_detection(honeypot_assignment(att, strat, mode=mode)).collect())
+        assert fast == slow, mode
+
+
+def test_record_lows_of_a_hot_group(spark):
+    from flowlure.operators import record_low_flows
+
+    rng = random.Random(3)
+    base = dt.datetime(2024, 1, 2, 10, 0)
+    rows = [("s", dt.date(2024, 1, 2), 22, base + dt.timedelta(seconds=rng.randint(0, 3600)), rng.random())
+            for _ in range(5000)]
+    df = spark.createDataFrame(rows, "SrcAddr string, day date, Dport int, ts timestamp_ntz, roll double")
+    lows = sorted((r.ts, r.roll) for r in record_low_flows(df).collect())
+    best, want = 2.0, []
+    for ts, roll in sorted((r[3], r[4]) for r in rows):
+        if roll < best:
+            want.append((ts, roll))
+            best = roll
+    assert lows == want and len(lows) < 50
