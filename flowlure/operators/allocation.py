@@ -24,12 +24,14 @@ _INV_PHI = (np.sqrt(5.0) - 1.0) / 2.0
 def _fill(r: np.ndarray, lo: np.ndarray, up: np.ndarray, budget: float) -> np.ndarray:
     """h = clip(k r, lo, up) with sum(h) = budget, or all at ``up`` when they fit."""
     top = np.where(r > 0, up, lo)
-    if top.sum() <= budget:
-        return top
     pos = r > 0
+    if top.sum() <= budget or not pos.any():
+        return top
     bps = np.unique(np.concatenate([lo[pos] / r[pos], up[pos] / r[pos]]))
     sums = np.clip(np.outer(bps, r), lo, up).sum(axis=1)
     idx = int(np.searchsorted(sums, budget))
+    if idx >= len(bps):
+        return top
     if idx == 0:
         k0, s0 = 0.0, float(lo.sum())
     else:

@@ -78,3 +78,11 @@ def test_budget_above_caps_uses_caps():
     p, s = np.array([0.2, 0.3]), np.array([0.5, 0.6])
     h, reward, used, feasible = solve_allocation(p, s, 5.0, 0.3)
     assert feasible and np.allclose(h, 1 - s)
+
+
+def test_unattacked_ports_only():
+    # No port is attacked: nothing to weigh, shares stay at their lower bounds.
+    h, reward, used, feasible = solve_allocation([0.0, 0.0, 0.0], [0.2, 0.1, 0.0], 1.0, 0.5)
+    assert feasible and np.all(h >= 1e-4) and used <= 1.0 + 1e-12
+    h, reward, used, feasible = solve_allocation([0.0, 0.0], [0.2, 0.1], 1.0, 0.0)
+    assert feasible and reward == 0.0
