@@ -95,19 +95,32 @@ def strategy_scoring(strategies: DataFrame, stats: DataFrame,
          & (F.col("used_hps") <= F.col("num_of_hp") + 1e-9)).alias("feasible"))
 
 
-def _solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    from flowlure.operators.allocation import solve_allocation
+def _group_solver(hmin: float):
+    """The per-group pandas function, shipped to Python workers by value.
 
-    pdf = pdf.sort_values("port")
-    budget = float(pdf["num_of_hp"].iloc[0])
-    rat = float(pdf["rationality"].iloc[0])
-    h, reward, used, feasible = solve_allocation(
-        pdf["attack_probability"].to_numpy(float), pdf["open_port_probability"].to_numpy(float),
-        budget, rat, config.MIN_HONEYPOT_SHARE)
-    return pd.DataFrame({
-        "day": pdf["day"].to_numpy(), "rationality": rat, "num_of_hp": budget, "reward": reward,
-        "used_hps": used, "feasible": feasible, "port": pdf["port"].astype("int32").to_numpy(), "prob": h,
-    })
+    The solver module is registered for pickling by value, so workers need numpy and
+    pandas only, not this package on their path.
+    """
+    from pyspark import cloudpickle
+
+    from flowlure.operators import allocation
+
+    cloudpickle.register_pickle_by_value(allocation)
+    solve = allocation.solve_allocation
+
+    def solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("port")
+        budget = float(pdf["num_of_hp"].iloc[0])
+        rat = float(pdf["rationality"].iloc[0])
+        h, reward, used, feasible = solve(
+            pdf["attack_probability"].to_numpy(float), pdf["open_port_probability"].to_numpy(float),
+            budget, rat, hmin)
+        return pd.DataFrame({
+            "day": pdf["day"].to_numpy(), "rationality": rat, "num_of_hp": budget, "reward": reward,
+            "used_hps": used, "feasible": feasible, "port": pdf["port"].astype("int32").to_numpy(), "prob": h,
+        })
+
+    return solve_group
 
 
 def strategy_sweep(top_ports: DataFrame, rationalities=None, honeypots=None,
@@ -132,7 +145,8 @@ def strategy_sweep(top_ports: DataFrame, rationalities=None, honeypots=None,
     keys = ["day", "rationality", "num_of_hp"]
     if partitions is None:
         partitions = top_ports.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(partitions, *keys).groupBy(*keys).applyInPandas(_solve_group, SWEEP_SCHEMA)
+    solver = _group_solver(config.MIN_HONEYPOT_SHARE)
+    return rows.repartition(partitions, *keys).groupBy(*keys).applyInPandas(solver, SWEEP_SCHEMA)
 
 
 def sweep_records(sweep: DataFrame) -> DataFrame:
