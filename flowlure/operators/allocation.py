@@ -97,7 +97,7 @@ def solve_allocation(p, s, budget: float, rat: float, hmin: float = 1e-4):
         x1, x2 = b - _INV_PHI * (b - a), a + _INV_PHI * (b - a)
         f1, f2 = value(x1)[0], value(x2)[0]
         for _ in range(GOLDEN_ITERATIONS):
-            if b - a <= 1e-15 * max(1.0, b):
+            if b - a <= 1e-11 * b:
                 break
             if f1 <= f2:
                 b, x2, f2 = x2, x1, f1

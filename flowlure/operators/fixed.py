@@ -6,6 +6,8 @@ column looked up per row: no join and no broadcast at all.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,12 @@ def fixed_prob(mapping: dict, port="Dport") -> Column:
     return F.try_element_at(strategy_map(mapping), F.col(port))
 
 
+def _keep(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
 def fixed_strategy_daily_results(flows: DataFrame, strategy: dict | None = None, tag: str = "mixed",
-                                 **thresholds) -> DataFrame:
+                                 share: Callable[[DataFrame, str], DataFrame] = _keep, **thresholds) -> DataFrame:
     """Yearly replay of one fixed map; per day ``saved_count`` and ``hp_count``.
 
     * Candidate = flow not answered. Per (day, port) the candidate share is
@@ -42,19 +48,22 @@ def fixed_strategy_daily_results(flows: DataFrame, strategy: dict | None = None,
       key (source, time), so no window holds a hot source.
     * ``saved_count``: pairs (first-hit row, later open-port flow of the same source and
       day); ``hp_count``: first-hit rows of the day. Days without a saved pair have no row.
+
+    ``share(df, name)`` receives the intermediates read by several branches (attacker
+    flows, first-hit rows); the plan layer passes a function that writes them once.
     """
     strategy = config.MIXED_STRATEGY if strategy is None else strategy
-    att = attacker_flows(flows, **thresholds)
+    att = share(attacker_flows(flows, **thresholds), "fixed-attacker-flows")
     base = att.select("DstAddr", "Dport", "State", "ts", (~F.col("answered")).alias("candidate"),
                       "day", "SrcAddr").distinct()
-    share = (port_status_share(att).where(F.col("candidate"))
+    shares = (port_status_share(att).where(F.col("candidate"))
              .select("day", "Dport", F.col("share").alias("ratio")))
     hp_rows = (base.where(F.col("candidate") & fixed_prob(strategy).isNotNull())
-               .join(share, ["day", "Dport"])
+               .join(shares, ["day", "Dport"])
                .where(place_by_ratio("ratio", fixed_prob(strategy), flow_roll(tag)))
                .select("DstAddr", "Dport", "ts", "day", "SrcAddr").distinct())
     firsts = hp_rows.groupBy("SrcAddr").agg(F.min("ts").alias("ts"))
-    first_hits = hp_rows.join(firsts, ["SrcAddr", "ts"], "left_semi")
+    first_hits = share(hp_rows.join(firsts, ["SrcAddr", "ts"], "left_semi"), "fixed-first-hits")
     open_rows = base.where(~F.col("candidate")).select("SrcAddr", "day", "ts")
     per_hit = count_after(first_hits, open_rows, ["SrcAddr", "day"], ["SrcAddr", "day", "DstAddr", "Dport", "ts"])
     saved = per_hit.groupBy("day").agg(F.sum("later").alias("saved_count"))
@@ -64,7 +73,8 @@ def fixed_strategy_daily_results(flows: DataFrame, strategy: dict | None = None,
 
 def strategy_pair_comparison(flows: DataFrame, strategy_a: dict | None = None, strategy_b: dict | None = None,
                              rate: float = config.SOURCE_SAMPLE_RATE, seed=config.SAMPLE_SEED,
-                             tags: tuple[str, str] = ("mixed", "always_on"), **thresholds) -> DataFrame:
+                             tags: tuple[str, str] = ("mixed", "always_on"),
+                             share: Callable[[DataFrame, str], DataFrame] = _keep, **thresholds) -> DataFrame:
     """Two fixed maps side by side on a keyed sample of sources; per day the saved flows of each.
 
     Per day: attackers, unused hosts per port ``n`` and hosts of the day ``N`` are
@@ -75,7 +85,7 @@ def strategy_pair_comparison(flows: DataFrame, strategy_a: dict | None = None, s
     """
     strategy_a = config.MIXED_STRATEGY if strategy_a is None else strategy_a
     strategy_b = config.ALWAYS_ON_STRATEGY if strategy_b is None else strategy_b
-    att = attacker_flows(sample_sources(flows, rate, seed), **thresholds)
+    att = share(attacker_flows(sample_sources(flows, rate, seed), **thresholds), "pair-attacker-flows")
     unused_counts = (att.where(F.col("unused")).groupBy("day", "Dport")
                      .agg(F.count_distinct("DstAddr").alias("unused_hosts")))
     hosts = att.groupBy("day").agg(F.count_distinct("DstAddr").alias("total_hosts"))

@@ -41,6 +41,7 @@ from flowlure.operators import (
     top_attacked_ports,
     unused_hosts_per_port,
 )
+from flowlure.plans.persist import materialize
 from flowlure.sources.events import flows_from_events, strategy_records_fixture
 
 ROUND = 9
@@ -161,10 +162,16 @@ def q_port_status_share(spark, sf):
     return port_status_share(attacker_flows(wide_flows(spark, sf)))
 
 
-def _evaluation(spark, sf, mode="prob", setup=None):
-    """(attacker flows, strategies, assignment) sharing one flow lineage."""
+def _evaluation(spark, sf, mode="prob", setup=None, shared=False):
+    """(attacker flows, strategies, assignment) sharing one flow lineage.
+
+    With ``shared`` the attacker flows are written once to the checkpoint folder, since
+    detection, totals and saved-flow counts all read them.
+    """
     base = eval_base(spark, sf)
     att = attacker_flows(without_null_ports(base))
+    if shared:
+        att = materialize(att, "attacker-flows")
     strat = strategies_from(base)
     if setup is not None:
         strat = strat.where((F.round("rationality", 6) == setup[0]) & (F.round("num_of_hp", 6) == setup[1]))
@@ -181,13 +188,13 @@ def q_first_detection(spark, sf):
 
 
 def q_saved_flows(spark, sf):
-    att, strat, _ = _evaluation(spark, sf)
-    return saved_flows(att, detections(att, strat))
+    att, strat, _ = _evaluation(spark, sf, shared=True)
+    return saved_flows(att, materialize(detections(att, strat), "detections"))
 
 
 def q_strategy_setup_summary(spark, sf):
-    att, strat, _ = _evaluation(spark, sf)
-    saved = saved_flows(att, detections(att, strat))
+    att, strat, _ = _evaluation(spark, sf, shared=True)
+    saved = saved_flows(att, materialize(detections(att, strat), "detections"))
     return strategy_setup_summary(saved, strat).select("rationality", "num_of_hp", _r("avg_saved_ratio"), _r("stddev"))
 
 
@@ -197,11 +204,11 @@ def q_port_hit_summary(spark, sf):
 
 
 def q_fixed_strategy_daily_results(spark, sf):
-    return fixed_strategy_daily_results(wide_flows(spark, sf))
+    return fixed_strategy_daily_results(wide_flows(spark, sf), share=materialize)
 
 
 def q_strategy_pair_comparison(spark, sf):
-    return strategy_pair_comparison(eval_base(spark, sf), rate=PAIR_SAMPLE_RATE)
+    return strategy_pair_comparison(eval_base(spark, sf), rate=PAIR_SAMPLE_RATE, share=materialize)
 
 
 def q_source_sample(spark, sf):

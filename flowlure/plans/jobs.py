@@ -13,7 +13,6 @@ Run from the command line: ``python -m flowlure.plans.jobs <job> --help``.
 from __future__ import annotations
 
 import argparse
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +39,7 @@ from flowlure.operators import (
     sweep_records,
     top_attacked_ports,
 )
-from flowlure.session import checkpoint_dir
+from flowlure.plans.persist import materialize
 from flowlure.sources import (
     read_daily_statistics,
     read_flow_archive,
@@ -54,17 +53,6 @@ from flowlure.sources import (
 )
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet under the session's checkpoint folder and read it back."""
-    spark = df.sparkSession
-    root = checkpoint_dir(spark)
-    if not root:
-        raise RuntimeError("spark.checkpoint.dir is not set; materialize needs a shared folder")
-    path = f"{root.rstrip('/')}/flowlure/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def _flows(spark, archive, days=None, start=None, end=None, prefix=config.NETWORK_PREFIX_WIDE,
            drop_null_port=False) -> DataFrame:
     return prepare_flows(read_flow_archive(spark, archive, days=days, start=start, end=end), prefix,
@@ -113,7 +101,8 @@ def strategy_evaluation_job(spark, archive, strategies, output, rationality=None
     flows = _flows(spark, archive, prefix=config.NETWORK_PREFIX_EVAL, drop_null_port=True, **window)
     att = materialize(attacker_flows(flows), "attacker-flows")
     strat = strategy_long(read_strategies(spark, strategies), rationality=rationality, num_of_hp=num_of_hp)
-    saved = materialize(saved_flows(att, detections(att, strat, mode=mode)), "saved-flows")
+    det = materialize(detections(att, strat, mode=mode), "detections")
+    saved = materialize(saved_flows(att, det), "saved-flows")
     write_csv(saved, f"{output}_daily")
     write_csv(strategy_setup_summary(saved, strat), output)
 
@@ -128,13 +117,14 @@ def port_evaluation_job(spark, archive, strategies, output, rationality, num_of_
 
 def fixed_strategy_job(spark, archive, output, strategy=None, tag="mixed", **window):
     """Yearly replay of a fixed port map -> parquet (day, saved_count, hp_count)."""
-    write_parquet(fixed_strategy_daily_results(_flows(spark, archive, **window), strategy=strategy, tag=tag), output)
+    write_parquet(fixed_strategy_daily_results(_flows(spark, archive, **window), strategy=strategy, tag=tag,
+                                               share=materialize), output)
 
 
 def pair_comparison_job(spark, archive, output, rate=config.SOURCE_SAMPLE_RATE, **window):
     """Mixed vs always-on fixed maps on a keyed source sample -> CSV per day."""
     flows = _flows(spark, archive, prefix=config.NETWORK_PREFIX_EVAL, **window)
-    write_csv(strategy_pair_comparison(flows, rate=rate), output)
+    write_csv(strategy_pair_comparison(flows, rate=rate, share=materialize), output)
 
 
 JOBS = {
