@@ -151,16 +151,19 @@ def strategy_setup_summary(saved: DataFrame, strategies: DataFrame) -> DataFrame
                  F.stddev_samp("saved_ratio").alias("stddev")))
 
 
-def port_hit_summary(assignment: DataFrame, detections: DataFrame | None = None) -> DataFrame:
+def port_hit_summary(assignment: DataFrame, detections: DataFrame | None = None,
+                     share=lambda df, name: df) -> DataFrame:
     """Per port: hits at the moment of detection counted per day; mean and stddev over days.
 
     All assigned flows at the detection time count (ties included). The match is an
     equi-join on (source, strategy, day, time), so a hot source spreads over its times.
+    ``share(df, name)`` receives the hit rows, read twice (detection and match).
     Output: Dport, avg_hit, stddev (sorted by avg_hit descending).
     """
+    hp = share(assignment.where(F.col("is_hp")).select("SrcAddr", "strategy_id", "day", "ts", "Dport"), "hit-rows")
     if detections is None:
-        detections = first_detection(assignment)
-    hits = assignment.where(F.col("is_hp")).join(
+        detections = first_detection(hp.withColumn("is_hp", F.lit(True)))
+    hits = hp.join(
         detections.withColumnRenamed("detection_time", "ts"), ["SrcAddr", "strategy_id", "day", "ts"], "left_semi")
     per_day = hits.groupBy("Dport", "day").agg(F.count("*").alias("hit"))
     return (per_day.groupBy("Dport")

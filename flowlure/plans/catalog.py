@@ -64,12 +64,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-split a scan that yields fewer input splits than the cluster has cores.
 
     A table stored as one small row group is read by one task; every per-row derivation
-    on it would then run single-threaded. Large tables already scan in many splits and
-    pass through unchanged (no extra shuffle).
+    on it would then run single-threaded, and filters would be pushed below a plain
+    repartition back into that one task. Such a table is at most a few row groups, so its
+    split form is cached (bounded size); later filters run on the cached partitions in
+    parallel. Large tables already scan in many splits and pass through unchanged.
     """
     cores = spark_cores(df)
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
+        return df.repartition(cores, key).cache()
     return df
 
 
@@ -199,7 +201,8 @@ def q_strategy_setup_summary(spark, sf):
 
 
 def q_port_hit_summary(spark, sf):
-    hits = port_hit_summary(_evaluation(spark, sf, mode="ratio", setup=HIT_SUMMARY_SETUP)[2])
+    hits = port_hit_summary(_evaluation(spark, sf, mode="ratio", setup=HIT_SUMMARY_SETUP, shared=True)[2],
+                            share=materialize)
     return hits.select("Dport", _r("avg_hit"), _r("stddev"))
 
 

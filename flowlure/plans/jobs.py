@@ -112,7 +112,7 @@ def port_evaluation_job(spark, archive, strategies, output, rationality, num_of_
     flows = _flows(spark, archive, prefix=config.NETWORK_PREFIX_EVAL, drop_null_port=True, **window)
     att = attacker_flows(flows)
     strat = strategy_long(read_strategies(spark, strategies), rationality=rationality, num_of_hp=num_of_hp)
-    write_csv(port_hit_summary(honeypot_assignment(att, strat, mode="ratio")), output)
+    write_csv(port_hit_summary(honeypot_assignment(att, strat, mode="ratio"), share=materialize), output)
 
 
 def fixed_strategy_job(spark, archive, output, strategy=None, tag="mixed", **window):
