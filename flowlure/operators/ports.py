@@ -40,15 +40,21 @@ def average_attackers_per_port(flows: DataFrame, limit: int = 100, **thresholds)
     return _top(means, "average_count", limit)
 
 
+def _host_ports(flows: DataFrame) -> DataFrame:
+    """Distinct (day, port, host): one shuffle (map-side de-duplicated) feeding both the
+    per-port and the per-day host counts, which then read the same exchange."""
+    return flows.select("day", "Dport", "DstAddr").distinct()
+
+
 def open_port_probability_daily(flows: DataFrame) -> DataFrame:
     """Per (day, port): hosts with an open (not unused) flow on the port / active hosts of the day.
 
     Active hosts are hosts with any open flow that day. Rows with a NULL port or NULL state
     are dropped. Output: day, Dport, host_count, active_hosts, ratio.
     """
-    open_flows = flows.where(F.col("Dport").isNotNull() & ~F.col("unused"))
-    active = open_flows.groupBy("day").agg(F.count_distinct("DstAddr").alias("active_hosts"))
-    per_port = open_flows.groupBy("day", "Dport").agg(F.count_distinct("DstAddr").alias("host_count"))
+    hosts = _host_ports(flows.where(F.col("Dport").isNotNull() & ~F.col("unused")))
+    active = hosts.groupBy("day").agg(F.count_distinct("DstAddr").alias("active_hosts"))
+    per_port = hosts.groupBy("day", "Dport").agg(F.count("*").alias("host_count"))
     return (per_port.join(active, "day")
             .select("day", "Dport", "host_count", "active_hosts",
                     (F.col("host_count") / F.col("active_hosts")).alias("ratio"))
@@ -57,9 +63,9 @@ def open_port_probability_daily(flows: DataFrame) -> DataFrame:
 
 def production_ratio_daily(flows: DataFrame) -> DataFrame:
     """Per (day, port): hosts answering on the port / hosts answering on any port that day."""
-    prod = flows.where(F.col("answered"))
-    totals = prod.groupBy("day").agg(F.count_distinct("DstAddr").alias("total_hosts"))
-    per_port = prod.groupBy("day", "Dport").agg(F.count_distinct("DstAddr").alias("host_count"))
+    hosts = _host_ports(flows.where(F.col("answered")))
+    totals = hosts.groupBy("day").agg(F.count_distinct("DstAddr").alias("total_hosts"))
+    per_port = hosts.groupBy("day", "Dport").agg(F.count("*").alias("host_count"))
     return (per_port.join(totals, "day")
             .select("day", "Dport", "host_count", "total_hosts",
                     (F.col("host_count") / F.col("total_hosts")).alias("ratio")))

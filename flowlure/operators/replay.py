@@ -79,22 +79,23 @@ def record_low_flows(candidates: DataFrame, keys=("SrcAddr", "day", "Dport")) ->
     A first hit under any threshold rule that is fixed per (day, port, strategy) (``roll
     <= prob``, or ``ratio <= prob`` / ``roll < prob / ratio``) is always such a flow: an
     earlier flow with a roll no higher would qualify too. Exact, in two levels so no
-    window holds a hot group: record lows within each minute of the day, then only those
-    below the minimum roll of all earlier minutes (a window over per-minute minima, at
-    most 1,440 rows per group). Rows with a NULL time pass through unchanged.
+    window holds a hot group: record lows within each minute of the day (the only shuffle
+    of the candidates), then only those below the minimum roll of all earlier minutes (a
+    window over per-minute minima, at most 1,440 rows per group; the minimum of a minute is
+    always one of its record lows). Rows with a NULL time are kept.
     """
     keys = list(keys)
-    timed = candidates.where(F.col("ts").isNotNull()).withColumn("_m", minute_of_day(F.col("ts")))
+    cand = candidates.withColumn("_m", minute_of_day(F.col("ts")))
     within = Window.partitionBy(*keys, "_m").orderBy("ts", "roll").rowsBetween(Window.unboundedPreceding, -1)
-    local_lows = (timed.withColumn("_prev", F.min("roll").over(within))
-                  .where(F.col("_prev").isNull() | (F.col("roll") < F.col("_prev"))).drop("_prev"))
-    per_minute = timed.groupBy(*keys, "_m").agg(F.min("roll").alias("_mr"))
+    local = (cand.withColumn("_prev", F.min("roll").over(within))
+             .where(F.col("ts").isNull() | F.col("_prev").isNull() | (F.col("roll") < F.col("_prev")))
+             .drop("_prev"))
+    per_minute = local.where(F.col("_m").isNotNull()).groupBy(*keys, "_m").agg(F.min("roll").alias("_mr"))
     earlier = Window.partitionBy(*keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
     floors = per_minute.select(*keys, "_m", F.min("_mr").over(earlier).alias("_floor"))
-    lows = (local_lows.join(floors, [*keys, "_m"])
+    return (local.join(floors, [*keys, "_m"], "left")
             .where(F.col("_floor").isNull() | (F.col("roll") < F.col("_floor")))
             .drop("_m", "_floor"))
-    return lows.unionByName(candidates.where(F.col("ts").isNull()))
 
 
 def detections(att_flows: DataFrame, strategies: DataFrame, mode: str = "prob",
