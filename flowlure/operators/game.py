@@ -30,11 +30,11 @@ def grid_values(stop: float, step: float, decimals: int = config.GRID_DECIMALS)
     return [round(i * step, decimals) for i in range(count + 1)]
 
 
-def _grid_array(rationalities, honeypots):
-    return F.array(*[
-        F.struct(F.lit(float(r)).alias("rationality"), F.lit(float(h)).alias("num_of_hp"))
-        for r in rationalities for h in honeypots
-    ])
+def _grid_rows(rationalities, honeypots):
+    """Generator expanding the literal grid into (rationality, num_of_hp) columns."""
+    items = ", ".join(f"named_struct('rationality', {float(r)!r}D, 'num_of_hp', {float(h)!r}D)"
+                      for r in rationalities for h in honeypots)
+    return F.expr(f"inline(array({items}))")
 
 
 def strategy_parameter_grid(stats: DataFrame, rationality_step: float = 0.1, max_honeypots: float = 7.0,
@@ -47,7 +47,7 @@ def strategy_parameter_grid(stats: DataFrame, rationality_step: float = 0.1, max
     """
     rats = rationalities if rationalities is not None else grid_values(1.0, rationality_step)
     hps = honeypots if honeypots is not None else grid_values(max_honeypots, honeypot_step)
-    return stats.select("day").distinct().select("day", F.inline(_grid_array(rats, hps)))
+    return stats.select("day").distinct().select("day", _grid_rows(rats, hps))
 
 
 def top_attacked_ports(stats: DataFrame, num: int = config.TOP_PORTS) -> DataFrame:
@@ -141,7 +141,7 @@ def strategy_sweep(top_ports: DataFrame, rationalities=None, honeypots=None,
     rats = rationalities if rationalities is not None else grid_values(1.0, rationality_step)
     hps = honeypots if honeypots is not None else grid_values(max_honeypots, honeypot_step)
     rows = top_ports.select("day", F.col("port").cast("int").alias("port"), "attack_probability",
-                            "open_port_probability", F.inline(_grid_array(rats, hps)))
+                            "open_port_probability", _grid_rows(rats, hps))
     keys = ["day", "rationality", "num_of_hp"]
     if partitions is None:
         partitions = top_ports.sparkSession.sparkContext.defaultParallelism

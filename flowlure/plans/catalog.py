@@ -42,7 +42,7 @@ from flowlure.operators import (
     unused_hosts_per_port,
 )
 from flowlure.plans.persist import materialize
-from flowlure.sources.events import flows_from_events, strategy_records_fixture
+from flowlure.sources.events import EVENTS_SCHEMA, flows_from_events, strategy_records_fixture
 
 ROUND = 9
 # Source sampling rate of the registered pair comparison: the test tables hold ~135
@@ -57,7 +57,7 @@ def _r(col: str):
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
+    return spread(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"), "event_id")
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -20,29 +20,37 @@ FIXTURE_HONEYPOTS = (1.0, 2.0)
 FIXTURE_RATIONALITIES = (0.2, 0.8)
 
 
-def _s(c):
-    return c.cast("string")
+EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "\\'") + "'"
+
+
+def _flow_expressions() -> list[str]:
+    ports = ", ".join(_q(p) for p in PORT_CHOICES)
+    states = " ".join(f"WHEN event_type = {_q(k)} THEN {_q(v)}" for k, v in STATE_BY_EVENT_TYPE.items())
+    return [
+        "CASE WHEN event_id % 13 = 0 THEN 'udp' ELSE 'tcp' END AS Proto",
+        "CASE WHEN user_id % 10 = 0 THEN concat('147.32.80.', CAST(user_id % 250 AS STRING))"
+        " ELSE concat('10.0.', CAST(user_id % 7 AS STRING), '.', CAST(user_id % 250 AS STRING)) END AS SrcAddr",
+        "CASE WHEN event_id % 11 = 0 THEN concat('192.168.0.', CAST(event_id % 20 AS STRING))"
+        " WHEN event_id % 12 = 0 THEN concat('147.32.1.', CAST(event_id % 20 AS STRING))"
+        " ELSE concat('147.32.8', CAST(event_id % 4 AS STRING), '.', CAST((event_id * 31) % 20 AS STRING)) END AS DstAddr",
+        f"element_at(array({ports}), try_cast(regexp_extract(props, '(\\\\d+)', 1) AS INT) % 12 + 1) AS Dport",
+        "CASE WHEN event_id % 17 = 0 THEN 'INT' WHEN event_id % 19 = 0 THEN 'S_SR' WHEN event_id % 23 = 0 THEN 'A_SPA_RA' "
+        f"{states} ELSE {_q(STATE_OTHERWISE)} END AS State",
+        "date_format(ts, 'yyyy/MM/dd HH:mm:ss.SSSSSS') AS StartTime",
+    ]
 
 
 def flows_from_events(events: DataFrame) -> DataFrame:
-    """events(event_id, ts, user_id, event_type, props) -> raw flows (all STRING columns)."""
-    e, u = F.col("event_id"), F.col("user_id")
-    k = F.regexp_extract("props", r"(\d+)", 1).try_cast("int")
-    state = F.when(e % 17 == 0, "INT").when(e % 19 == 0, "S_SR").when(e % 23 == 0, "A_SPA_RA")
-    for event_type, value in STATE_BY_EVENT_TYPE.items():
-        state = state.when(F.col("event_type") == event_type, value)
-    state = state.otherwise(STATE_OTHERWISE)
-    return events.select(
-        F.when(e % 13 == 0, "udp").otherwise("tcp").alias("Proto"),
-        F.when(u % 10 == 0, F.concat(F.lit("147.32.80."), _s(u % 250)))
-        .otherwise(F.concat(F.lit("10.0."), _s(u % 7), F.lit("."), _s(u % 250))).alias("SrcAddr"),
-        F.when(e % 11 == 0, F.concat(F.lit("192.168.0."), _s(e % 20)))
-        .when(e % 12 == 0, F.concat(F.lit("147.32.1."), _s(e % 20)))
-        .otherwise(F.concat(F.lit("147.32.8"), _s(e % 4), F.lit("."), _s((e * 31) % 20))).alias("DstAddr"),
-        F.element_at(F.array(*[F.lit(p) for p in PORT_CHOICES]), k % 12 + 1).alias("Dport"),
-        state.alias("State"),
-        F.date_format("ts", "yyyy/MM/dd HH:mm:ss.SSSSSS").alias("StartTime"),
-    )
+    """events(event_id, ts, user_id, event_type, props) -> raw flows (all STRING columns).
+
+    One flow per event: protocol, addresses, port and state follow fixed arithmetic rules
+    on the ids (shared with the SQL oracle); StartTime is the event time as archive text.
+    """
+    return events.selectExpr(*_flow_expressions())
 
 
 def strategy_records_fixture(flows: DataFrame) -> DataFrame:
@@ -52,17 +60,13 @@ def strategy_records_fixture(flows: DataFrame) -> DataFrame:
     the day after its date) and ``stg`` = [(port, prob)] with
     ``prob = (0.3 for even ports, 0.6 for odd) * num_of_hp / 2``. Built by projection only.
     """
-    setups = F.array(*[
-        F.struct(F.lit(float(r)).alias("rationality"), F.lit(float(h)).alias("num_of_hp"))
-        for r in FIXTURE_RATIONALITIES for h in FIXTURE_HONEYPOTS
-    ])
+    setups = ", ".join(f"named_struct('rationality', {float(r)!r}D, 'num_of_hp', {float(h)!r}D)"
+                       for r in FIXTURE_RATIONALITIES for h in FIXTURE_HONEYPOTS)
     days = flows.where(F.col("day").isNotNull()).select("day").distinct()
-    records = days.select(F.date_sub("day", 1).alias("d"), F.inline(setups))
-    hp = F.col("num_of_hp")
-    stg = F.array(*[
-        F.struct(F.lit(p).alias("port"), (F.lit(0.3 if p % 2 == 0 else 0.6) * hp / F.lit(2.0)).alias("prob"))
-        for p in FIXTURE_PORTS
-    ])
+    records = days.select(F.date_sub("day", 1).alias("d"), F.expr(f"inline(array({setups}))"))
+    stg = F.expr("array(" + ", ".join(
+        f"named_struct('port', {p}, 'prob', {0.3 if p % 2 == 0 else 0.6!r}D * num_of_hp / 2.0D)"
+        for p in FIXTURE_PORTS) + ")")
     return records.select(
         F.date_format("d", "yyyy-MM-dd").alias("date"),
         "rationality", "num_of_hp",
