@@ -95,11 +95,12 @@ def strategy_scoring(strategies: DataFrame, stats: DataFrame,
          & (F.col("used_hps") <= F.col("num_of_hp") + 1e-9)).alias("feasible"))
 
 
-def _group_solver(hmin: float):
-    """The per-group pandas function, shipped to Python workers by value.
+def _group_solver(hmin: float, budgets: list[float]):
+    """The per-(day, rationality) pandas function, shipped to Python workers by value.
 
-    The solver module is registered for pickling by value, so workers need numpy and
-    pandas only, not this package on their path.
+    It solves every budget of the grid for the group's ports (at most ``TOP_PORTS`` rows
+    in, ``len(budgets) x ports`` rows out). The solver module is registered for pickling
+    by value, so workers need numpy and pandas only, not this package on their path.
     """
     from pyspark import cloudpickle
 
@@ -107,18 +108,22 @@ def _group_solver(hmin: float):
 
     cloudpickle.register_pickle_by_value(allocation)
     solve = allocation.solve_allocation
+    budgets = [float(b) for b in budgets]
 
     def solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("port")
-        budget = float(pdf["num_of_hp"].iloc[0])
         rat = float(pdf["rationality"].iloc[0])
-        h, reward, used, feasible = solve(
-            pdf["attack_probability"].to_numpy(float), pdf["open_port_probability"].to_numpy(float),
-            budget, rat, hmin)
-        return pd.DataFrame({
-            "day": pdf["day"].to_numpy(), "rationality": rat, "num_of_hp": budget, "reward": reward,
-            "used_hps": used, "feasible": feasible, "port": pdf["port"].astype("int32").to_numpy(), "prob": h,
-        })
+        p = pdf["attack_probability"].to_numpy(float)
+        s = pdf["open_port_probability"].to_numpy(float)
+        day, port = pdf["day"].to_numpy(), pdf["port"].astype("int32").to_numpy()
+        parts = []
+        for budget in budgets:
+            h, reward, used, feasible = solve(p, s, budget, rat, hmin)
+            parts.append(pd.DataFrame({
+                "day": day, "rationality": rat, "num_of_hp": budget, "reward": reward,
+                "used_hps": used, "feasible": feasible, "port": port, "prob": h,
+            }))
+        return pd.concat(parts, ignore_index=True)
 
     return solve_group
 
@@ -128,24 +133,25 @@ def strategy_sweep(top_ports: DataFrame, rationalities=None, honeypots=None,
                    honeypot_step: float = 1.0, partitions: int | None = None) -> DataFrame:
     """Best honeypot shares for each (day, rationality, budget) grid point.
 
-    Each port row of a day is expanded over the grid by a generator (no join), then one
-    pandas call per grid point solves the allocation (``operators.allocation``). A group
-    holds one day's top ports only (<= 25 rows); parallelism is days x grid points.
+    Each port row of a day is expanded over the rationality grid by a generator (no join);
+    one pandas call per (day, rationality) solves the allocation for every budget of the
+    grid (``operators.allocation``). A group holds one day's top ports only (<= 25 rows).
 
-    The input is a few bytes per group but each group costs milliseconds of solver time,
-    so the rows are hash-partitioned on the group keys into ``partitions`` (default: the
-    cluster's default parallelism) explicitly; size-based coalescing would otherwise pack
-    every group into one task. The grouped call reuses that partitioning (no second exchange).
+    The input is a few bytes per group but each group costs solver time, so the rows are
+    hash-partitioned on the group keys into ``partitions`` (default: the cluster's default
+    parallelism) explicitly; size-based coalescing would otherwise pack every group into
+    one task. The grouped call reuses that partitioning (no second exchange).
     Output: day, rationality, num_of_hp, reward, used_hps, feasible, port, prob.
     """
     rats = rationalities if rationalities is not None else grid_values(1.0, rationality_step)
     hps = honeypots if honeypots is not None else grid_values(max_honeypots, honeypot_step)
+    rat_values = ", ".join(f"{float(r)!r}D" for r in rats)
     rows = top_ports.select("day", F.col("port").cast("int").alias("port"), "attack_probability",
-                            "open_port_probability", _grid_rows(rats, hps))
-    keys = ["day", "rationality", "num_of_hp"]
+                            "open_port_probability", F.expr(f"explode(array({rat_values}))").alias("rationality"))
+    keys = ["day", "rationality"]
     if partitions is None:
         partitions = top_ports.sparkSession.sparkContext.defaultParallelism
-    solver = _group_solver(config.MIN_HONEYPOT_SHARE)
+    solver = _group_solver(config.MIN_HONEYPOT_SHARE, hps)
     return rows.repartition(partitions, *keys).groupBy(*keys).applyInPandas(solver, SWEEP_SCHEMA)
 
 
