@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlure.operators.flows import attacker_flows, daily_attackers
+from flowlure.operators.flows import daily_attackers
+
+
+def attacked_ports(flows: DataFrame, attackers: DataFrame) -> DataFrame:
+    """Distinct (source, day, port) of attackers.
+
+    The flows are de-duplicated to (source, day, port) first (map-side partial
+    aggregation), so the semi-join with the attacker table moves triples, not flows:
+    when a year of attackers is too large to broadcast, this is what gets shuffled.
+    """
+    triples = flows.select("SrcAddr", "day", "Dport").distinct()
+    return triples.join(attackers.select("SrcAddr", "day"), ["SrcAddr", "day"], "left_semi")
 
 
 def attack_probability_daily(flows: DataFrame, drop_null_port: bool = False, **thresholds) -> DataFrame:
@@ -17,8 +28,7 @@ def attack_probability_daily(flows: DataFrame, drop_null_port: bool = False, **t
     """
     attackers = daily_attackers(flows, **thresholds)
     totals = attackers.groupBy("day").agg(F.count("*").alias("total_attackers"))
-    per_port = (attacker_flows(flows, attackers)
-                .groupBy("day", "Dport").agg(F.count_distinct("SrcAddr").alias("attackers")))
+    per_port = attacked_ports(flows, attackers).groupBy("day", "Dport").agg(F.count("*").alias("attackers"))
     if drop_null_port:
         per_port = per_port.where(F.col("Dport").isNotNull())
     return (per_port.join(totals, "day")
@@ -34,8 +44,8 @@ def _top(df: DataFrame, value: str, limit: int) -> DataFrame:
 
 def average_attackers_per_port(flows: DataFrame, limit: int = 100, **thresholds) -> DataFrame:
     """Mean over days (on which the port occurs) of distinct attackers per port; top ``limit``."""
-    per_day = (attacker_flows(flows, **thresholds)
-               .groupBy("day", "Dport").agg(F.count_distinct("SrcAddr").alias("attackers")))
+    per_day = (attacked_ports(flows, daily_attackers(flows, **thresholds))
+               .groupBy("day", "Dport").agg(F.count("*").alias("attackers")))
     means = per_day.groupBy("Dport").agg(F.avg("attackers").alias("average_count"))
     return _top(means, "average_count", limit)
 
