@@ -1,7 +1,8 @@
 """Times every registered query; prints one JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_QUERIES (comma list, default all), BENCH_REPEAT (default 1, best of N).
+BENCH_QUERIES (comma list, default all), BENCH_REPEAT (default 2: best of N runs,
+so one-off scheduling noise of a shared machine does not dominate sub-second stages).
 Each query runs to completion into Spark's ``noop`` sink: every row is produced, none is
 collected to the driver.
 """
@@ -20,7 +21,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "1")))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
     from flowlure.plans.catalog import QUERIES
     from flowlure.session import local_session
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from flowlure import config
 from flowlure.operators import (

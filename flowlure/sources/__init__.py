@@ -2,7 +2,6 @@
 
 from flowlure.sources.events import (
     flows_from_events,
-    strategy_long_fixture,
     strategy_records_fixture,
 )
 from flowlure.sources.flows import RAW_FLOW_SCHEMA, read_flow_archive
@@ -17,7 +16,7 @@ from flowlure.sources.results import write_csv, write_parquet
 
 __all__ = [
     "RAW_FLOW_SCHEMA", "flows_from_events", "read_daily_statistics", "read_flow_archive",
-    "read_statistics_document", "read_strategies", "strategy_long_fixture",
+    "read_statistics_document", "read_strategies",
     "strategy_records_fixture", "write_csv", "write_daily_statistics", "write_parquet",
     "write_statistics_lines", "write_strategies",
 ]

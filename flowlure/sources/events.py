@@ -74,10 +74,3 @@ def strategy_records_fixture(flows: DataFrame) -> DataFrame:
         F.aggregate(stg, F.lit(0.0), lambda acc, x: acc + x["prob"]).alias("used_hps"),
         stg.alias("stg"),
     )
-
-
-def strategy_long_fixture(flows: DataFrame) -> DataFrame:
-    """Long form of :func:`strategy_records_fixture` (see ``operators.replay.strategy_long``)."""
-    from flowlure.operators.replay import strategy_long
-
-    return strategy_long(strategy_records_fixture(flows))
