@@ -38,7 +38,7 @@ from flowlure.operators import (
     sweep_records,
     top_attacked_ports,
 )
-from flowlure.plans.persist import materialize
+from flowlure.plans.persist import ScratchTables
 from flowlure.sources import (
     read_daily_statistics,
     read_flow_archive,
@@ -77,9 +77,10 @@ def port_reports_job(spark, archive, output, limit=100, **window):
 
 def daily_statistics_job(spark, archive, output, **window):
     """Daily port statistics -> NDJSON records and per-day nested lines."""
-    stats = materialize(daily_port_statistics(_flows(spark, archive, **window)), "daily-statistics")
-    write_daily_statistics(stats, f"{output}/records")
-    write_statistics_lines(daily_statistics_document(stats), f"{output}/document")
+    with ScratchTables(spark) as keep:
+        stats = keep(daily_port_statistics(_flows(spark, archive, **window)), "daily-statistics")
+        write_daily_statistics(stats, f"{output}/records")
+        write_statistics_lines(daily_statistics_document(stats), f"{output}/document")
 
 
 def strategy_generation_job(spark, statistics, output, document=False, rationality_step=0.1,
@@ -98,32 +99,36 @@ def strategy_evaluation_job(spark, archive, strategies, output, rationality=None
     Also writes the per-(strategy, day) saved rows next to it (``<output>_daily``).
     """
     flows = _flows(spark, archive, prefix=config.NETWORK_PREFIX_EVAL, drop_null_port=True, **window)
-    att = materialize(attacker_flows(flows), "attacker-flows")
     strat = strategy_long(read_strategies(spark, strategies), rationality=rationality, num_of_hp=num_of_hp)
-    det = materialize(detections(att, strat, mode=mode), "detections")
-    saved = materialize(saved_flows(att, det), "saved-flows")
-    write_csv(saved, f"{output}_daily")
-    write_csv(strategy_setup_summary(saved, strat), output)
+    with ScratchTables(spark) as keep:
+        att = keep(attacker_flows(flows), "attacker-flows")
+        det = keep(detections(att, strat, mode=mode), "detections")
+        saved = keep(saved_flows(att, det), "saved-flows")
+        write_csv(saved, f"{output}_daily")
+        write_csv(strategy_setup_summary(saved, strat), output)
 
 
 def port_evaluation_job(spark, archive, strategies, output, rationality, num_of_hp, **window):
     """Ports hit at detection time (ratio placement) for one setup -> CSV."""
     flows = _flows(spark, archive, prefix=config.NETWORK_PREFIX_EVAL, drop_null_port=True, **window)
-    att = attacker_flows(flows)
     strat = strategy_long(read_strategies(spark, strategies), rationality=rationality, num_of_hp=num_of_hp)
-    write_csv(port_hit_summary(honeypot_assignment(att, strat, mode="ratio"), share=materialize), output)
+    with ScratchTables(spark) as keep:
+        att = keep(attacker_flows(flows), "attacker-flows")
+        write_csv(port_hit_summary(honeypot_assignment(att, strat, mode="ratio"), share=keep), output)
 
 
 def fixed_strategy_job(spark, archive, output, strategy=None, tag="mixed", **window):
     """Yearly replay of a fixed port map -> parquet (day, saved_count, hp_count)."""
-    write_parquet(fixed_strategy_daily_results(_flows(spark, archive, **window), strategy=strategy, tag=tag,
-                                               share=materialize), output)
+    with ScratchTables(spark) as keep:
+        write_parquet(fixed_strategy_daily_results(_flows(spark, archive, **window), strategy=strategy, tag=tag,
+                                                   share=keep), output)
 
 
 def pair_comparison_job(spark, archive, output, rate=config.SOURCE_SAMPLE_RATE, **window):
     """Mixed vs always-on fixed maps on a keyed source sample -> CSV per day."""
     flows = _flows(spark, archive, prefix=config.NETWORK_PREFIX_EVAL, **window)
-    write_csv(strategy_pair_comparison(flows, rate=rate, share=materialize), output)
+    with ScratchTables(spark) as keep:
+        write_csv(strategy_pair_comparison(flows, rate=rate, share=keep), output)
 
 
 JOBS = {
@@ -151,6 +156,7 @@ def main(argv=None) -> None:
     ap.add_argument("--start"), ap.add_argument("--end")
     ap.add_argument("--rationality", type=float), ap.add_argument("--num-of-hp", type=float)
     ap.add_argument("--rate", type=float, default=config.SOURCE_SAMPLE_RATE)
+    ap.add_argument("--mode", choices=["prob", "ratio"], default="prob", help="placement rule for evaluation")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"flowlure-{a.job}").getOrCreate()
     window = {"days": a.days.split(",") if a.days else None, "start": a.start, "end": a.end}
@@ -158,7 +164,8 @@ def main(argv=None) -> None:
     if job == "strategy-generation":
         strategy_generation_job(spark, a.statistics, a.output, document=a.document)
     elif job == "strategy-evaluation":
-        strategy_evaluation_job(spark, a.archive, a.strategies, a.output, a.rationality, a.num_of_hp, **window)
+        strategy_evaluation_job(spark, a.archive, a.strategies, a.output, a.rationality, a.num_of_hp,
+                                mode=a.mode, **window)
     elif job == "port-evaluation":
         port_evaluation_job(spark, a.archive, a.strategies, a.output, a.rationality, a.num_of_hp, **window)
     elif job == "pair-comparison":

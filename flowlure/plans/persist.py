@@ -27,3 +27,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{root.rstrip('/')}/flowlure-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+class ScratchTables:
+    """Materialise intermediates for one job and delete exactly those tables afterwards.
+
+    ``with ScratchTables(spark) as keep: att = keep(df, "attacker-flows"); ...`` — on exit
+    the folders written through ``keep`` are removed with the cluster's file system API,
+    so a 100 TB job does not leave its intermediates behind. Use only around code that
+    has finished all actions on the kept tables (e.g. after the job's writes).
+    """
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        root = ensure_checkpoint_dir(self.spark)
+        path = f"{root.rstrip('/')}/flowlure-tables/{name}-{uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.parquet(path)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *exc) -> None:
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        self.paths.clear()

@@ -43,3 +43,14 @@ def test_fixed_and_pair_jobs(spark, archive, tmp_path):
     days = {r.day.isoformat() for r in spark.read.parquet(f"{out}/attack").select("day").distinct().collect()}
     assert days == {"2024-01-02", "2024-01-03"}
     jobs.port_reports_job(spark, archive, f"{out}/reports")
+
+
+def test_scratch_tables_are_removed(spark, tmp_path):
+    from flowlure.plans.persist import ScratchTables
+
+    with ScratchTables(spark) as keep:
+        df = keep(spark.range(10), "probe")
+        assert df.count() == 10
+        paths = list(keep.paths)
+        assert all(os.path.isdir(p.replace("file:", "")) for p in paths)
+    assert not any(os.path.exists(p.replace("file:", "")) for p in paths)
