@@ -22,22 +22,30 @@ _INV_PHI = (np.sqrt(5.0) - 1.0) / 2.0
 
 
 def _fill(r: np.ndarray, lo: np.ndarray, up: np.ndarray, budget: float) -> np.ndarray:
-    """h = clip(k r, lo, up) with sum(h) = budget, or all at ``up`` when they fit."""
-    top = np.where(r > 0, up, lo)
+    """h = clip(k r, lo, up) with sum(h) = budget, or all at ``up`` when they fit.
+
+    sum(h) is piecewise linear in k: port j starts rising at lo_j / r_j (slope + r_j) and
+    stops at up_j / r_j (slope - r_j). Sorting those breakpoints gives the sum at each of
+    them by accumulating slopes; k follows exactly from the segment that holds the budget.
+    """
     pos = r > 0
+    top = np.where(pos, up, lo)
     if top.sum() <= budget or not pos.any():
         return top
-    bps = np.unique(np.concatenate([lo[pos] / r[pos], up[pos] / r[pos]]))
-    sums = np.clip(np.outer(bps, r), lo, up).sum(axis=1)
+    rp = r[pos]
+    bps = np.concatenate([lo[pos] / rp, up[pos] / rp])
+    order = np.argsort(bps, kind="stable")
+    bps = bps[order]
+    slopes = np.cumsum(np.concatenate([rp, -rp])[order])
+    sums = lo.sum() + np.concatenate([[0.0], np.cumsum(slopes[:-1] * np.diff(bps))])
     idx = int(np.searchsorted(sums, budget))
     if idx >= len(bps):
         return top
     if idx == 0:
-        k0, s0 = 0.0, float(lo.sum())
+        k = bps[0]
     else:
-        k0, s0 = float(bps[idx - 1]), float(sums[idx - 1])
-    k1, s1 = float(bps[idx]), float(sums[idx])
-    k = k1 if s1 == s0 else k0 + (budget - s0) * (k1 - k0) / (s1 - s0)
+        slope = slopes[idx - 1]
+        k = bps[idx] if slope <= 0 else bps[idx - 1] + (budget - sums[idx - 1]) / slope
     return np.clip(k * r, lo, up)
 
 
@@ -97,7 +105,7 @@ def solve_allocation(p, s, budget: float, rat: float, hmin: float = 1e-4):
         x1, x2 = b - _INV_PHI * (b - a), a + _INV_PHI * (b - a)
         f1, f2 = value(x1)[0], value(x2)[0]
         for _ in range(GOLDEN_ITERATIONS):
-            if b - a <= 1e-11 * b:
+            if b - a <= 1e-10 * b:
                 break
             if f1 <= f2:
                 b, x2, f2 = x2, x1, f1
