@@ -84,11 +84,17 @@ def daily_statistics_job(spark, archive, output, **window):
 
 
 def strategy_generation_job(spark, statistics, output, document=False, rationality_step=0.1,
-                            max_honeypots=7.0, honeypot_step=1.0, top=config.TOP_PORTS):
-    """Statistics (NDJSON records, or the nested document) -> strategy sweep -> NDJSON strategies."""
+                            max_honeypots=7.0, honeypot_step=1.0, top=config.TOP_PORTS,
+                            rationalities=None, honeypots=None):
+    """Statistics (NDJSON records, or the nested document) -> strategy sweep -> NDJSON strategies.
+
+    The grid is 0..1 by ``rationality_step`` x 0..``max_honeypots`` by ``honeypot_step``
+    unless explicit ``rationalities`` / ``honeypots`` lists are given (e.g. one fixed point).
+    """
     stats = read_statistics_document(spark, statistics) if document else read_daily_statistics(spark, statistics)
-    sweep = strategy_sweep(top_attacked_ports(stats, top), rationality_step=rationality_step,
-                           max_honeypots=max_honeypots, honeypot_step=honeypot_step)
+    sweep = strategy_sweep(top_attacked_ports(stats, top), rationalities=rationalities, honeypots=honeypots,
+                           rationality_step=rationality_step, max_honeypots=max_honeypots,
+                           honeypot_step=honeypot_step)
     write_strategies(sweep_records(sweep), output)
 
 
@@ -157,12 +163,19 @@ def main(argv=None) -> None:
     ap.add_argument("--rationality", type=float), ap.add_argument("--num-of-hp", type=float)
     ap.add_argument("--rate", type=float, default=config.SOURCE_SAMPLE_RATE)
     ap.add_argument("--mode", choices=["prob", "ratio"], default="prob", help="placement rule for evaluation")
+    ap.add_argument("--rationality-step", type=float, default=0.1)
+    ap.add_argument("--max-honeypots", type=float, default=7.0)
+    ap.add_argument("--honeypot-step", type=float, default=1.0)
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"flowlure-{a.job}").getOrCreate()
     window = {"days": a.days.split(",") if a.days else None, "start": a.start, "end": a.end}
     job = a.job
     if job == "strategy-generation":
-        strategy_generation_job(spark, a.statistics, a.output, document=a.document)
+        strategy_generation_job(spark, a.statistics, a.output, document=a.document,
+                                rationality_step=a.rationality_step, max_honeypots=a.max_honeypots,
+                                honeypot_step=a.honeypot_step,
+                                rationalities=[a.rationality] if a.rationality is not None else None,
+                                honeypots=[a.num_of_hp] if a.num_of_hp is not None else None)
     elif job == "strategy-evaluation":
         strategy_evaluation_job(spark, a.archive, a.strategies, a.output, a.rationality, a.num_of_hp,
                                 mode=a.mode, **window)

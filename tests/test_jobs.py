@@ -54,3 +54,21 @@ def test_scratch_tables_are_removed(spark, tmp_path):
         paths = list(keep.paths)
         assert all(os.path.isdir(p.replace("file:", "")) for p in paths)
     assert not any(os.path.exists(p.replace("file:", "")) for p in paths)
+
+
+def test_command_line(archive, tmp_path):
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, PYTHONPATH=repo)
+    out = str(tmp_path / "cli-stats")
+    subprocess.run([sys.executable, "-m", "flowlure.plans.jobs", "daily-statistics", "--archive", archive,
+                    "--output", out, "--days", "2024-1-2,2024-1-3"],
+                   check=True, env=env, cwd=str(tmp_path), timeout=600, capture_output=True)
+    assert os.path.isdir(f"{out}/records") and os.path.isdir(f"{out}/document")
+    strategies = str(tmp_path / "cli-strategies")
+    subprocess.run([sys.executable, "-m", "flowlure.plans.jobs", "strategy-generation", "--statistics",
+                    f"{out}/records", "--output", strategies, "--rationality", "0.5", "--num-of-hp", "1"],
+                   check=True, env=env, cwd=str(tmp_path), timeout=600, capture_output=True)
+    assert any(name.endswith(".json") for name in os.listdir(strategies))
