@@ -116,11 +116,15 @@ def port_status_share(att_flows: DataFrame) -> DataFrame:
             .withColumn("share", F.col("host_count") / F.col("total")))
 
 
-def daily_port_statistics(flows: DataFrame, **thresholds) -> DataFrame:
+def daily_port_statistics(flows: DataFrame, share=lambda df, name: df, **thresholds) -> DataFrame:
     """Both probabilities per (day, port); a port missing from one series counts 0.
 
+    Both series depend only on distinct (source, day, host, port, unused) tuples, so the
+    flows are de-duplicated to those once (map-side partial aggregation) and ``share(df,
+    name)`` may write that table for the four branches that read it.
     Output: day, port, attack_probability, open_port_probability (NULL ports dropped).
     """
+    flows = share(flows.select("SrcAddr", "day", "DstAddr", "Dport", "unused").distinct(), "flow-tuples")
     attack = (attack_probability_daily(flows, drop_null_port=True, **thresholds)
               .select("day", F.col("Dport").alias("port"), "attack_probability"))
     open_ = open_port_probability_daily(flows).select("day", F.col("Dport").alias("port"),

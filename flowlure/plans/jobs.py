@@ -78,7 +78,7 @@ def port_reports_job(spark, archive, output, limit=100, **window):
 def daily_statistics_job(spark, archive, output, **window):
     """Daily port statistics -> NDJSON records and per-day nested lines."""
     with ScratchTables(spark) as keep:
-        stats = keep(daily_port_statistics(_flows(spark, archive, **window)), "daily-statistics")
+        stats = keep(daily_port_statistics(_flows(spark, archive, **window), share=keep), "daily-statistics")
         write_daily_statistics(stats, f"{output}/records")
         write_statistics_lines(daily_statistics_document(stats), f"{output}/document")
 
