@@ -124,3 +124,28 @@ def test_ratio_mode_places_when_share_small(spark):
     got = honeypot_assignment(att, strat0, mode="ratio").collect()
     assert len(got) == 5 and not any(r.is_hp for r in got)
     assert all(r.ratio == pytest.approx(6 / 5) for r in got)
+
+
+def test_optional_whole_row_dedupe(spark):
+    rows = [_flow("10.0.0.1", "147.32.80.1", "22")] * 3 + [_flow("10.0.0.1", "147.32.80.2", "22")]
+    raw = raw_rows(spark, rows)
+    assert prepare_flows(raw, "147.32.8").count() == 4
+    assert prepare_flows(raw, "147.32.8", dedupe=True).count() == 2
+
+
+def test_ratio_placement_matches_rule(spark):
+    import random
+
+    from flowlure.functions import place_by_ratio
+
+    def rule(ratio, prob, roll):
+        if ratio <= prob:
+            return True
+        return roll < prob / ratio
+
+    rng = random.Random(11)
+    rows = [(rng.choice([rng.random() * 1.5 + 1e-6, 0.5]), rng.choice([rng.random(), 0.5, 0.0, 1.0]), rng.random())
+            for _ in range(2000)]
+    df = spark.createDataFrame(rows, "ratio double, prob double, roll double")
+    got = [r.hp for r in df.select(place_by_ratio().alias("hp")).collect()]
+    assert got == [rule(*t) for t in rows]
