@@ -81,7 +81,8 @@ def strategy_pair_comparison(flows: DataFrame, strategy_a: dict | None = None, s
     computed over the sampled sources; a flow on a mapped port is chosen when
     ``(n + 1) / N <= prob`` or its roll (tag per map) is below ``prob / ratio``; a hit
     needs the flow's port to be unused. Detection = first hit per (source, day);
-    saved = open-port flows after it. Output: day, saved_a, saved_b.
+    saved = open-port flows after it, counted with ``count_after`` (minute pre-aggregation),
+    so a hot source is never one join partition. Output: day, saved_a, saved_b.
     """
     strategy_a = config.MIXED_STRATEGY if strategy_a is None else strategy_a
     strategy_b = config.ALWAYS_ON_STRATEGY if strategy_b is None else strategy_b
@@ -100,7 +101,14 @@ def strategy_pair_comparison(flows: DataFrame, strategy_a: dict | None = None, s
            .agg(F.min(F.when(hit(strategy_a, tags[0]), F.col("ts"))).alias("det_a"),
                 F.min(F.when(hit(strategy_b, tags[1]), F.col("ts"))).alias("det_b")))
     open_flows = att.where(~F.col("unused")).select("SrcAddr", "day", "ts")
-    return (open_flows.join(det, ["SrcAddr", "day"])
-            .groupBy("day")
-            .agg(F.count_if(F.col("ts") > F.col("det_a")).alias("saved_a"),
-                 F.count_if(F.col("ts") > F.col("det_b")).alias("saved_b")))
+    marks = (det.select("SrcAddr", "day", F.lit("a").alias("map"), F.col("det_a").alias("ts"))
+             .unionByName(det.select("SrcAddr", "day", F.lit("b").alias("map"), F.col("det_b").alias("ts"))))
+    later = count_after(marks, open_flows, ["SrcAddr", "day"], ["SrcAddr", "day", "map"])
+    saved = later.groupBy("day").agg(
+        F.sum(F.when(F.col("map") == "a", F.col("later"))).alias("saved_a"),
+        F.sum(F.when(F.col("map") == "b", F.col("later"))).alias("saved_b"))
+    # Every day with open-port attacker flows has a row, 0 when nothing was saved.
+    days = open_flows.where(F.col("day").isNotNull()).select("day").distinct()
+    return (days.join(saved, "day", "left")
+            .select("day", F.coalesce("saved_a", F.lit(0)).cast("bigint").alias("saved_a"),
+                    F.coalesce("saved_b", F.lit(0)).cast("bigint").alias("saved_b")))
