@@ -38,7 +38,7 @@ from flowlure.operators import (
     sweep_records,
     top_attacked_ports,
 )
-from flowlure.plans.persist import ScratchTables
+from flowlure.plans.persist import ScratchTables, broadcast_if_small
 from flowlure.sources import (
     read_daily_statistics,
     read_flow_archive,
@@ -105,7 +105,8 @@ def strategy_evaluation_job(spark, archive, strategies, output, rationality=None
     Also writes the per-(strategy, day) saved rows next to it (``<output>_daily``).
     """
     flows = _flows(spark, archive, prefix=config.NETWORK_PREFIX_EVAL, drop_null_port=True, **window)
-    strat = strategy_long(read_strategies(spark, strategies), rationality=rationality, num_of_hp=num_of_hp)
+    strat = broadcast_if_small(strategy_long(read_strategies(spark, strategies), rationality=rationality,
+                                             num_of_hp=num_of_hp))
     with ScratchTables(spark) as keep:
         att = keep(attacker_flows(flows), "attacker-flows")
         det = keep(detections(att, strat, mode=mode), "detections")
@@ -117,7 +118,8 @@ def strategy_evaluation_job(spark, archive, strategies, output, rationality=None
 def port_evaluation_job(spark, archive, strategies, output, rationality, num_of_hp, **window):
     """Ports hit at detection time (ratio placement) for one setup -> CSV."""
     flows = _flows(spark, archive, prefix=config.NETWORK_PREFIX_EVAL, drop_null_port=True, **window)
-    strat = strategy_long(read_strategies(spark, strategies), rationality=rationality, num_of_hp=num_of_hp)
+    strat = broadcast_if_small(strategy_long(read_strategies(spark, strategies), rationality=rationality,
+                                             num_of_hp=num_of_hp))
     with ScratchTables(spark) as keep:
         att = keep(attacker_flows(flows), "attacker-flows")
         write_csv(port_hit_summary(honeypot_assignment(att, strat, mode="ratio"), share=keep), output)

@@ -59,3 +59,19 @@ class ScratchTables:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
         self.paths.clear()
+
+
+# A broadcast side up to this many rows (strategy rows are ~60 bytes: ~120 MB) is sent to
+# every executor instead of shuffling the flows it joins.
+BROADCAST_ROW_LIMIT = 2_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast ``df`` when a count proves it small; otherwise leave the join to the planner.
+
+    For inputs read from small files (strategy tables): the count is a cheap action on that
+    file, and beyond ``max_rows`` the join stays a shuffle join (AQE splits skewed keys).
+    """
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -72,3 +72,13 @@ def test_command_line(archive, tmp_path):
                     f"{out}/records", "--output", strategies, "--rationality", "0.5", "--num-of-hp", "1"],
                    check=True, env=env, cwd=str(tmp_path), timeout=600, capture_output=True)
     assert any(name.endswith(".json") for name in os.listdir(strategies))
+
+
+def test_broadcast_only_below_the_checked_size(spark):
+    from flowlure.plans.persist import broadcast_if_small
+
+    big = spark.range(100000).withColumnRenamed("id", "k")
+    small = spark.range(10).withColumnRenamed("id", "k")
+    hinted = big.join(broadcast_if_small(small), "k")._jdf.queryExecution().optimizedPlan().toString()
+    plain = big.join(broadcast_if_small(small, max_rows=5), "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in hinted.lower() and "broadcast" not in plain.lower()
