@@ -26,7 +26,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/flowlure-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class ScratchTables:
@@ -47,7 +47,7 @@ class ScratchTables:
         path = f"{root.rstrip('/')}/flowlure-tables/{name}-{uuid.uuid4().hex}"
         df.write.mode("overwrite").parquet(path)
         self.paths.append(path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self):
         return self
