@@ -61,17 +61,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-split a scan that yields fewer input splits than the cluster has cores.
+    """Hash-split a table that is read as one single input split.
 
-    A table stored as one small row group is read by one task; every per-row derivation
-    on it would then run single-threaded, and filters would be pushed below a plain
-    repartition back into that one task. Such a table is at most a few row groups, so its
-    split form is cached (bounded size); later filters run on the cached partitions in
-    parallel. Large tables already scan in many splits and pass through unchanged.
+    A table stored as one row group is read by one task; every per-row derivation on it
+    would then run single-threaded, and filters would be pushed below a plain repartition
+    back into that one task. One split is bounded by the split size, so its split form is
+    cached; later filters run on the cached partitions in parallel. Any table read in two
+    or more splits passes through unchanged (no extra shuffle, nothing cached).
     """
-    cores = spark_cores(df)
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key).cache()
+    if df.rdd.getNumPartitions() == 1:
+        return df.repartition(spark_cores(df), key).cache()
     return df
 
 
