@@ -85,7 +85,10 @@ def record_low_flows(candidates: DataFrame, keys=("SrcAddr", "day", "Dport")) ->
     always one of its record lows). Rows with a NULL time are kept.
     """
     keys = list(keys)
-    cand = candidates.withColumn("_m", minute_of_day(F.col("ts")))
+    # Explicit exchange on all window keys: a window accepts a partitioning on a subset of
+    # its keys, so after a shuffle join on (source, day) it would otherwise run per
+    # (source, day) and a hot source would be one task.
+    cand = candidates.withColumn("_m", minute_of_day(F.col("ts"))).repartition(*keys, "_m")
     within = Window.partitionBy(*keys, "_m").orderBy("ts", "roll").rowsBetween(Window.unboundedPreceding, -1)
     local = (cand.withColumn("_prev", F.min("roll").over(within))
              .where(F.col("ts").isNull() | F.col("_prev").isNull() | (F.col("roll") < F.col("_prev")))

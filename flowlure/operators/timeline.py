@@ -29,7 +29,11 @@ def count_after(marks: DataFrame, events: DataFrame, keys: list[str], mark_id: l
 
     Returns ``mark_id`` + ``out``; marks without a later event are absent.
     """
-    ev = events.select(*keys, F.col(event_time).alias("_et")).withColumn("_eb", minute_of_day(F.col("_et")))
+    # One exchange on (keys, minute) serves both the per-minute counts and the same-minute
+    # join; it is explicit because an aggregate would accept an inherited partitioning on
+    # ``keys`` alone (e.g. after a shuffle join on them) and count a hot key in one task.
+    ev = (events.select(*keys, F.col(event_time).alias("_et")).withColumn("_eb", minute_of_day(F.col("_et")))
+          .repartition(*keys, "_eb"))
     per_minute = ev.groupBy(*keys, "_eb").agg(F.count("*").alias("_n"))
     m = marks.select(*mark_id, F.col(mark_time).alias("_mt")).withColumn("_mb", minute_of_day(F.col("_mt")))
     later_minutes = (m.join(per_minute, keys)
