@@ -59,3 +59,31 @@ def test_record_lows_of_a_hot_group(spark):
             want.append((ts, roll))
             best = roll
     assert lows == want and len(lows) < 50
+
+
+def test_minute_keyed_window_has_its_own_exchange(spark):
+    import contextlib
+    import io
+    import re
+
+    from conftest import SF_SMALL
+    from flowlure.operators import attacker_flows, detections
+    from flowlure.plans import catalog
+
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")  # large-table plan: shuffle joins everywhere
+        base = catalog.eval_base(spark, SF_SMALL)
+        det = detections(attacker_flows(catalog.without_null_ports(base)), catalog.strategies_from(base))
+        buf = io.StringIO()
+        with contextlib.redirect_stdout(buf):
+            det.explain("formatted")
+        plan = buf.getvalue()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "SortMergeJoin LeftSemi" in plan
+    args = re.findall(r"Arguments: (hashpartitioning\([^)]*\)[^\n]*REPARTITION_BY_COL)", plan)
+    assert any("Dport" in a and "_m" in a and "SrcAddr" in a and "day" in a for a in args), args
