@@ -83,7 +83,10 @@ def test_minute_keyed_window_has_its_own_exchange(spark):
         plan = buf.getvalue()
     finally:
         for k, v in before.items():
-            spark.conf.set(k, v)
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     assert "SortMergeJoin LeftSemi" in plan
     args = re.findall(r"Arguments: (hashpartitioning\([^)]*\)[^\n]*REPARTITION_BY_COL)", plan)
     assert any("Dport" in a and "_m" in a and "SrcAddr" in a and "day" in a for a in args), args
