@@ -150,7 +150,9 @@ def strategy_sweep(top_ports: DataFrame, rationalities=None, honeypots=None,
                             "open_port_probability", F.expr(f"explode(array({rat_values}))").alias("rationality"))
     keys = ["day", "rationality"]
     if partitions is None:
-        partitions = top_ports.sparkSession.sparkContext.defaultParallelism
+        from flowlure.session import default_parallelism
+
+        partitions = default_parallelism(top_ports.sparkSession)
     solver = _group_solver(config.MIN_HONEYPOT_SHARE, hps)
     return rows.repartition(partitions, *keys).groupBy(*keys).applyInPandas(solver, SWEEP_SCHEMA)
 

@@ -69,13 +69,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     cached; later filters run on the cached partitions in parallel. Any table read in two
     or more splits passes through unchanged (no extra shuffle, nothing cached).
     """
-    if df.rdd.getNumPartitions() == 1:
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (Spark Connect): leave the scan as is
+        return df
+    if splits == 1:
         return df.repartition(spark_cores(df), key).cache()
     return df
 
 
 def spark_cores(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
+    from flowlure.session import default_parallelism
+
+    return default_parallelism(df.sparkSession)
 
 
 def raw_flows(spark, sf_dir) -> DataFrame:

@@ -41,12 +41,23 @@ def local_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def default_parallelism(spark: SparkSession) -> int:
+    """Total task slots of the cluster (shuffle partitions where the context is not reachable)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder the cluster configured, if any."""
-    configured = spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    return spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+    try:
+        configured = spark.sparkContext.getCheckpointDir()
+        if configured:
+            return configured
+        return spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+    except Exception:  # no SparkContext on this client (Spark Connect)
+        return spark.conf.get(CHECKPOINT_CONF, None)
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
@@ -56,10 +67,14 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     fallback (a fresh temporary folder) is meant for local tests only.
     """
     current = checkpoint_dir(spark)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the folder is only used as a path for written tables
+        return current or fallback or tempfile.mkdtemp(prefix="flowlure-ckpt-")
     if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return spark.sparkContext.getCheckpointDir() or current
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(current)
+        return sc.getCheckpointDir() or current
     target = fallback or tempfile.mkdtemp(prefix="flowlure-ckpt-")
-    spark.sparkContext.setCheckpointDir(target)
-    return spark.sparkContext.getCheckpointDir() or target
+    sc.setCheckpointDir(target)
+    return sc.getCheckpointDir() or target
