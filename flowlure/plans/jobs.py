@@ -160,7 +160,7 @@ def main(argv=None) -> None:
     ap.add_argument("--statistics", help="statistics NDJSON (or --document for the nested form)")
     ap.add_argument("--document", action="store_true")
     ap.add_argument("--output", required=True)
-    ap.add_argument("--days", help="comma list of partition values, e.g. 2017-3-8,2017-3-9")
+    ap.add_argument("--days", help="comma list of partition values or globs, e.g. 2017-3-8,2017-3-9 or 2016-*")
     ap.add_argument("--start"), ap.add_argument("--end")
     ap.add_argument("--rationality", type=float), ap.add_argument("--num-of-hp", type=float)
     ap.add_argument("--rate", type=float, default=config.SOURCE_SAMPLE_RATE)

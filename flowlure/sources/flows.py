@@ -26,16 +26,25 @@ def read_flow_archive(spark: SparkSession, root: str, days: Iterable[str] | None
                       start: str | None = None, end: str | None = None) -> DataFrame:
     """Read the archive root once; select days by partition filter, never by path loops.
 
-    ``days`` are partition values such as ``"2017-3-8"``; ``start``/``end`` are ISO dates
-    (inclusive). Both become ``PartitionFilters`` so only matching day folders are listed
-    and read; the six used columns are the only ones in ``ReadSchema``.
+    ``days`` are partition values such as ``"2017-3-8"`` or glob patterns such as
+    ``"2017-3-*"`` / ``"2016-*"``; ``start``/``end`` are ISO dates (inclusive). All become
+    ``PartitionFilters`` so only matching day folders are listed and read; the six used
+    columns are the only ones in ``ReadSchema``.
     """
     df = (spark.read.option("basePath", root)
           .option("mergeSchema", "false")
           .schema(RAW_FLOW_SCHEMA)
           .parquet(root))
     if days is not None:
-        df = df.where(F.col(PARTITION_COLUMN).isin(list(days)))
+        days = [days] if isinstance(days, str) else list(days)
+        exact = [d for d in days if not any(ch in d for ch in "*?")]
+        globs = [d for d in days if any(ch in d for ch in "*?")]
+        conds = [F.col(PARTITION_COLUMN).isin(exact)] if exact else []
+        conds += [F.col(PARTITION_COLUMN).like(g.replace("*", "%").replace("?", "_")) for g in globs]
+        cond = conds[0]
+        for c in conds[1:]:
+            cond = cond | c
+        df = df.where(cond)
     if start is not None:
         df = df.where(partition_day() >= F.lit(start).cast("date"))
     if end is not None:

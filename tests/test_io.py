@@ -102,3 +102,6 @@ def test_flow_archive_partition_pruning_and_pushdown(spark, scratch):
     assert _rows(flows) == _rows(expected)
     ranged = read_flow_archive(spark, root, start="2024-01-03", end="2024-01-04")
     assert ranged.count() == read_flow_archive(spark, root, days=days).count()
+    globbed = read_flow_archive(spark, root, days=["2024-1-1?"])  # days 10..19
+    assert "PartitionFilters: [isnotnull(_yyyymd" in _explain(globbed) and "LIKE" in _explain(globbed).upper()
+    assert globbed.count() == read_flow_archive(spark, root, days=[f"2024-1-{d}" for d in range(10, 20)]).count()
