@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from flowlure import config
 from flowlure.operators import (
     attack_probability_daily,
-    attacker_flows,
     average_attackers_per_port,
     average_production_ratio,
     daily_port_statistics,
@@ -38,7 +37,7 @@ from flowlure.operators import (
     sweep_records,
     top_attacked_ports,
 )
-from flowlure.plans.persist import ScratchTables, broadcast_if_small
+from flowlure.plans.persist import ScratchTables, broadcast_if_small, sized_attacker_flows
 from flowlure.sources import (
     read_daily_statistics,
     read_flow_archive,
@@ -108,7 +107,7 @@ def strategy_evaluation_job(spark, archive, strategies, output, rationality=None
     strat = broadcast_if_small(strategy_long(read_strategies(spark, strategies), rationality=rationality,
                                              num_of_hp=num_of_hp))
     with ScratchTables(spark) as keep:
-        att = keep(attacker_flows(flows), "attacker-flows")
+        att = keep(sized_attacker_flows(flows, keep), "attacker-flows")
         det = keep(detections(att, strat, mode=mode), "detections")
         saved = keep(saved_flows(att, det), "saved-flows")
         write_csv(saved, f"{output}_daily")
@@ -121,7 +120,7 @@ def port_evaluation_job(spark, archive, strategies, output, rationality, num_of_
     strat = broadcast_if_small(strategy_long(read_strategies(spark, strategies), rationality=rationality,
                                              num_of_hp=num_of_hp))
     with ScratchTables(spark) as keep:
-        att = keep(attacker_flows(flows), "attacker-flows")
+        att = keep(sized_attacker_flows(flows, keep), "attacker-flows")
         write_csv(port_hit_summary(honeypot_assignment(att, strat, mode="ratio"), share=keep), output)
 
 

@@ -82,3 +82,23 @@ def test_broadcast_only_below_the_checked_size(spark):
     hinted = big.join(broadcast_if_small(small), "k")._jdf.queryExecution().optimizedPlan().toString()
     plain = big.join(broadcast_if_small(small, max_rows=5), "k")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in hinted.lower() and "broadcast" not in plain.lower()
+
+
+def test_sized_attacker_flows_both_ways(spark, archive):
+    from flowlure.config import NETWORK_PREFIX_EVAL
+    from flowlure.operators import attacker_flows, prepare_flows
+    from flowlure.plans import persist
+    from flowlure.plans.persist import ScratchTables, sized_attacker_flows
+    from flowlure.sources import read_flow_archive
+
+    flows = prepare_flows(read_flow_archive(spark, archive), NETWORK_PREFIX_EVAL)
+    want = sorted((tuple(r) for r in attacker_flows(flows).collect()), key=repr)
+    limit = persist.ATTACKER_BROADCAST_ROWS
+    try:
+        with ScratchTables(spark) as keep:
+            assert sorted((tuple(r) for r in sized_attacker_flows(flows, keep).collect()), key=repr) == want
+            persist.ATTACKER_BROADCAST_ROWS = 0  # force the salted shuffle join
+            salted = sized_attacker_flows(flows, keep)
+            assert sorted((tuple(r) for r in salted.collect()), key=repr) == want
+    finally:
+        persist.ATTACKER_BROADCAST_ROWS = limit
