@@ -41,7 +41,7 @@ from flowlure.operators import (
     top_attacked_ports,
     unused_hosts_per_port,
 )
-from flowlure.plans.persist import materialize
+from flowlure.plans.persist import materialize, sized_attacker_flows
 from flowlure.sources.events import EVENTS_SCHEMA, flows_from_events, strategy_records_fixture
 
 ROUND = 9
@@ -176,9 +176,12 @@ def _evaluation(spark, sf, mode="prob", setup=None, shared=False):
     detection, totals and saved-flow counts all read them.
     """
     base = eval_base(spark, sf)
-    att = attacker_flows(without_null_ports(base))
     if shared:
-        att = materialize(att, "attacker-flows")
+        # Written once; the attacker table is counted first: broadcast when small, else a
+        # salted shuffle join (hot sources split), as in the batch jobs.
+        att = materialize(sized_attacker_flows(without_null_ports(base), materialize), "attacker-flows")
+    else:
+        att = attacker_flows(without_null_ports(base))
     strat = strategies_from(base)
     if setup is not None:
         strat = strat.where((F.round("rationality", 6) == setup[0]) & (F.round("num_of_hp", 6) == setup[1]))
