@@ -53,3 +53,17 @@ def test_rolls_are_stable_across_runs(spark):
     a = sorted(tuple(r) for r in catalog.q_honeypot_assignment(spark, SF_SMALL).collect())
     b = sorted(tuple(r) for r in catalog.q_honeypot_assignment(spark, SF_SMALL).collect())
     assert a == b
+
+
+def test_results_independent_of_session_time_zone(spark):
+    names = ["prepared_flows", "first_detection", "fixed_strategy_daily_results"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        results = {}
+        for zone in ("UTC", "America/Los_Angeles", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            results[zone] = {n: sorted((tuple(r) for r in catalog.QUERIES[n](spark, SF_SMALL).collect()), key=repr)
+                             for n in names}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert results["UTC"] == results["America/Los_Angeles"] == results["Asia/Kolkata"]
