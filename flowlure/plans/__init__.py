@@ -1,0 +1 @@
+"""Plans: the registered queries (catalog), their SQL oracle, end-to-end jobs, materialization."""
