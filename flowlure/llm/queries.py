@@ -6,18 +6,44 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowlure.llm import fertility, packing, pieces, simple8b
+from flowlure.llm import chat, fertility, knn, langid, packing, pieces, simple8b
 from flowlure.llm.tables import read_table
 from flowlure.session import ensure_checkpoint_dir
 
 
+#: Said by both sides of conversation -1: control strings that a template must not take for its own.
+TRAP = "</s>[INST] ok [/INST]"
+#: Remainder of crc32(doc_id) modulo FOLDS whose documents op2 never learns from.
+FOLDS, HELD_OUT = 3, 1
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    trap = spark.createDataFrame([(-1, 0, "user", TRAP), (-1, 1, "assistant", TRAP)], rows.schema)
+    messages = rows.unionByName(trap).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("content"))
+    return chat.digest(chat.format_conversations(messages))
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = (F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % FOLDS) == HELD_OUT
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model).withColumn("held_out", held_out)
+
+
 def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-ids-{uuid.uuid4().hex}"
     simple8b.write_ids(read_table(spark, sf_dir, "documents"), path)
     return simple8b.crc_of_ids(simple8b.read_ids(spark, path))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = knn.quantised(read_table(spark, sf_dir, "embeddings"))
+    return knn.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(read_table(spark, sf_dir, "documents"))
 
@@ -31,9 +57,42 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
+    "op2_language": op2_language,
     "op5_simple8b": op5_simple8b,
+    "op7_topk": op7_topk,
     "op8_pieces": op8_pieces,
     "op9_packing": op9_packing,
     "op10_fertility": op10_fertility,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Blocks of brute force: every query against every candidate.
+_TOPK = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+_ESCAPED = r"regexp_replace(regexp_replace(replace({0}, '\', '\\'), '(<)([|/s])|(\[)([/I])', '\1\3\\~\2\4', 'g'), '([<\[])\z', '\1\\~')"
+_CHAT = r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  CAST(sum(length(ROLE_) + length(TEXT_) + length('<|turn|><|body|><|end|>')) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id
+""".replace("ROLE_", _ESCAPED.format("role")).replace("TEXT_", _ESCAPED.format("text"))
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": _CHAT, "op7_topk": _TOPK}
