@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlure.llm import chat, fertility, knn, langid, packing, pieces, simple8b
+from flowlure.llm import chat, fertility, jaccard, knn, langid, packing, pieces, simple8b, suffixdedup
 from flowlure.llm.tables import read_table
 from flowlure.session import ensure_checkpoint_dir
 
@@ -33,6 +33,15 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", held_out)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-ids-{uuid.uuid4().hex}"
     simple8b.write_ids(read_table(spark, sf_dir, "documents"), path)
@@ -59,6 +68,8 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_language": op2_language,
+    "op3_jaccard": op3_jaccard,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simple8b": op5_simple8b,
     "op7_topk": op7_topk,
     "op8_pieces": op8_pieces,
