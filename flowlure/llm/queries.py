@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlure.llm import chat, fertility, jaccard, knn, langid, packing, pieces, simple8b, suffixdedup
+from flowlure.llm import chat, fertility, jaccard, knn, langid, linededup, packing, pieces, simple8b, suffixdedup
 from flowlure.llm.tables import read_table
 from flowlure.session import ensure_checkpoint_dir
 
@@ -48,6 +48,12 @@ def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.crc_of_ids(simple8b.read_ids(spark, path))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("kept_sha256")
+    return found.select("doc_id", "n_lines", "n_removed", "n_near", kept)
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = knn.quantised(read_table(spark, sf_dir, "embeddings"))
     return knn.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard": op3_jaccard,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simple8b": op5_simple8b,
+    "op6_line_dedup": op6_line_dedup,
     "op7_topk": op7_topk,
     "op8_pieces": op8_pieces,
     "op9_packing": op9_packing,

@@ -320,8 +320,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, often: int = OFTEN) ->
     return spans
 
 
-def apply_spans(docs: DataFrame, spans: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_bytes, spans, kept and the digest columns, with ``columns`` of the input kept."""
+def apply_spans(docs: DataFrame, spans: DataFrame, columns: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, spans, kept and the digest columns, with ``columns`` of the input kept.
+
+    ``as_text``: kept is a string, from which a character that a cut left in part is dropped.
+    """
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text", *columns)
     joined = keyed.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans", *columns)
     extra = "".join(f", {c} {dict(docs.dtypes)[c]}" for c in columns)
@@ -339,9 +342,10 @@ def apply_spans(docs: DataFrame, spans: DataFrame, columns: tuple[str, ...] = ()
                         whole.append([*x])
                 cuts = [0, *(y for x in whole for y in x), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-                out.append((len(data), [{"a": a, "b": b} for a, b in whole], kept, len(data) - len(kept), len(whole), hashlib.sha256(kept).hexdigest()))
+                out.append((len(data), [{"a": a, "b": b} for a, b in whole], kept.decode(errors="ignore") if as_text else kept, len(data) - len(kept), len(whole), hashlib.sha256(kept).hexdigest()))
             columns_ = list(zip(*out)) if out else [()] * 6
-            types = (pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.binary(), pa.int64(), pa.int64(), pa.string())
+            types = (pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.string() if as_text else pa.binary(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns_, types)), *batch.columns[3:]], ["doc_id", "n_bytes", "spans", "kept", "n_removed", "n_spans", "kept_sha256", *columns])
 
-    return joined.mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<a: long, b: long>>, kept binary, n_removed long, n_spans long, kept_sha256 string" + extra)
+    kind = "string" if as_text else "binary"
+    return joined.mapInArrow(remove, f"doc_id long, n_bytes long, spans array<struct<a: long, b: long>>, kept {kind}, n_removed long, n_spans long, kept_sha256 string" + extra)
