@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept and
 returns a DataFrame, which is written as Parquet and read again as the next stage's docs.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``. Rows without doc_id, which no decision
+could name, go in the first stage; rows alike in doc_id stay or go together; NULL text is
+no language's and goes there too. Empty tables pass through all stages.
 """
 
 from __future__ import annotations

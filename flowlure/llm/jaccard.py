@@ -161,7 +161,7 @@ def sets_with_shared(docs: DataFrame, n: int = 5) -> DataFrame:
                 data.append(np.column_stack([t[:, 0], found]).astype("<u4").tobytes())
                 at += len(p)
             out.append(pd.DataFrame({"uid": sent["uid"], "directory": False, "data": data}))
-        return pd.concat(out)
+        return pd.concat(out)[["uid", "directory", "data"]]
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
         table = np.frombuffer(group.loc[group["directory"], "data"].iloc[0], "<i8").reshape(-1, 4)
@@ -264,11 +264,12 @@ def linked_classes(segments: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) for every row.
 
-    Only doc_id and text are read. A row without text or words has an empty set, is linked
-    with nothing and is its own component. Rows with equal doc_id and different texts are
+    Only doc_id and text are read; rows without doc_id take no part. A row without text or
+    words has an empty set, is linked with nothing and is its own component. Rows with equal doc_id and different texts are
     the same document twice: each keeps its set size, their components are merged. An empty
     table gives no rows.
     """
+    docs = docs.where(F.col("doc_id").isNotNull())
     sets = keep(sets_with_shared(docs, n), "sets")
     filled = sets.where("n_shingles > 0")
     classes = filled.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last"), F.max("shared").alias("shared"))

@@ -20,12 +20,13 @@ from flowlure.llm.tables import drop_kept, keep
 THRESHOLD = 2
 #: Lines with fewer code points are only compared for equality: their segments say too little.
 LEAST_CHARS = 24
+COUNTS = ("n_lines", "n_removed", "n_near")
 PLACE = ("doc_id", "text_hash", "line")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line, text, h1, h2) of every line with a word; ``line`` counts from 0."""
-    keyed = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("all"))
+    keyed = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("all"))
     rows = keyed.select("doc_id", "text_hash", F.posexplode("all").alias("line", "text"))
     return rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
 
@@ -154,7 +155,8 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     A line with a word goes if an equal line, or one within ``threshold`` edits (both of
     LEAST_CHARS code points or more), stands earlier in the input, by doc_id, then text hash,
     then line number; lines are judged on the input, not on what is left. Lines without a
-    word stay. NULL text stays NULL, with no lines. Rows alike in doc_id and text count as
+    word stay. NULL text stays NULL, with no lines; rows without doc_id stay as they are and
+    remove nothing. Input columns named like the counts are replaced. Rows alike in doc_id and text count as
     one place: neither removes the other's lines. An empty table gives no rows.
     """
     names = {c.lower() for c in docs.columns}
@@ -171,4 +173,4 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         "n_removed": F.coalesce(F.size(removed), F.lit(0)).cast("long"),
         "n_near": F.coalesce(F.col(free("near")), F.lit(0)).cast("long"),
         free("left"): kept,
-    }).select(*[F.col(free("left")).alias(c) if c == "text" else F.col(c) for c in docs.columns], "n_lines", "n_removed", "n_near")
+    }).select(*[F.col(free("left")).alias(c) if c == "text" else F.col(c) for c in docs.columns if c.lower() not in COUNTS], *COUNTS)

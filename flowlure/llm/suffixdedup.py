@@ -46,6 +46,7 @@ PLACE_BITS = 24
 
 ANCHORS = "bucket int, uid long, directory boolean, low binary, many binary, ids binary, hashes binary, sizes binary, slots binary"
 NAMES = [c.split()[0] for c in ANCHORS.split(", ")]
+COUNTED = ["bucket", "uid", "directory", "data", "many", "ids", "hashes", "sizes", "slots"]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -158,7 +159,7 @@ def repeated_anchors(docs: DataFrame, length: int, often: int = OFTEN) -> DataFr
             cuts = np.cumsum([0, *map(len, many)])
             data = [flag[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             out.append(pd.DataFrame({"bucket": sent["bucket"], "uid": sent["uid"], "directory": False, "data": data}).assign(many=b"", ids=b"", hashes=b"", sizes=b"", slots=b""))
-        return pd.concat(out)
+        return pd.concat(out)[COUNTED]
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
         home = group[group["directory"]].iloc[0]
@@ -304,14 +305,16 @@ def dedup(docs: DataFrame, length: int = LENGTH, often: int = OFTEN) -> DataFram
 
     Removes each byte covered by a ``length``-byte string that also starts anywhere else in
     the input, in the same text too; strings never cross texts and are judged on the input.
-    Only doc_id and text are read; NULL text counts as empty; repeated rows are texts of their
+    Only doc_id and text are read; rows without doc_id take no part; NULL text counts as empty; repeated rows are texts of their
     own, so each is a copy of the other. An empty table gives no rows.
     """
+    docs = docs.where(F.col("doc_id").isNotNull())
     return apply_spans(docs, repeated_spans(docs, length, often))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, often: int = OFTEN) -> DataFrame:
     """(doc_id, text_hash, spans): covered byte ranges of each text that has any."""
+    docs = docs.where(F.col("doc_id").isNotNull())
     flagged = keep(repeated_anchors(docs, length, often), "anchors")
     # One span per stretch and document at most a few: gathered per document.
     marked = repeated_windows(stretches(docs, flagged, length), length)
