@@ -95,8 +95,8 @@ KEPT = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "ids_
 def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, length: int = LENGTH, open_windows: int = OPEN_WINDOWS, spaced: bool = True) -> DataFrame:
     """Pieces of all documents with their place: sequence_id and gapless offset.
 
-    Rows need doc_id and text; other columns are not read. NULL text counts as empty (its
-    end id alone is packed). Rows with equal doc_id are packed each by itself; an empty
+    Rows need doc_id and text; other columns are not read. Rows without doc_id take no part.
+    NULL text counts as empty (its end id alone is packed). Rows with equal doc_id are packed each by itself; an empty
     table gives no rows. Each partition reads its rows once, in any order; only its open
     windows travel, to be merged with those of up to MERGED - 1 other partitions.
     """
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0
         return pd.DataFrame(rows).astype("int64")
 
     schema = SCHEMA + ", ids binary, bunch int"
-    packed = keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "packed")
+    packed = keep(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema), "packed")
     final = packed.where(F.col("ids").isNull()).drop("ids", "bunch")
     # A bunch holds at most MERGED * OPEN_WINDOWS windows, whatever the input's size.
     merged = packed.where(F.col("ids").isNotNull()).groupBy("bunch").applyInPandas(merge, SCHEMA)

@@ -141,7 +141,7 @@ class PieceModel:
         return [self.encode_part(p) for p in parts]
 
     def decode_bytes(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Joined bytes of several id sequences and their sizes; each loses its dummy space."""
+        """Joined bytes of several sequences, as the encoder makes them, and their sizes; each loses its dummy space."""
         size = self.raw_size[ids]
         ends = np.cumsum(sizes)
         firsts = (ends - sizes)[sizes > 0]
@@ -155,17 +155,19 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes of a run of byte pieces that are no UTF-8 each read as U+FFFD."""
-        values, out, run = {i: b for b, i in self.byte.items()}, [], bytearray()
-        for k, i in enumerate([*ids, None]):
+        values, out, run, begun = {i: b for b, i in self.byte.items()}, [], bytearray(), False
+        for i in [*ids, None]:
             if i in values:
                 run.append(values[i])
+                begun = True
                 continue
             if run:
                 out.append(_lenient(bytes(run)))
                 run.clear()
             if i is not None and self.raw_size[i]:
                 text = self.pieces[i].replace(SPACE, " ")
-                out.append(text[1:] if not k and text[0] == " " else text)
+                out.append(text[1:] if not begun and text[0] == " " else text)
+                begun = True
         return "".join(out)
 
     def decimal(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

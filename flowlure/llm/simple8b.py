@@ -107,8 +107,8 @@ def with_end_ids(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.nd
 def write_ids(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, spaced: bool = False) -> None:
     """Encode every text and write Simple-8b files under ``path`` in ascending doc_id order.
 
-    Rows need doc_id and text; other columns are not read. NULL text counts as empty (one
-    end id). Rows with the same doc_id are all written, in order of their text; an empty
+    Rows need doc_id and text; other columns are not read. Rows without doc_id have no place
+    in the order and are not written. NULL text counts as empty (one end id). Rows with the same doc_id are all written, in order of their text; an empty
     table writes no rows. Documents are range-partitioned by doc_id, so shard order is id
     order and no task holds more than its own range.
     """
@@ -125,7 +125,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json",
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["shard", "part", "n_ids", "doc_ids", "doc_sizes", "payload"])
                 part += 1
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 
 
