@@ -9,27 +9,45 @@ day, totals are per day), so a day is recomputed whole whenever files of it arri
   partition values of the batch (one per day folder, a few per batch; capped by
   ``max_files_per_trigger``) become a static partition filter, so only those folders
   are listed and scanned;
+* a flow may lie in the folder of a neighbouring day (a flow stamped just before midnight
+  that was stored after it), so a touched folder changes its own day and up to
+  ``SPILL_DAYS`` around it; each of those days is recomputed from all folders that may
+  hold its flows, and only days that were read whole are written;
 * results are written partitioned by day with dynamic partition overwrite, so other
   days stay as they are and a re-run of a batch after a failure gives the same files.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from flowlure import config
 from flowlure.operators import daily_port_statistics, prepare_flows
 from flowlure.sources.flows import PARTITION_COLUMN, RAW_FLOW_SCHEMA, read_flow_archive
 
+# Days by which a flow's folder may differ from the day of its StartTime.
+SPILL_DAYS = 1
+
+
+def _around(days: set[dt.date], reach: int) -> set[dt.date]:
+    return {d + dt.timedelta(days=k) for d in days for k in range(-reach, reach + 1)}
+
 
 def update_daily_statistics(spark: SparkSession, archive: str, touched: DataFrame, output: str,
                             prefix=config.NETWORK_PREFIX_WIDE) -> None:
-    """Recompute the statistics of the touched days and overwrite those day partitions."""
+    """Recompute the days that the touched folders can change and overwrite those partitions."""
     # Partition values only (metadata): one per day folder present in this micro-batch.
-    days = [r[0] for r in touched.select(PARTITION_COLUMN).distinct().collect() if r[0] is not None]
-    if not days:
+    names = [r[0] for r in touched.select(PARTITION_COLUMN).distinct().collect() if r[0] is not None]
+    if not names:
         return
-    raw = read_flow_archive(spark, archive, days=days)
-    stats = daily_port_statistics(prepare_flows(raw, prefix))
+    folders = {dt.date(*map(int, name.split("-"))) for name in names}
+    changed = _around(folders, SPILL_DAYS)
+    raw = read_flow_archive(spark, archive, days=sorted(f"{d.year}-{d.month}-{d.day}" for d in _around(changed, SPILL_DAYS)))
+    flows = prepare_flows(raw, prefix).where(F.col("day").isin(*changed))
+    stats = daily_port_statistics(flows)
     (stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("day").parquet(output))
 

@@ -12,6 +12,23 @@ def _rows(df):
     return sorted((tuple(r) for r in df.select("day", "port", "attack_probability", "open_port_probability").collect()), key=repr)
 
 
+def test_flows_stored_after_midnight(spark, tmp_path):
+    """A folder that holds late flows of the day before must not replace that day by a fragment."""
+    root, out, ckpt = str(tmp_path / "archive"), str(tmp_path / "stats"), str(tmp_path / "ckpt")
+
+    def rows(day, folder, port, sources, time="12:00:00"):
+        return [("tcp", f"10.0.0.{s}", f"147.32.80.{h}", str(port), "S_SA", f"{day} {time}", folder) for s in sources for h in range(5)]
+
+    schema = "Proto string, SrcAddr string, DstAddr string, Dport string, State string, StartTime string, _yyyymd string"
+    second = rows("2024/01/02", "2024-1-2", 22, (1, 2)) + rows("2024/01/02", "2024-1-2", 23, (2,))
+    third = rows("2024/01/03", "2024-1-3", 80, (1,)) + rows("2024/01/02", "2024-1-3", 23, (3,), "23:59:59.9")
+    for batch in (second, third):
+        spark.createDataFrame(batch, schema).write.mode("append").partitionBy("_yyyymd").parquet(root)
+        start_daily_statistics_stream(spark, root, out, ckpt).awaitTermination()
+    whole = prepare_flows(spark.createDataFrame(second + third, schema).drop("_yyyymd"), "147.32.")
+    assert _rows(spark.read.parquet(out)) == _rows(daily_port_statistics(whole))
+
+
 def test_stream_matches_batch(spark, tmp_path):
     root, out, ckpt = str(tmp_path / "archive"), str(tmp_path / "stats"), str(tmp_path / "ckpt")
     raw = catalog.raw_flows(spark, SF_SMALL)
