@@ -25,8 +25,8 @@ UNUSED_PORT_PATTERN = "_[^S]*(R|F|)[^S]*$"
 ANSWERED_PATTERN = ".*_.*S.*A"
 
 # StartTime layout of the flow archive and the day prefix inside it.
-START_TIME_FORMAT = "yyyy/MM/dd HH:mm:ss[.SSSSSS]"
-START_DAY_FORMAT = "yyyy/MM/dd"
+START_TIME_PATTERN = r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?$"
+START_DAY_PATTERN = r"^\d{4}/\d{2}/\d{2}$"
 
 # Smallest honeypot share a port may get in the allocation game.
 MIN_HONEYPOT_SHARE = 0.0001
@@ -42,7 +42,7 @@ MIXED_STRATEGY = {
 }
 # Fixed 7-port always-on strategy compared against the mixed one.
 ALWAYS_ON_STRATEGY = {22: 1, 23: 1, 80: 1, 8080: 1, 3128: 1, 2323: 1, 8123: 1}
-# Alternative always-on map of the yearly job (kept for completeness, unused by default).
+# Alternative always-on map of the yearly job.
 ALWAYS_ON_ALTERNATIVE = {23: 1, 2323: 1, 22: 1, 80: 1, 8080: 1, 8023: 1, 2380: 1}
 
 # Sampling rate of sources in the pair comparison and its seed.
@@ -54,5 +54,10 @@ SAMPLE_SEED = 42
 # ---------------------------------------------------------------------------------------
 
 ROLL_SEED = "42"
+# Pieces into which a shuffle join splits a hot key of the large side (the small side is
+# repeated as often); enough that a key with a third of all rows is no task of its own.
+JOIN_SALTS = 16
+# Maps that the fixed-strategy job can replay.
+FIXED_MAPS = {"mixed": MIXED_STRATEGY, "always_on": ALWAYS_ON_STRATEGY, "always_on_alternative": ALWAYS_ON_ALTERNATIVE}
 # Decimal places grid parameters are rounded to (float grids such as 0.1 * 3).
 GRID_DECIMALS = 6

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TWO_POW_32 = 4294967296.0
-ROLL_TIME_FORMAT = "yyyyMMddHHmmssSSSSSS"
+ROLL_TIME_DIGITS = 20  # yyyyMMddHHmmss and six fraction digits
 
 
 def _col(c) -> Column:
@@ -24,7 +24,9 @@ def keyed_roll(*parts) -> Column:
 
 def flow_roll(tag: str, src="SrcAddr", dst="DstAddr", port="Dport", ts="ts") -> Column:
     """Roll of one flow: key ``SrcAddr|DstAddr|Dport|yyyyMMddHHmmssSSSSSS|tag``."""
-    return keyed_roll(src, dst, port, F.date_format(_col(ts), ROLL_TIME_FORMAT), F.lit(str(tag)))
+    # The text of a TIMESTAMP_NTZ has no zone; its trailing zeros are left out, so pad.
+    digits = F.rpad(F.regexp_replace(_col(ts).cast("string"), r"\D", ""), ROLL_TIME_DIGITS, "0")
+    return keyed_roll(src, dst, port, digits, F.lit(str(tag)))
 
 
 def keyed_sample(key="SrcAddr", rate: float = 0.01, seed=42) -> Column:

@@ -1,13 +1,14 @@
 """Parsing of the archive's StartTime text.
 
-Times are wall-clock values without a zone, so they become TIMESTAMP_NTZ; the parse is
-strict 24-hour time with up to six fraction digits. Unparseable text gives NULL.
+Times are wall-clock values without a zone, so they become TIMESTAMP_NTZ by casts that
+never pass through the session time zone (a night when clocks change stays as written).
+The layout is strict: 24-hour time with up to six fraction digits; other text gives NULL.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from flowlure.config import START_DAY_FORMAT, START_TIME_FORMAT
+from flowlure.config import START_DAY_PATTERN, START_TIME_PATTERN
 
 
 def _col(c) -> Column:
@@ -16,10 +17,12 @@ def _col(c) -> Column:
 
 def flow_timestamp(start_time="StartTime") -> Column:
     """``yyyy/MM/dd HH:mm:ss[.SSSSSS]`` text -> TIMESTAMP_NTZ (NULL when malformed)."""
-    parsed = F.try_to_timestamp(_col(start_time), F.lit(START_TIME_FORMAT))
-    return parsed.cast("timestamp_ntz")
+    text = _col(start_time)
+    dashed = F.replace(text, F.lit("/"), F.lit("-")).try_cast("timestamp_ntz")
+    return F.when(text.rlike(START_TIME_PATTERN), dashed)
 
 
 def flow_day(start_time="StartTime") -> Column:
     """Day of the flow from the ``yyyy/MM/dd`` prefix of StartTime -> DATE (NULL when malformed)."""
-    return F.call_function("try_to_date", F.substring(_col(start_time), 1, 10), F.lit(START_DAY_FORMAT))
+    text = F.substring(_col(start_time), 1, 10)
+    return F.when(text.rlike(START_DAY_PATTERN), F.replace(text, F.lit("/"), F.lit("-")).try_cast("date"))

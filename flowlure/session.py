@@ -60,21 +60,29 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
         return spark.conf.get(CHECKPOINT_CONF, None)
 
 
+def _local_folder(spark: SparkSession) -> str:
+    """A fresh temporary folder, on a local master only: on a cluster each machine would use its own disk."""
+    master = spark.conf.get("spark.master", None) or ""
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="flowlure-ckpt-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the configured checkpoint folder; set one only where none is configured.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is. The
-    fallback (a fresh temporary folder) is meant for local tests only.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is; where it
+    is unset there, this is an error. Only a local master falls back to a temporary folder.
     """
     current = checkpoint_dir(spark)
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the folder is only used as a path for written tables
-        return current or fallback or tempfile.mkdtemp(prefix="flowlure-ckpt-")
+        return current or fallback or _local_folder(spark)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
-    target = fallback or tempfile.mkdtemp(prefix="flowlure-ckpt-")
+    target = fallback or _local_folder(spark)
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target

@@ -40,7 +40,8 @@ def _flow_expressions() -> list[str]:
         f"element_at(array({ports}), try_cast(regexp_extract(props, '(\\\\d+)', 1) AS INT) % 12 + 1) AS Dport",
         "CASE WHEN event_id % 17 = 0 THEN 'INT' WHEN event_id % 19 = 0 THEN 'S_SR' WHEN event_id % 23 = 0 THEN 'A_SPA_RA' "
         f"{states} ELSE {_q(STATE_OTHERWISE)} END AS State",
-        "date_format(ts, 'yyyy/MM/dd HH:mm:ss.SSSSSS') AS StartTime",
+        "rpad(concat(replace(substr(CAST(ts AS STRING), 1, 10), '-', '/'), substr(CAST(ts AS STRING), 11, 9), '.',"
+        " substr(CAST(ts AS STRING), 21)), 26, '0') AS StartTime",
     ]
 
 
@@ -68,7 +69,7 @@ def strategy_records_fixture(flows: DataFrame) -> DataFrame:
         f"named_struct('port', {p}, 'prob', {0.3 if p % 2 == 0 else 0.6!r}D * num_of_hp / 2.0D)"
         for p in FIXTURE_PORTS) + ")")
     return records.select(
-        F.date_format("d", "yyyy-MM-dd").alias("date"),
+        F.col("d").cast("string").alias("date"),
         "rationality", "num_of_hp",
         F.lit(None).cast("double").alias("reward"),
         F.aggregate(stg, F.lit(0.0), lambda acc, x: acc + x["prob"]).alias("used_hps"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ RAW_FLOW_SCHEMA = T.StructType(
 
 def partition_day(col=PARTITION_COLUMN):
     """Partition value ``2017-3-8`` -> DATE."""
-    return F.call_function("try_to_date", F.col(col), F.lit("yyyy-M-d"))
+    return F.col(col).try_cast("date")
 
 
 def read_flow_archive(spark: SparkSession, root: str, days: Iterable[str] | None = None,
@@ -41,10 +42,8 @@ def read_flow_archive(spark: SparkSession, root: str, days: Iterable[str] | None
         globs = [d for d in days if any(ch in d for ch in "*?")]
         conds = [F.col(PARTITION_COLUMN).isin(exact)] if exact else []
         conds += [F.col(PARTITION_COLUMN).like(g.replace("*", "%").replace("?", "_")) for g in globs]
-        cond = conds[0]
-        for c in conds[1:]:
-            cond = cond | c
-        df = df.where(cond)
+        # No day chosen: no rows.
+        df = df.where(reduce(lambda a, b: a | b, conds, F.lit(False)))
     if start is not None:
         df = df.where(partition_day() >= F.lit(start).cast("date"))
     if end is not None:

@@ -22,6 +22,7 @@ _DOCUMENT = T.StructType([
     T.StructField("data", T.MapType(T.StringType(), _DAY_ENTRY), True),
     T.StructField("metadata", T.MapType(T.StringType(), T.StringType()), True),
 ])
+_LINE = T.StructType([T.StructField("day", T.StringType(), True), *_DAY_ENTRY.fields])
 _RECORD = T.StructType([
     T.StructField("day", T.StringType(), True),
     T.StructField("port", T.StringType(), True),
@@ -32,7 +33,7 @@ _RECORD = T.StructType([
 
 def _day_from_text(c):
     # Day keys come as "2016-09-29 00:00:00.0" or "2018-09-18:10.0.0": the date is the first 10 chars.
-    return F.call_function("try_to_date", F.substring(c, 1, 10), F.lit("yyyy-MM-dd"))
+    return F.substring(c, 1, 10).try_cast("date")
 
 
 def maps_to_long(days: DataFrame) -> DataFrame:
@@ -68,21 +69,27 @@ def read_daily_statistics(spark: SparkSession, path: str) -> DataFrame:
                       F.col("openPortProbability").alias("open_port_probability"))
 
 
-def write_daily_statistics(stats: DataFrame, path: str, mode: str = "overwrite") -> None:
+def read_statistics_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Per-day lines (``write_statistics_lines``) -> (day, port, attack_probability, open_port_probability)."""
+    raw = spark.read.schema(_LINE).json(path)
+    return maps_to_long(raw.select(_day_from_text(F.col("day")).alias("day"), "attacker_strategy", "production_distribution"))
+
+
+def write_daily_statistics(stats: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Long statistics -> NDJSON records with the original field names."""
-    (stats.select(F.date_format("day", "yyyy-MM-dd").alias("day"),
+    (stats.select(F.col("day").cast("string").alias("day"),
                   F.col("port").cast("string").alias("port"),
                   F.col("attack_probability").alias("attackProbability"),
                   F.col("open_port_probability").alias("openPortProbability"))
      .write.mode(mode).json(path))
 
 
-def write_statistics_lines(document: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_statistics_lines(document: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Per-day nested statistics (``operators.ports.daily_statistics_document``) -> JSON lines.
 
     Each line carries the creation time, as the document's metadata did.
     """
-    (document.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "attacker_strategy",
+    (document.select(F.col("day").cast("string").alias("day"), "attacker_strategy",
                      "production_distribution",
                      F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("created"))
      .write.mode(mode).json(path))

@@ -65,6 +65,6 @@ def records_from_long(long: DataFrame) -> DataFrame:
                  .alias("stg")))
 
 
-def write_strategies(records: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_strategies(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """One JSON object per line, list-shaped ``stg`` (what the evaluators read)."""
     records.write.mode(mode).json(path)
