@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from flowlure import config
 from flowlure.functions import flow_roll, place_by_ratio
 from flowlure.operators.flows import attacker_flows, sample_sources
-from flowlure.operators.ports import port_status_share
+from flowlure.operators.ports import port_status_share, unused_hosts_per_port
+from flowlure.operators.salting import salted_join
 from flowlure.operators.timeline import count_after
 
 
@@ -58,10 +59,11 @@ def fixed_strategy_daily_results(flows: DataFrame, strategy: dict | None = None,
                       "day", "SrcAddr").distinct()
     shares = (port_status_share(att).where(F.col("candidate"))
              .select("day", "Dport", F.col("share").alias("ratio")))
-    hp_rows = (base.where(F.col("candidate") & fixed_prob(strategy).isNotNull())
-               .join(shares, ["day", "Dport"])
-               .where(place_by_ratio("ratio", fixed_prob(strategy), flow_roll(tag)))
-               .select("DstAddr", "Dport", "ts", "day", "SrcAddr").distinct())
+    # Only candidates on mapped ports meet their share, salted over a hot (day, port).
+    tried = base.where(F.col("candidate") & fixed_prob(strategy).isNotNull())
+    hp_rows = share(salted_join(tried, shares, ["day", "Dport"])
+                    .where(place_by_ratio("ratio", fixed_prob(strategy), flow_roll(tag)))
+                    .select("DstAddr", "Dport", "ts", "day", "SrcAddr").distinct(), "fixed-hits")
     firsts = hp_rows.groupBy("SrcAddr").agg(F.min("ts").alias("ts"))
     first_hits = share(hp_rows.join(firsts, ["SrcAddr", "ts"], "left_semi"), "fixed-first-hits")
     open_rows = base.where(~F.col("candidate")).select("SrcAddr", "day", "ts")
@@ -81,34 +83,32 @@ def strategy_pair_comparison(flows: DataFrame, strategy_a: dict | None = None, s
     computed over the sampled sources; a flow on a mapped port is chosen when
     ``(n + 1) / N <= prob`` or its roll (tag per map) is below ``prob / ratio``; a hit
     needs the flow's port to be unused. Detection = first hit per (source, day);
-    saved = open-port flows after it, counted with ``count_after`` (minute pre-aggregation),
-    so a hot source is never one join partition. Output: day, saved_a, saved_b.
+    saved = open-port flows after it, counted with ``count_after``, so a hot source is never
+    one join partition. Every day of the unsampled ``flows`` has a row, 0 where nothing was
+    saved. Output: day, saved_a, saved_b.
     """
     strategy_a = config.MIXED_STRATEGY if strategy_a is None else strategy_a
     strategy_b = config.ALWAYS_ON_STRATEGY if strategy_b is None else strategy_b
     att = share(attacker_flows(sample_sources(flows, rate, seed), **thresholds), "pair-attacker-flows")
-    unused_counts = (att.where(F.col("unused")).groupBy("day", "Dport")
-                     .agg(F.count_distinct("DstAddr").alias("unused_hosts")))
-    hosts = att.groupBy("day").agg(F.count_distinct("DstAddr").alias("total_hosts"))
-    scored = (att.join(unused_counts, ["day", "Dport"], "left").join(hosts, "day")
-              .withColumn("ratio", (F.col("unused_hosts") + 1) / F.col("total_hosts")))
+    # A hit's port is unused, so the flows that matter have a ratio, and it is small.
+    ratios = unused_hosts_per_port(att).select("day", "Dport", "ratio")
+    mapped = fixed_prob(strategy_a).isNotNull() | fixed_prob(strategy_b).isNotNull()
+    scored = salted_join(att.where(F.col("unused") & mapped), ratios, ["day", "Dport"])
 
     def hit(mapping, tag):
         prob = fixed_prob(mapping)
-        return prob.isNotNull() & place_by_ratio("ratio", prob, flow_roll(tag)) & F.col("unused")
+        return prob.isNotNull() & place_by_ratio("ratio", prob, flow_roll(tag))
 
     det = (scored.groupBy("SrcAddr", "day")
-           .agg(F.min(F.when(hit(strategy_a, tags[0]), F.col("ts"))).alias("det_a"),
-                F.min(F.when(hit(strategy_b, tags[1]), F.col("ts"))).alias("det_b")))
+           .agg(F.min(F.when(hit(strategy_a, tags[0]), F.col("ts"))).alias("a"),
+                F.min(F.when(hit(strategy_b, tags[1]), F.col("ts"))).alias("b")))
+    marks = det.unpivot(["SrcAddr", "day"], ["a", "b"], "map", "ts").where(F.col("ts").isNotNull())
     open_flows = att.where(~F.col("unused")).select("SrcAddr", "day", "ts")
-    marks = (det.select("SrcAddr", "day", F.lit("a").alias("map"), F.col("det_a").alias("ts"))
-             .unionByName(det.select("SrcAddr", "day", F.lit("b").alias("map"), F.col("det_b").alias("ts"))))
     later = count_after(marks, open_flows, ["SrcAddr", "day"], ["SrcAddr", "day", "map"])
     saved = later.groupBy("day").agg(
         F.sum(F.when(F.col("map") == "a", F.col("later"))).alias("saved_a"),
         F.sum(F.when(F.col("map") == "b", F.col("later"))).alias("saved_b"))
-    # Every day with open-port attacker flows has a row, 0 when nothing was saved.
-    days = open_flows.where(F.col("day").isNotNull()).select("day").distinct()
+    days = flows.where(F.col("day").isNotNull()).select("day").distinct()
     return (days.join(saved, "day", "left")
             .select("day", F.coalesce("saved_a", F.lit(0)).cast("bigint").alias("saved_a"),
                     F.coalesce("saved_b", F.lit(0)).cast("bigint").alias("saved_b")))

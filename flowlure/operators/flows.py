@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowlure import config
 from flowlure.functions import answered, flow_day, flow_timestamp, keyed_sample, unused_port
+from flowlure.operators.salting import salted_join
 
 
 def _prefixes(prefixes) -> tuple[str, ...]:
@@ -57,25 +58,17 @@ def daily_attackers(flows: DataFrame, min_hosts: int = config.MIN_ATTACKED_HOSTS
             .where((F.col("addr_count") >= min_hosts) | (F.col("port_count") >= min_ports)))
 
 
-def attacker_flows(flows: DataFrame, attackers: DataFrame | None = None, salts: int = 1,
+def attacker_flows(flows: DataFrame, attackers: DataFrame | None = None, salts: int = config.JOIN_SALTS,
                    **thresholds) -> DataFrame:
     """Flows of (source, day) attackers, as a left-semi join (no row multiplication).
 
-    The attacker table has one row per (source, day); AQE broadcasts it when its measured
-    size is small. Where a caller knows it is too large to broadcast (the jobs count it),
-    ``salts > 1`` salts the shuffle join: every flow gets a deterministic salt (hash of the
-    row mod ``salts``) and the attacker table is repeated once per salt, so a source holding
-    a large share of all flows is spread over ``salts`` partitions instead of one. Salting
-    a broadcastable table would only make it bigger, hence off by default.
+    The attacker table has one row per (source, day). The join is salted at any size, so a
+    source holding a large share of all flows is spread over ``salts`` pieces of each day;
+    AQE broadcasts the attacker side when its measured size is small.
     """
     if attackers is None:
         attackers = daily_attackers(flows, **thresholds)
-    keys = attackers.select("SrcAddr", "day")
-    if salts <= 1:
-        return flows.join(keys, ["SrcAddr", "day"], "left_semi")
-    salted = flows.withColumn("_salt", F.pmod(F.xxhash64(*flows.columns), F.lit(salts)))
-    spread_keys = keys.select("SrcAddr", "day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
-    return salted.join(spread_keys, ["SrcAddr", "day", "_salt"], "left_semi").drop("_salt")
+    return salted_join(flows, attackers.select("SrcAddr", "day"), ["SrcAddr", "day"], "left_semi", salts)
 
 
 def source_sample(flows: DataFrame, rate: float = config.SOURCE_SAMPLE_RATE,

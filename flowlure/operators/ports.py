@@ -19,14 +19,21 @@ def attacked_ports(flows: DataFrame, attackers: DataFrame) -> DataFrame:
     return triples.join(attackers.select("SrcAddr", "day"), ["SrcAddr", "day"], "left_semi")
 
 
-def attack_probability_daily(flows: DataFrame, drop_null_port: bool = False, **thresholds) -> DataFrame:
+def _unshared(df: DataFrame, name: str) -> DataFrame:
+    return df
+
+
+def attack_probability_daily(flows: DataFrame, drop_null_port: bool = False, share=_unshared, **thresholds) -> DataFrame:
     """Per (day, port): distinct attackers on the port / distinct attackers of the day.
 
     Sums over a day's ports exceed 1 since an attacker probes several ports. A NULL port
-    is its own group unless ``drop_null_port``. Output: day, Dport, attackers,
-    total_attackers, attack_probability.
+    is its own group unless ``drop_null_port``. ``share(df, name)`` may write what several
+    branches read: the distinct (source, day, host, port) tuples, of which the flows are
+    scanned once, and the attackers. Output: day, Dport, attackers, total_attackers,
+    attack_probability.
     """
-    attackers = daily_attackers(flows, **thresholds)
+    flows = share(flows.select("SrcAddr", "day", "DstAddr", "Dport").distinct(), "attack-tuples")
+    attackers = share(daily_attackers(flows, **thresholds), "attackers")
     totals = attackers.groupBy("day").agg(F.count("*").alias("total_attackers"))
     per_port = attacked_ports(flows, attackers).groupBy("day", "Dport").agg(F.count("*").alias("attackers"))
     if drop_null_port:
@@ -42,27 +49,39 @@ def _top(df: DataFrame, value: str, limit: int) -> DataFrame:
     return df.orderBy(F.col(value).desc(), F.col("Dport").asc_nulls_last()).limit(limit)
 
 
-def average_attackers_per_port(flows: DataFrame, limit: int = 100, **thresholds) -> DataFrame:
-    """Mean over days (on which the port occurs) of distinct attackers per port; top ``limit``."""
+def average_attackers_per_port(flows: DataFrame, limit: int = 100, include_zero_days: bool = False,
+                               share=_unshared, **thresholds) -> DataFrame:
+    """Mean over days of distinct attackers per port; top ``limit``.
+
+    Days on which no attacker touched the port do not count, or with ``include_zero_days``
+    count as 0 (days of the flows).
+    """
+    flows = share(flows.select("SrcAddr", "day", "DstAddr", "Dport").distinct(), "attack-tuples")
     per_day = (attacked_ports(flows, daily_attackers(flows, **thresholds))
                .groupBy("day", "Dport").agg(F.count("*").alias("attackers")))
-    means = per_day.groupBy("Dport").agg(F.avg("attackers").alias("average_count"))
+    if not include_zero_days:
+        means = per_day.groupBy("Dport").agg(F.avg("attackers").alias("average_count"))
+        return _top(means, "average_count", limit)
+    days = flows.where(F.col("day").isNotNull()).select("day").distinct().agg(F.count("*").alias("days"))
+    sums = per_day.groupBy("Dport").agg(F.sum("attackers").alias("sum"))
+    # One row of counts: a scalar for every port.
+    means = sums.join(F.broadcast(days)).select("Dport", (F.col("sum") / F.col("days")).alias("average_count"))
     return _top(means, "average_count", limit)
 
 
 def _host_ports(flows: DataFrame) -> DataFrame:
-    """Distinct (day, port, host): one shuffle (map-side de-duplicated) feeding both the
-    per-port and the per-day host counts, which then read the same exchange."""
+    """Distinct (day, port, host), de-duplicated map side; feeds the per-port and the per-day
+    host counts, which read one scan of the flows only where the caller shares it."""
     return flows.select("day", "Dport", "DstAddr").distinct()
 
 
-def open_port_probability_daily(flows: DataFrame) -> DataFrame:
+def open_port_probability_daily(flows: DataFrame, share=_unshared) -> DataFrame:
     """Per (day, port): hosts with an open (not unused) flow on the port / active hosts of the day.
 
     Active hosts are hosts with any open flow that day. Rows with a NULL port or NULL state
     are dropped. Output: day, Dport, host_count, active_hosts, ratio.
     """
-    hosts = _host_ports(flows.where(F.col("Dport").isNotNull() & ~F.col("unused")))
+    hosts = share(_host_ports(flows.where(F.col("Dport").isNotNull() & ~F.col("unused"))), "open-hosts")
     active = hosts.groupBy("day").agg(F.count_distinct("DstAddr").alias("active_hosts"))
     per_port = hosts.groupBy("day", "Dport").agg(F.count("*").alias("host_count"))
     return (per_port.join(active, "day")
@@ -71,9 +90,9 @@ def open_port_probability_daily(flows: DataFrame) -> DataFrame:
             .where(F.col("ratio") > 0))
 
 
-def production_ratio_daily(flows: DataFrame) -> DataFrame:
+def production_ratio_daily(flows: DataFrame, share=_unshared) -> DataFrame:
     """Per (day, port): hosts answering on the port / hosts answering on any port that day."""
-    hosts = _host_ports(flows.where(F.col("answered")))
+    hosts = share(_host_ports(flows.where(F.col("answered"))), "answering-hosts")
     totals = hosts.groupBy("day").agg(F.count_distinct("DstAddr").alias("total_hosts"))
     per_port = hosts.groupBy("day", "Dport").agg(F.count("*").alias("host_count"))
     return (per_port.join(totals, "day")
@@ -81,9 +100,9 @@ def production_ratio_daily(flows: DataFrame) -> DataFrame:
                     (F.col("host_count") / F.col("total_hosts")).alias("ratio")))
 
 
-def average_production_ratio(flows: DataFrame, limit: int = 100) -> DataFrame:
+def average_production_ratio(flows: DataFrame, limit: int = 100, share=_unshared) -> DataFrame:
     """Mean over days of the production ratio per port; top ``limit`` by the mean."""
-    means = production_ratio_daily(flows).groupBy("Dport").agg(F.avg("ratio").alias("average_ratio"))
+    means = production_ratio_daily(flows, share).groupBy("Dport").agg(F.avg("ratio").alias("average_ratio"))
     return _top(means, "average_ratio", limit)
 
 

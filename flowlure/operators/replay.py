@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from flowlure import config
 from flowlure.functions import flow_roll, place_by_probability, place_by_ratio
 from flowlure.operators.ports import unused_hosts_per_port
+from flowlure.operators.salting import salted_join
 from flowlure.operators.timeline import count_after, minute_of_day
 
 
@@ -35,7 +36,7 @@ def strategy_long(records: DataFrame, rationality: float | None = None,
         rec = rec.where(_round("rationality") == round(float(rationality), config.GRID_DECIMALS))
     if num_of_hp is not None:
         rec = rec.where(_round("num_of_hp") == round(float(num_of_hp), config.GRID_DECIMALS))
-    date = F.call_function("try_to_date", F.substring("date", 1, 10), F.lit("yyyy-MM-dd"))
+    date = F.substring("date", 1, 10).try_cast("date")
     sid = F.concat_ws("_", F.col("date"), F.col("num_of_hp").cast("string"), F.col("rationality").cast("string"))
     return rec.select(sid.alias("strategy_id"), F.date_add(date, 1).alias("application_date"),
                       "rationality", "num_of_hp", F.inline("stg"))
@@ -49,7 +50,7 @@ def honeypot_assignment(att_flows: DataFrame, strategies: DataFrame, mode: str =
     ``roll < prob / ratio`` with ``ratio = (unused hosts on the port + 1) / hosts of the day``.
     The roll is keyed by the flow only, so all strategies share it (and it survives
     re-execution). The strategy side is small (days x setups x ports): AQE broadcasts it
-    by measured size, so the flows are not shuffled for this join.
+    by measured size, and beyond that the join splits a hot (day, port) by a salt.
     Output: SrcAddr, DstAddr, Dport, ts, day, strategy_id, prob, roll[, ratio], is_hp.
     """
     cand = att_flows.where(F.col("unused")).select(
@@ -64,16 +65,16 @@ def _assign(cand: DataFrame, att_flows: DataFrame, strategies: DataFrame, mode:
         rule, extra = place_by_probability("roll", "prob"), []
     elif mode == "ratio":
         ratios = unused_hosts_per_port(att_flows).select("day", "Dport", "ratio")
-        cand = cand.join(ratios, ["day", "Dport"])
+        cand = salted_join(cand, ratios, ["day", "Dport"])
         rule, extra = place_by_ratio("ratio", "prob", "roll"), ["ratio"]
     else:
         raise ValueError(f"unknown placement mode {mode!r}")
-    return (cand.join(strat, ["day", "Dport"])
+    return (salted_join(cand, strat, ["day", "Dport"])
             .select("SrcAddr", "DstAddr", "Dport", "ts", "day", "strategy_id", "prob", "roll",
                     *extra, rule.alias("is_hp")))
 
 
-def record_low_flows(candidates: DataFrame, keys=("SrcAddr", "day", "Dport")) -> DataFrame:
+def record_low_flows(candidates: DataFrame, keys=("SrcAddr", "day", "Dport"), share=lambda df, name: df) -> DataFrame:
     """Flows whose roll is below every roll seen earlier in their (source, day, port).
 
     A first hit under any threshold rule that is fixed per (day, port, strategy) (``roll
@@ -82,7 +83,8 @@ def record_low_flows(candidates: DataFrame, keys=("SrcAddr", "day", "Dport")) ->
     window holds a hot group: record lows within each minute of the day (the only shuffle
     of the candidates), then only those below the minimum roll of all earlier minutes (a
     window over per-minute minima, at most 1,440 rows per group; the minimum of a minute is
-    always one of its record lows). Rows with a NULL time are kept.
+    always one of its record lows). Rows with a NULL time are kept. ``share(df, name)`` may
+    write the record lows of the minutes, which the floors and the result both read.
     """
     keys = list(keys)
     # Explicit exchange on all window keys: a window accepts a partitioning on a subset of
@@ -93,6 +95,7 @@ def record_low_flows(candidates: DataFrame, keys=("SrcAddr", "day", "Dport")) ->
     local = (cand.withColumn("_prev", F.min("roll").over(within))
              .where(F.col("ts").isNull() | F.col("_prev").isNull() | (F.col("roll") < F.col("_prev")))
              .drop("_prev"))
+    local = share(local, "record-lows")
     per_minute = local.where(F.col("_m").isNotNull()).groupBy(*keys, "_m").agg(F.min("roll").alias("_mr"))
     earlier = Window.partitionBy(*keys).orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
     floors = per_minute.select(*keys, "_m", F.min("_mr").over(earlier).alias("_floor"))
@@ -102,14 +105,14 @@ def record_low_flows(candidates: DataFrame, keys=("SrcAddr", "day", "Dport")) ->
 
 
 def detections(att_flows: DataFrame, strategies: DataFrame, mode: str = "prob",
-               seed: str = config.ROLL_SEED) -> DataFrame:
+               seed: str = config.ROLL_SEED, share=lambda df, name: df) -> DataFrame:
     """First hit per (source, strategy, day), equal to ``first_detection(honeypot_assignment(...))``.
 
     The strategy fan-out runs over :func:`record_low_flows` only, so a source with many
     flows on a port contributes about log(n) rows per minute instead of n rows per strategy.
     """
     cand = record_low_flows(att_flows.where(F.col("unused")).select(
-        "SrcAddr", "DstAddr", "Dport", "ts", "day", flow_roll(seed).alias("roll")))
+        "SrcAddr", "DstAddr", "Dport", "ts", "day", flow_roll(seed).alias("roll")), share=share)
     return first_detection(_assign(cand, att_flows, strategies, mode))
 
 
@@ -143,12 +146,18 @@ def saved_flows(att_flows: DataFrame, detections: DataFrame) -> DataFrame:
                     (F.col("saved") / F.col("total_attacks")).alias("saved_ratio")))
 
 
-def strategy_setup_summary(saved: DataFrame, strategies: DataFrame) -> DataFrame:
+def strategy_setup_summary(saved: DataFrame, strategies: DataFrame, zero_days: DataFrame | None = None) -> DataFrame:
     """Mean and sample standard deviation of ``saved_ratio`` per (rationality, num_of_hp).
 
-    Only days with a saved row enter the mean. stddev is NULL for a single day.
+    Only days with a saved row enter the mean, or with ``zero_days`` (distinct ``day``) also
+    those days, as 0, on which a strategy applied and saved nothing. stddev is NULL for a
+    single day.
     """
     setups = strategies.select("strategy_id", "rationality", "num_of_hp").distinct()
+    if zero_days is not None:
+        applied = strategies.select("strategy_id", F.col("application_date").alias("day")).distinct().join(zero_days, "day")
+        saved = (applied.join(saved.select("strategy_id", "day", "saved_ratio"), ["strategy_id", "day"], "left")
+                 .withColumn("saved_ratio", F.coalesce("saved_ratio", F.lit(0.0))))
     return (saved.join(setups, "strategy_id")
             .groupBy("rationality", "num_of_hp")
             .agg(F.avg("saved_ratio").alias("avg_saved_ratio"),
@@ -156,12 +165,14 @@ def strategy_setup_summary(saved: DataFrame, strategies: DataFrame) -> DataFrame
 
 
 def port_hit_summary(assignment: DataFrame, detections: DataFrame | None = None,
-                     share=lambda df, name: df) -> DataFrame:
+                     share=lambda df, name: df, include_zero_days: bool = False) -> DataFrame:
     """Per port: hits at the moment of detection counted per day; mean and stddev over days.
 
     All assigned flows at the detection time count (ties included). The match is an
     equi-join on (source, strategy, day, time), so a hot source spreads over its times.
-    ``share(df, name)`` receives the hit rows, read twice (detection and match).
+    ``share(df, name)`` receives the hit rows, read twice (detection and match). Days without
+    a hit on the port do not count, or with ``include_zero_days`` count as 0 (days of the
+    assignment).
     Output: Dport, avg_hit, stddev (sorted by avg_hit descending).
     """
     hp = share(assignment.where(F.col("is_hp")).select("SrcAddr", "strategy_id", "day", "ts", "Dport"), "hit-rows")
@@ -170,6 +181,14 @@ def port_hit_summary(assignment: DataFrame, detections: DataFrame | None = None,
     hits = hp.join(
         detections.withColumnRenamed("detection_time", "ts"), ["SrcAddr", "strategy_id", "day", "ts"], "left_semi")
     per_day = hits.groupBy("Dport", "day").agg(F.count("*").alias("hit"))
+    if include_zero_days:
+        days = assignment.select("day").distinct().agg(F.count("*").alias("n"))
+        sums = per_day.groupBy("Dport").agg(F.sum("hit").alias("s"), F.sum(F.col("hit") * F.col("hit")).alias("q"))
+        n, s = F.col("n"), F.col("s")
+        return (sums.join(F.broadcast(days))  # one row: a scalar for every port
+                .select("Dport", (s / n).alias("avg_hit"),
+                        F.when(n > 1, F.sqrt((F.col("q") - s * s / n) / (n - 1))).alias("stddev"))
+                .orderBy(F.col("avg_hit").desc(), F.col("Dport").asc()))
     return (per_day.groupBy("Dport")
             .agg(F.avg("hit").alias("avg_hit"), F.stddev_samp("hit").alias("stddev"))
             .orderBy(F.col("avg_hit").desc(), F.col("Dport").asc()))

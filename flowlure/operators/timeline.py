@@ -1,21 +1,19 @@
 """Counting later events per mark without a per-row fan-out over hot keys.
 
 ``count_after(marks, events, keys, ...)`` gives, for every mark row, the number of event
-rows with the same ``keys`` and a strictly later time. A plain join on ``keys`` would
-pair each mark with every event of its key: for a source that sends millions of flows a
-day, times the number of strategies. Here
-
-* events are pre-aggregated per (keys, minute of day) with map-side partial counts, and
-  marks join those counts for all later minutes (at most 1,440 rows per key), and
-* only the events inside the mark's own minute are compared row by row, via an
-  equi-join that includes the minute, so a hot key is spread over its minutes.
-
-Both parts are exact; ``keys`` must include the day so minutes are comparable.
+rows with the same ``keys`` and a strictly later time. A plain join on ``keys`` would pair
+each mark with every event of its key: for a source that sends millions of flows a day,
+times the number of strategies. Here the day is cut into minutes, seconds and microseconds.
+Events are counted per time of each level, with map-side partial counts; marks are placed
+among those counts, and one running sum per level gives what is later: minutes after the
+mark's own, seconds after its own in that minute, microseconds after its own in that
+second. Work is linear in marks plus counts, and a flood inside one minute is split by its
+seconds. All of it is exact; ``keys`` must include the day so times of day are comparable.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,23 +21,46 @@ def minute_of_day(ts: Column) -> Column:
     return F.hour(ts) * 60 + F.minute(ts)
 
 
+def second_of_day(ts: Column) -> Column:
+    return minute_of_day(ts) * 60 + F.second(ts)
+
+
+def microsecond(ts: Column) -> Column:
+    """Microseconds since the full second."""
+    return F.pmod((F.extract(F.lit("SECOND"), ts) * 1000000).cast("int"), F.lit(1000000))
+
+
+def _later(marks: DataFrame, counts: DataFrame, group: list[str], order: str, mark_id: list[str], out: str) -> DataFrame:
+    """Per mark, the sum of ``_n`` over rows of its group with a greater ``order``."""
+    # Both sides carry all columns; a count row has no mark, a mark counts nothing.
+    ids = [c for c in mark_id if c not in group]
+    rows = counts.select(*group, order, "_n", *[F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in ids], F.lit(False).alias("_mark"))
+    rows = rows.unionByName(marks.select(*group, order, F.lit(0).cast("long").alias("_n"), *ids, F.lit(True).alias("_mark")))
+    after = Window.partitionBy(*group).orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, -1)
+    return rows.repartition(*group).withColumn(out, F.sum("_n").over(after)).where(F.col("_mark") & (F.col(out) > 0)).select(*mark_id, out)
+
+
 def count_after(marks: DataFrame, events: DataFrame, keys: list[str], mark_id: list[str],
                 mark_time: str = "ts", event_time: str = "ts", out: str = "later") -> DataFrame:
     """Per mark (identified by ``mark_id``, which includes ``keys``): events strictly after it.
 
     Returns ``mark_id`` + ``out``; marks without a later event are absent.
     """
-    # One exchange on (keys, minute) serves both the per-minute counts and the same-minute
-    # join; it is explicit because an aggregate would accept an inherited partitioning on
-    # ``keys`` alone (e.g. after a shuffle join on them) and count a hot key in one task.
-    ev = (events.select(*keys, F.col(event_time).alias("_et")).withColumn("_eb", minute_of_day(F.col("_et")))
-          .repartition(*keys, "_eb"))
-    per_minute = ev.groupBy(*keys, "_eb").agg(F.count("*").alias("_n"))
-    m = marks.select(*mark_id, F.col(mark_time).alias("_mt")).withColumn("_mb", minute_of_day(F.col("_mt")))
-    later_minutes = (m.join(per_minute, keys)
-                     .where(F.col("_eb") > F.col("_mb"))
-                     .groupBy(*mark_id).agg(F.sum("_n").alias(out)))
-    same_minute = (m.join(ev.withColumnRenamed("_eb", "_mb"), [*keys, "_mb"])
-                   .where(F.col("_et") > F.col("_mt"))
-                   .groupBy(*mark_id).agg(F.count("*").alias(out)))
-    return later_minutes.unionByName(same_minute).groupBy(*mark_id).agg(F.sum(out).alias(out))
+    def timed(df: DataFrame, columns: list[str], time: str) -> DataFrame:
+        t = F.col(time)
+        known = df.where(t.isNotNull()).select(*columns, second_of_day(t).alias("_s"), microsecond(t).alias("_u"))
+        return known.withColumn("_m", F.floor(F.col("_s") / 60).cast("int"))
+
+    # The exchange on (keys, second) is explicit because an aggregate would accept an
+    # inherited partitioning on ``keys`` alone and count a hot key in one task.
+    ev = timed(events, keys, event_time).repartition(*keys, "_s")
+    instants = ev.groupBy(*keys, "_m", "_s", "_u").agg(F.count("*").alias("_n"))
+    seconds = instants.groupBy(*keys, "_m", "_s").agg(F.sum("_n").alias("_n"))
+    minutes = seconds.groupBy(*keys, "_m").agg(F.sum("_n").alias("_n"))
+    m = timed(marks, mark_id, mark_time)
+    parts = [
+        _later(m, minutes, keys, "_m", mark_id, out),
+        _later(m, seconds, [*keys, "_m"], "_s", mark_id, out),
+        _later(m, instants, [*keys, "_m", "_s"], "_u", mark_id, out),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*mark_id).agg(F.sum(out).alias(out))

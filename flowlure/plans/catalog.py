@@ -41,7 +41,7 @@ from flowlure.operators import (
     top_attacked_ports,
     unused_hosts_per_port,
 )
-from flowlure.plans.persist import materialize, sized_attacker_flows
+from flowlure.plans.persist import materialize
 from flowlure.sources.events import EVENTS_SCHEMA, flows_from_events, strategy_records_fixture
 
 ROUND = 9
@@ -57,31 +57,7 @@ def _r(col: str):
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet"), "event_id")
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-split a table that is read as one single input split.
-
-    A table stored as one row group is read by one task; every per-row derivation on it
-    would then run single-threaded, and filters would be pushed below a plain repartition
-    back into that one task. One split is bounded by the split size, so its split form is
-    cached; later filters run on the cached partitions in parallel. Any table read in two
-    or more splits passes through unchanged (no extra shuffle, nothing cached).
-    """
-    try:
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (Spark Connect): leave the scan as is
-        return df
-    if splits == 1:
-        return df.repartition(spark_cores(df), key).cache()
-    return df
-
-
-def spark_cores(df: DataFrame) -> int:
-    from flowlure.session import default_parallelism
-
-    return default_parallelism(df.sparkSession)
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
 
 
 def raw_flows(spark, sf_dir) -> DataFrame:
@@ -112,7 +88,8 @@ def strategies_from(base: DataFrame) -> DataFrame:
 
 
 def stats(spark, sf_dir) -> DataFrame:
-    return daily_port_statistics(wide_flows(spark, sf_dir))
+    # All branches of the statistics read one written table of distinct tuples.
+    return daily_port_statistics(wide_flows(spark, sf_dir), share=materialize)
 
 
 def q_prepared_flows(spark, sf):
@@ -128,23 +105,23 @@ def q_attacker_flows(spark, sf):
 
 
 def q_attack_probability_daily(spark, sf):
-    return attack_probability_daily(wide_flows(spark, sf))
+    return attack_probability_daily(wide_flows(spark, sf), share=materialize)
 
 
 def q_average_attackers_per_port(spark, sf):
-    return average_attackers_per_port(wide_flows(spark, sf))
+    return average_attackers_per_port(wide_flows(spark, sf), share=materialize)
 
 
 def q_open_port_probability_daily(spark, sf):
-    return open_port_probability_daily(wide_flows(spark, sf))
+    return open_port_probability_daily(wide_flows(spark, sf), share=materialize)
 
 
 def q_production_ratio_daily(spark, sf):
-    return production_ratio_daily(wide_flows(spark, sf))
+    return production_ratio_daily(wide_flows(spark, sf), share=materialize)
 
 
 def q_average_production_ratio(spark, sf):
-    return average_production_ratio(wide_flows(spark, sf)).select("Dport", _r("average_ratio"))
+    return average_production_ratio(wide_flows(spark, sf), share=materialize).select("Dport", _r("average_ratio"))
 
 
 def q_daily_port_statistics(spark, sf):
@@ -176,12 +153,9 @@ def _evaluation(spark, sf, mode="prob", setup=None, shared=False):
     detection, totals and saved-flow counts all read them.
     """
     base = eval_base(spark, sf)
+    att = attacker_flows(without_null_ports(base))
     if shared:
-        # Written once; the attacker table is counted first: broadcast when small, else a
-        # salted shuffle join (hot sources split), as in the batch jobs.
-        att = materialize(sized_attacker_flows(without_null_ports(base), materialize), "attacker-flows")
-    else:
-        att = attacker_flows(without_null_ports(base))
+        att = materialize(att, "attacker-flows")
     strat = strategies_from(base)
     if setup is not None:
         strat = strat.where((F.round("rationality", 6) == setup[0]) & (F.round("num_of_hp", 6) == setup[1]))
@@ -194,17 +168,17 @@ def q_honeypot_assignment(spark, sf):
 
 def q_first_detection(spark, sf):
     att, strat, _ = _evaluation(spark, sf)
-    return detections(att, strat)
+    return detections(att, strat, share=materialize)
 
 
 def q_saved_flows(spark, sf):
     att, strat, _ = _evaluation(spark, sf, shared=True)
-    return saved_flows(att, materialize(detections(att, strat), "detections"))
+    return saved_flows(att, materialize(detections(att, strat, share=materialize), "detections"))
 
 
 def q_strategy_setup_summary(spark, sf):
     att, strat, _ = _evaluation(spark, sf, shared=True)
-    saved = saved_flows(att, materialize(detections(att, strat), "detections"))
+    saved = saved_flows(att, materialize(detections(att, strat, share=materialize), "detections"))
     return strategy_setup_summary(saved, strat).select("rationality", "num_of_hp", _r("avg_saved_ratio"), _r("stddev"))
 
 

@@ -15,10 +15,12 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlure import config
 from flowlure.operators import (
     attack_probability_daily,
+    attacker_flows,
     average_attackers_per_port,
     average_production_ratio,
     daily_port_statistics,
@@ -37,11 +39,12 @@ from flowlure.operators import (
     sweep_records,
     top_attacked_ports,
 )
-from flowlure.plans.persist import ScratchTables, broadcast_if_small, sized_attacker_flows
+from flowlure.plans.persist import ScratchTables
 from flowlure.sources import (
     read_daily_statistics,
     read_flow_archive,
     read_statistics_document,
+    read_statistics_lines,
     read_strategies,
     write_csv,
     write_daily_statistics,
@@ -57,85 +60,104 @@ def _flows(spark, archive, days=None, start=None, end=None, prefix=config.NETWOR
                          drop_null_port=drop_null_port)
 
 
-def attack_probability_job(spark, archive, output, **window):
+NEW = "errorifexists"
+
+
+def attack_probability_job(spark, archive, output, write_mode=NEW, **window):
     """Daily attack probability per port -> parquet."""
-    write_parquet(attack_probability_daily(_flows(spark, archive, **window)), output)
+    with ScratchTables(spark) as keep:
+        write_parquet(attack_probability_daily(_flows(spark, archive, **window), share=keep), output, write_mode)
 
 
-def open_port_probability_job(spark, archive, output, **window):
+def open_port_probability_job(spark, archive, output, write_mode=NEW, **window):
     """Daily open-port share per port -> parquet."""
-    write_parquet(open_port_probability_daily(_flows(spark, archive, **window)), output)
+    with ScratchTables(spark) as keep:
+        write_parquet(open_port_probability_daily(_flows(spark, archive, **window), share=keep), output, write_mode)
 
 
-def port_reports_job(spark, archive, output, limit=100, **window):
+def port_reports_job(spark, archive, output, limit=100, include_zero_days=False, write_mode=NEW, **window):
     """Top ports by mean daily attackers and by mean production share -> two CSV folders."""
     flows = _flows(spark, archive, **window)
-    write_csv(average_attackers_per_port(flows, limit=limit), f"{output}/average_attackers")
-    write_csv(average_production_ratio(flows, limit=limit), f"{output}/average_production_ratio")
+    with ScratchTables(spark) as keep:
+        attackers = average_attackers_per_port(flows, limit=limit, include_zero_days=include_zero_days, share=keep)
+        write_csv(attackers, f"{output}/average_attackers", write_mode)
+        write_csv(average_production_ratio(flows, limit=limit, share=keep), f"{output}/average_production_ratio", write_mode)
 
 
-def daily_statistics_job(spark, archive, output, **window):
+def daily_statistics_job(spark, archive, output, write_mode=NEW, **window):
     """Daily port statistics -> NDJSON records and per-day nested lines."""
     with ScratchTables(spark) as keep:
         stats = keep(daily_port_statistics(_flows(spark, archive, **window), share=keep), "daily-statistics")
-        write_daily_statistics(stats, f"{output}/records")
-        write_statistics_lines(daily_statistics_document(stats), f"{output}/document")
+        write_daily_statistics(stats, f"{output}/records", write_mode)
+        write_statistics_lines(daily_statistics_document(stats), f"{output}/document", write_mode)
 
 
-def strategy_generation_job(spark, statistics, output, document=False, rationality_step=0.1,
+def _statistics(spark, path, document=False, lines=False) -> DataFrame:
+    if document:
+        return read_statistics_document(spark, path)
+    return read_statistics_lines(spark, path) if lines else read_daily_statistics(spark, path)
+
+
+def strategy_generation_job(spark, statistics, output, document=False, lines=False, write_mode=NEW, rationality_step=0.1,
                             max_honeypots=7.0, honeypot_step=1.0, top=config.TOP_PORTS,
                             rationalities=None, honeypots=None):
-    """Statistics (NDJSON records, or the nested document) -> strategy sweep -> NDJSON strategies.
+    """Statistics (NDJSON records, per-day lines or the nested document) -> strategy sweep -> NDJSON strategies.
 
     The grid is 0..1 by ``rationality_step`` x 0..``max_honeypots`` by ``honeypot_step``
     unless explicit ``rationalities`` / ``honeypots`` lists are given (e.g. one fixed point).
     """
-    stats = read_statistics_document(spark, statistics) if document else read_daily_statistics(spark, statistics)
+    stats = _statistics(spark, statistics, document, lines)
     sweep = strategy_sweep(top_attacked_ports(stats, top), rationalities=rationalities, honeypots=honeypots,
                            rationality_step=rationality_step, max_honeypots=max_honeypots,
                            honeypot_step=honeypot_step)
-    write_strategies(sweep_records(sweep), output)
+    write_strategies(sweep_records(sweep), output, write_mode)
 
 
 def strategy_evaluation_job(spark, archive, strategies, output, rationality=None, num_of_hp=None,
-                            mode="prob", **window):
+                            mode="prob", document=False, include_zero_days=False, write_mode=NEW, **window):
     """Replay the archive against a strategy file; per-setup mean/stddev of the saved ratio -> CSV.
 
     Also writes the per-(strategy, day) saved rows next to it (``<output>_daily``).
+    ``document``: the strategies are a ``{"data": [...]}`` document with port maps.
     """
     flows = _flows(spark, archive, prefix=config.NETWORK_PREFIX_EVAL, drop_null_port=True, **window)
-    strat = broadcast_if_small(strategy_long(read_strategies(spark, strategies), rationality=rationality,
-                                             num_of_hp=num_of_hp))
+    strat = strategy_long(read_strategies(spark, strategies, document), rationality=rationality, num_of_hp=num_of_hp)
     with ScratchTables(spark) as keep:
-        att = keep(sized_attacker_flows(flows, keep), "attacker-flows")
-        det = keep(detections(att, strat, mode=mode), "detections")
+        att = keep(attacker_flows(flows), "attacker-flows")
+        det = keep(detections(att, strat, mode=mode, share=keep), "detections")
         saved = keep(saved_flows(att, det), "saved-flows")
-        write_csv(saved, f"{output}_daily")
-        write_csv(strategy_setup_summary(saved, strat), output)
+        write_csv(saved, f"{output}_daily", write_mode)
+        open_days = att.where(~F.col("unused")).select("day").distinct() if include_zero_days else None
+        write_csv(strategy_setup_summary(saved, strat, zero_days=open_days), output, write_mode)
 
 
-def port_evaluation_job(spark, archive, strategies, output, rationality, num_of_hp, **window):
+def port_evaluation_job(spark, archive, strategies, output, rationality, num_of_hp, document=False,
+                        include_zero_days=False, write_mode=NEW, **window):
     """Ports hit at detection time (ratio placement) for one setup -> CSV."""
     flows = _flows(spark, archive, prefix=config.NETWORK_PREFIX_EVAL, drop_null_port=True, **window)
-    strat = broadcast_if_small(strategy_long(read_strategies(spark, strategies), rationality=rationality,
-                                             num_of_hp=num_of_hp))
+    strat = strategy_long(read_strategies(spark, strategies, document), rationality=rationality, num_of_hp=num_of_hp)
     with ScratchTables(spark) as keep:
-        att = keep(sized_attacker_flows(flows, keep), "attacker-flows")
-        write_csv(port_hit_summary(honeypot_assignment(att, strat, mode="ratio"), share=keep), output)
+        att = keep(attacker_flows(flows), "attacker-flows")
+        assignment = honeypot_assignment(att, strat, mode="ratio")
+        write_csv(port_hit_summary(assignment, share=keep, include_zero_days=include_zero_days), output, write_mode)
 
 
-def fixed_strategy_job(spark, archive, output, strategy=None, tag="mixed", **window):
-    """Yearly replay of a fixed port map -> parquet (day, saved_count, hp_count)."""
+def fixed_strategy_job(spark, archive, output, fixed_map="mixed", strategy=None, write_mode=NEW, **window):
+    """Yearly replay of a fixed port map -> parquet (day, saved_count, hp_count).
+
+    ``fixed_map`` names one of ``config.FIXED_MAPS`` and tags its rolls; ``strategy`` may replace the map.
+    """
+    strategy = config.FIXED_MAPS[fixed_map] if strategy is None else strategy
     with ScratchTables(spark) as keep:
-        write_parquet(fixed_strategy_daily_results(_flows(spark, archive, **window), strategy=strategy, tag=tag,
-                                                   share=keep), output)
+        write_parquet(fixed_strategy_daily_results(_flows(spark, archive, **window), strategy=strategy, tag=fixed_map,
+                                                   share=keep), output, write_mode)
 
 
-def pair_comparison_job(spark, archive, output, rate=config.SOURCE_SAMPLE_RATE, **window):
+def pair_comparison_job(spark, archive, output, rate=config.SOURCE_SAMPLE_RATE, write_mode=NEW, **window):
     """Mixed vs always-on fixed maps on a keyed source sample -> CSV per day."""
     flows = _flows(spark, archive, prefix=config.NETWORK_PREFIX_EVAL, **window)
     with ScratchTables(spark) as keep:
-        write_csv(strategy_pair_comparison(flows, rate=rate, share=keep), output)
+        write_csv(strategy_pair_comparison(flows, rate=rate, share=keep), output, write_mode)
 
 
 JOBS = {
@@ -157,7 +179,11 @@ def main(argv=None) -> None:
     ap.add_argument("--archive", help="flow archive root (partitioned by _yyyymd)")
     ap.add_argument("--strategies", help="strategy NDJSON file or folder")
     ap.add_argument("--statistics", help="statistics NDJSON (or --document for the nested form)")
-    ap.add_argument("--document", action="store_true")
+    ap.add_argument("--document", action="store_true", help="the statistics or strategies file is one nested document")
+    ap.add_argument("--lines", action="store_true", help="the statistics are per-day lines")
+    ap.add_argument("--fixed-map", choices=sorted(config.FIXED_MAPS), default="mixed", help="map of the fixed replay")
+    ap.add_argument("--include-zero-days", action="store_true", help="days without an event enter means as 0")
+    ap.add_argument("--overwrite", action="store_true", help="replace an output that exists")
     ap.add_argument("--output", required=True)
     ap.add_argument("--days", help="comma list of partition values or globs, e.g. 2017-3-8,2017-3-9 or 2016-*")
     ap.add_argument("--start"), ap.add_argument("--end")
@@ -169,19 +195,25 @@ def main(argv=None) -> None:
     ap.add_argument("--honeypot-step", type=float, default=1.0)
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName(f"flowlure-{a.job}").getOrCreate()
-    window = {"days": a.days.split(",") if a.days else None, "start": a.start, "end": a.end}
+    write_mode = "overwrite" if a.overwrite else NEW
+    window = {"write_mode": write_mode, "days": a.days.split(",") if a.days else None, "start": a.start, "end": a.end}
     job = a.job
     if job == "strategy-generation":
-        strategy_generation_job(spark, a.statistics, a.output, document=a.document,
-                                rationality_step=a.rationality_step, max_honeypots=a.max_honeypots,
+        strategy_generation_job(spark, a.statistics, a.output, document=a.document, lines=a.lines,
+                                write_mode=write_mode, rationality_step=a.rationality_step, max_honeypots=a.max_honeypots,
                                 honeypot_step=a.honeypot_step,
                                 rationalities=[a.rationality] if a.rationality is not None else None,
                                 honeypots=[a.num_of_hp] if a.num_of_hp is not None else None)
     elif job == "strategy-evaluation":
         strategy_evaluation_job(spark, a.archive, a.strategies, a.output, a.rationality, a.num_of_hp,
-                                mode=a.mode, **window)
+                                mode=a.mode, document=a.document, include_zero_days=a.include_zero_days, **window)
     elif job == "port-evaluation":
-        port_evaluation_job(spark, a.archive, a.strategies, a.output, a.rationality, a.num_of_hp, **window)
+        port_evaluation_job(spark, a.archive, a.strategies, a.output, a.rationality, a.num_of_hp,
+                            document=a.document, include_zero_days=a.include_zero_days, **window)
+    elif job == "fixed-strategy":
+        fixed_strategy_job(spark, a.archive, a.output, fixed_map=a.fixed_map, **window)
+    elif job == "port-reports":
+        port_reports_job(spark, a.archive, a.output, include_zero_days=a.include_zero_days, **window)
     elif job == "pair-comparison":
         pair_comparison_job(spark, a.archive, a.output, rate=a.rate, **window)
     else:

@@ -265,10 +265,11 @@ pc_det AS (
   SELECT SrcAddr, "day",
     min(CASE WHEN prob_a IS NOT NULL AND ((ratio <= prob_a) OR (roll_a < prob_a / ratio)) AND unused THEN ts END) AS det_a,
     min(CASE WHEN prob_b IS NOT NULL AND ((ratio <= prob_b) OR (roll_b < prob_b / ratio)) AND unused THEN ts END) AS det_b
-  FROM scored GROUP BY SrcAddr, "day")""") + """SELECT o."day", count(*) FILTER (WHERE o.ts > d.det_a) AS saved_a, count(*) FILTER (WHERE o.ts > d.det_b) AS saved_b
-FROM (SELECT SrcAddr, "day", ts FROM attf_s WHERE NOT unused) o
-JOIN pc_det d ON o.SrcAddr = d.SrcAddr AND o."day" = d."day"
-GROUP BY o."day\""""
+  FROM scored GROUP BY SrcAddr, "day")""") + """SELECT a."day", count(*) FILTER (WHERE o.ts > d.det_a) AS saved_a, count(*) FILTER (WHERE o.ts > d.det_b) AS saved_b
+FROM (SELECT DISTINCT "day" FROM flows_eval_all WHERE "day" IS NOT NULL) a
+LEFT JOIN (SELECT SrcAddr, "day", ts FROM attf_s WHERE NOT unused) o ON o."day" = a."day"
+LEFT JOIN pc_det d ON o.SrcAddr = d.SrcAddr AND o."day" = d."day"
+GROUP BY a."day\""""
     q["top_attacked_ports"] = _with(WIDE, STATS) + f"""SELECT * FROM (
   SELECT "day", port, attack_probability, open_port_probability,
          CAST(row_number() OVER (PARTITION BY "day" ORDER BY attack_probability DESC, port ASC) AS INTEGER) AS rank

@@ -59,41 +59,3 @@ class ScratchTables:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
         self.paths.clear()
-
-
-# A broadcast side up to this many rows (strategy rows are ~60 bytes: ~120 MB) is sent to
-# every executor instead of shuffling the flows it joins.
-BROADCAST_ROW_LIMIT = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` when a count proves it small; otherwise leave the join to the planner.
-
-    For inputs read from small files (strategy tables): the count is a cheap action on that
-    file, and beyond ``max_rows`` the join stays a shuffle join (AQE splits skewed keys).
-    """
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
-# Above this many attacker (source, day) rows the attacker join is a salted shuffle join.
-ATTACKER_BROADCAST_ROWS = 5_000_000
-ATTACKER_JOIN_SALTS = 16
-
-
-def sized_attacker_flows(flows: DataFrame, keep, **thresholds) -> DataFrame:
-    """Attacker flows with the join strategy chosen from the attacker table's row count.
-
-    The attacker table is written once (``keep``) and counted from the written table; up to
-    ``ATTACKER_BROADCAST_ROWS`` it is broadcast (no shuffle of the flows), beyond that the
-    semi-join is a shuffle join salted ``ATTACKER_JOIN_SALTS`` ways so a hot source is split.
-    """
-    from pyspark.sql import functions as F
-
-    from flowlure.operators import attacker_flows, daily_attackers
-
-    attackers = keep(daily_attackers(flows, **thresholds).select("SrcAddr", "day"), "attackers")
-    if attackers.count() <= ATTACKER_BROADCAST_ROWS:
-        return attacker_flows(flows, F.broadcast(attackers))
-    return attacker_flows(flows, attackers, salts=ATTACKER_JOIN_SALTS)

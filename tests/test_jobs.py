@@ -74,31 +74,65 @@ def test_command_line(archive, tmp_path):
     assert any(name.endswith(".json") for name in os.listdir(strategies))
 
 
-def test_broadcast_only_below_the_checked_size(spark):
-    from flowlure.plans.persist import broadcast_if_small
-
-    big = spark.range(100000).withColumnRenamed("id", "k")
-    small = spark.range(10).withColumnRenamed("id", "k")
-    hinted = big.join(broadcast_if_small(small), "k")._jdf.queryExecution().optimizedPlan().toString()
-    plain = big.join(broadcast_if_small(small, max_rows=5), "k")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in hinted.lower() and "broadcast" not in plain.lower()
-
-
-def test_sized_attacker_flows_both_ways(spark, archive):
+def test_salted_join_equals_a_plain_one(spark, archive):
     from flowlure.config import NETWORK_PREFIX_EVAL
-    from flowlure.operators import attacker_flows, prepare_flows
-    from flowlure.plans import persist
-    from flowlure.plans.persist import ScratchTables, sized_attacker_flows
+    from flowlure.operators import attacker_flows, daily_attackers, prepare_flows
     from flowlure.sources import read_flow_archive
 
     flows = prepare_flows(read_flow_archive(spark, archive), NETWORK_PREFIX_EVAL)
-    want = sorted((tuple(r) for r in attacker_flows(flows).collect()), key=repr)
-    limit = persist.ATTACKER_BROADCAST_ROWS
-    try:
-        with ScratchTables(spark) as keep:
-            assert sorted((tuple(r) for r in sized_attacker_flows(flows, keep).collect()), key=repr) == want
-            persist.ATTACKER_BROADCAST_ROWS = 0  # force the salted shuffle join
-            salted = sized_attacker_flows(flows, keep)
-            assert sorted((tuple(r) for r in salted.collect()), key=repr) == want
-    finally:
-        persist.ATTACKER_BROADCAST_ROWS = limit
+    keys = daily_attackers(flows).select("SrcAddr", "day")
+    want = sorted((tuple(r) for r in flows.join(keys, ["SrcAddr", "day"], "left_semi").select(*flows.columns).collect()), key=repr)
+    assert sorted((tuple(r) for r in attacker_flows(flows).select(*flows.columns).collect()), key=repr) == want
+
+
+def test_outputs_are_not_replaced_unasked(spark, archive, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    out = str(tmp_path / "attack")
+    jobs.attack_probability_job(spark, archive, out, days=["2024-1-2"])
+    with pytest.raises(AnalysisException):
+        jobs.attack_probability_job(spark, archive, out, days=["2024-1-3"])
+    jobs.attack_probability_job(spark, archive, out, days=["2024-1-3"], write_mode="overwrite")
+    assert {str(r.day) for r in spark.read.parquet(out).select("day").distinct().collect()} == {"2024-01-03"}
+
+
+def test_strategies_from_per_day_lines_and_map_documents(spark, archive, tmp_path):
+    import json
+
+    out = str(tmp_path)
+    jobs.daily_statistics_job(spark, archive, f"{out}/stats", days=["2024-1-2"])
+    for name, kind in (("records", {}), ("document", {"lines": True})):
+        jobs.strategy_generation_job(spark, f"{out}/stats/{name}", f"{out}/{name}", rationalities=[0.5], honeypots=[1.0], **kind)
+    both = [sorted((r.date, r.rationality, r.num_of_hp, r.stg) for r in spark.read.json(f"{out}/{n}").collect()) for n in ("records", "document")]
+    assert both[0] == both[1]
+    record = {"date": "2024-01-01", "rationality": 0.5, "num_of_hp": 1.0, "reward": 0.0, "used_hps": 0.9, "stg": {"22": 0.4, "80": 0.5}}
+    listed = dict(record, stg=[{"port": 22, "prob": 0.4}, {"port": 80, "prob": 0.5}])
+    with open(f"{out}/maps.json", "w") as fh:
+        json.dump({"data": [record]}, fh, indent=1)
+    with open(f"{out}/lists.json", "w") as fh:
+        fh.write(json.dumps(listed))
+    jobs.strategy_evaluation_job(spark, archive, f"{out}/maps.json", f"{out}/a", document=True)
+    jobs.strategy_evaluation_job(spark, archive, f"{out}/lists.json", f"{out}/b")
+    read = lambda x: sorted(tuple(r) for r in spark.read.csv(f"{out}/{x}_daily", header=True).collect())
+    assert read("a") == read("b")
+
+
+def test_choice_of_the_fixed_map(spark, archive, tmp_path):
+    from flowlure import config
+
+    for name in config.FIXED_MAPS:
+        jobs.fixed_strategy_job(spark, archive, f"{tmp_path}/{name}", fixed_map=name)
+        assert spark.read.parquet(f"{tmp_path}/{name}").columns == ["day", "saved_count", "hp_count"]
+
+
+def test_checkpoint_folder_is_required_off_a_local_master():
+    from flowlure.session import _local_folder
+
+    class Conf:
+        def __init__(self, master):
+            self.get = lambda key, default=None: master
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            _local_folder(type("Session", (), {"conf": Conf(master)})())
+    assert os.path.isdir(_local_folder(type("Session", (), {"conf": Conf("local[2]")})()))

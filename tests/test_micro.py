@@ -133,19 +133,76 @@ def test_optional_whole_row_dedupe(spark):
     assert prepare_flows(raw, "147.32.8", dedupe=True).count() == 2
 
 
-def test_ratio_placement_matches_rule(spark):
-    import random
-
+def test_ratio_placement_by_hand(spark):
     from flowlure.functions import place_by_ratio
 
-    def rule(ratio, prob, roll):
-        if ratio <= prob:
-            return True
-        return roll < prob / ratio
-
-    rng = random.Random(11)
-    rows = [(rng.choice([rng.random() * 1.5 + 1e-6, 0.5]), rng.choice([rng.random(), 0.5, 0.0, 1.0]), rng.random())
-            for _ in range(2000)]
-    df = spark.createDataFrame(rows, "ratio double, prob double, roll double")
-    got = [r.hp for r in df.select(place_by_ratio().alias("hp")).collect()]
-    assert got == [rule(*t) for t in rows]
+    # ratio, prob, roll -> honeypot; scaled chance prob / ratio in the comment
+    cases = [
+        (0.2, 0.5, 0.99, True),    # few candidates: always
+        (0.5, 0.5, 0.99, True),    # as many as the share
+        (1.0, 0.5, 0.49, True),    # 0.5
+        (1.0, 0.5, 0.5, False),    # 0.5, not below
+        (0.8, 0.2, 0.24, True),    # 0.25
+        (0.8, 0.2, 0.26, False),   # 0.25
+        (1.5, 0.75, 0.6, False),   # 0.5: shares above one are possible
+        (0.4, 0.0, 0.0, False),    # never
+        (0.0, 0.0, 0.9, True),     # no host at all: the share is reached
+    ]
+    df = spark.createDataFrame(cases, "ratio double, prob double, roll double, want boolean")
+    assert df.where(place_by_ratio() != F.col("want")).count() == 0
+
+
+def test_times_do_not_pass_through_the_session_zone(spark):
+    """Nights when clocks change: times, days, rolls and counts are the same in every zone."""
+    from flowlure.functions import flow_roll
+    from flowlure.operators.timeline import count_after
+
+    times = [f"{day} {time}" for day in ("2017/03/26", "2017/10/29") for time in ("01:59:59.9", "02:00:00", "02:30:00.000001", "03:10:00", "03:30:00")]
+    raw = raw_rows(spark, [("tcp", "10.0.0.1", "147.32.80.1", "22", "S_", t) for t in times])
+    before, seen = spark.conf.get("spark.sql.session.timeZone"), []
+    try:
+        for zone in ("UTC", "Europe/Prague", "America/Sao_Paulo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            flows = prepare_flows(raw, "147.32.8")
+            later = count_after(flows.withColumn("id", F.col("ts").cast("string")), flows, ["SrcAddr", "day"], ["SrcAddr", "day", "id"])
+            seen.append((sorted(tuple(r) for r in flows.select(F.col("ts").cast("string"), "day", flow_roll("x")).collect()),
+                         sorted(tuple(r) for r in later.collect())))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert seen[0] == seen[1] == seen[2]
+    assert [r[3] for r in seen[0][1]] == [4, 3, 2, 1] * 2
+
+
+def test_malformed_times_are_null(spark):
+    bad = ["2017-03-26 01:00:00", "2017/3/26 01:00:00", "2017/03/26 1:00:00", "2017/03/26T01:00:00", "2017/03/26 25:00:00",
+           "2017/02/30 01:00:00", "2017/03/26 01:00:00.1234567", "2017/03/26 01:00:00Z", "", None]
+    rows = prepare_flows(raw_rows(spark, [("tcp", "10.0.0.1", "147.32.80.1", "22", "S_", t) for t in bad]), "147.32.8")
+    assert rows.where("ts IS NOT NULL").count() == 0
+
+
+def test_pair_comparison_has_every_input_day(spark):
+    from flowlure.operators import strategy_pair_comparison
+
+    unused = [("tcp", "10.0.0.1", f"147.32.80.{h}", "22", "S_", "2017/03/08 10:00:00") for h in range(6)]
+    quiet = [("tcp", "10.0.0.2", "147.32.80.1", "22", "S_", "2017/03/09 10:00:00")]
+    got = strategy_pair_comparison(prepare_flows(raw_rows(spark, unused + quiet), "147.32.8"), rate=1.0).orderBy("day").collect()
+    assert [(str(r.day), r.saved_a, r.saved_b) for r in got] == [("2017-03-08", 0, 0), ("2017-03-09", 0, 0)]
+
+
+def test_zero_days_enter_means_on_request(spark):
+    from flowlure.operators import average_attackers_per_port, port_hit_summary, strategy_setup_summary
+
+    flows = prepare_flows(raw_rows(spark, [("tcp", f"10.0.0.{s}", f"147.32.80.{h}", str(p), "S_", f"2017/03/{d:02d} 10:00:00")
+                                           for d, p, n in ((8, 22, 2), (8, 80, 1), (9, 22, 1)) for s in range(n) for h in range(5)]), "147.32.8")
+    mean = lambda zero: {r.Dport: r.average_count for r in average_attackers_per_port(flows, include_zero_days=zero).collect()}
+    assert mean(False) == {22: 1.5, 80: 1.0} and mean(True) == {22: 1.5, 80: 0.5}
+    saved = spark.createDataFrame([("a", "2017-03-08", 0.5)], "strategy_id string, day string, saved_ratio double").withColumn("day", F.col("day").cast("date"))
+    strategies = spark.createDataFrame([("a", "2017-03-08", 0.1, 1.0), ("b", "2017-03-09", 0.1, 1.0), ("c", "2017-03-10", 0.1, 1.0)],
+                                       "strategy_id string, application_date string, rationality double, num_of_hp double").withColumn("application_date", F.col("application_date").cast("date"))
+    days = flows.select("day").distinct()
+    assert [r.avg_saved_ratio for r in strategy_setup_summary(saved, strategies).collect()] == [0.5]
+    assert [r.avg_saved_ratio for r in strategy_setup_summary(saved, strategies, zero_days=days).collect()] == [0.25]
+    hits = spark.createDataFrame([("s", "a", 1, 10, 22, True), ("t", "a", 1, 10, 22, True), ("s", "b", 2, 10, 22, False), ("s", "c", 3, 10, 80, True)],
+                                 "SrcAddr string, strategy_id string, day int, ts int, Dport int, is_hp boolean")
+    told = {r.Dport: (r.avg_hit, r.stddev) for r in port_hit_summary(hits, include_zero_days=True).collect()}
+    assert told[22][0] == 2 / 3 and abs(told[22][1] - (4 / 3) ** 0.5) < 1e-9 and told[80][0] == 1 / 3
