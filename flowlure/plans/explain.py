@@ -1,6 +1,6 @@
 """Physical plans of the main pipelines over a partitioned flow archive.
 
-``python -m flowlure.plans.explain <events sf dir> <scratch dir> > PLANS.md`` builds a
+``python -m flowlure.plans.explain <events sf dir> <scratch dir>`` builds a
 small archive (partitioned by ``_yyyymd``) from the events table and prints, per
 pipeline, the plan tree and the scan lines (partition filters, pushed filters, read schema).
 """
