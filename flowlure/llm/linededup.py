@@ -20,6 +20,8 @@ from flowlure.llm.tables import drop_kept, keep
 THRESHOLD = 2
 #: Lines with fewer code points are only compared for equality: their segments say too little.
 LEAST_CHARS = 24
+#: Pieces by which pairs are sifted before their edit distance.
+PIECES = 12
 COUNTS = ("n_lines", "n_removed", "n_near")
 PLACE = ("doc_id", "text_hash", "line")
 
@@ -44,8 +46,8 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return start.cast("int"), size + F.when(F.lit(i) >= long_from, 1).otherwise(0)
 
 
-def signatures(lines: DataFrame, threshold: int) -> DataFrame:
-    """(id, key, indexed): the segments of each line, and the substrings that it probes with.
+def signatures(lines: DataFrame, threshold: int, indexed: bool) -> DataFrame:
+    """(id, key): the segments of each line (``indexed``), or the substrings that it probes with.
 
     With a line longer by d than the indexed one, segment i (from 0) can lie only where the
     edits left of it, at most i, and right of it, at most threshold - i, allow.
@@ -53,23 +55,20 @@ def signatures(lines: DataFrame, threshold: int) -> DataFrame:
     parts = threshold + 1
     size = F.col("size")
     out = []
-    for d in range(threshold + 1):
+    for d in range(1 if indexed else threshold + 1):
         length = size - d
         for i in range(parts):
             start, width = _segment(length, i, parts)
             low, high = max(-i, d - (threshold - i)), min(i, d + (threshold - i))
-            for shift in range(low, high + 1):
-                key = F.xxhash64(length, F.lit(i), F.substr("text", start + shift, width))
-                # A line of the same length finds a segment in place where it is indexed itself.
-                out.append(F.struct(key.alias("key"), F.lit(not d and not shift).alias("indexed")))
-    return lines.select(F.col("h1").alias("id"), F.explode(F.array(*out)).alias("s")).select("id", "s.key", "s.indexed")
+            for shift in (0,) if indexed else range(low, high + 1):
+                out.append(F.xxhash64(length, F.lit(i), F.substr("text", start + shift, width)))
+    return lines.select(F.col("h1").alias("id"), F.explode(F.array(*out)).alias("key"))
 
 
 def candidates(lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b): ids of lines that share a segment at admissible places, a < b."""
-    rows = signatures(lines, threshold)
-    index = rows.where("indexed").select("key", F.col("id").alias("x"))
-    probe = rows.select("key", F.col("id").alias("y"))
+    index = signatures(lines, threshold, True).select("key", F.col("id").alias("x"))
+    probe = signatures(lines, threshold, False).select("key", F.col("id").alias("y"))
     met = index.join(probe, "key").where("x <> y")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -121,6 +120,42 @@ def within_edits(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.abs(m - n) > threshold, False).when((m <= threshold) | (n == 0), F.levenshtein(a, b) <= threshold).otherwise(done <= threshold)
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two strings."""
+    differ = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
+    return _let(F.array_position(differ, True), lambda at: F.when(at == 0, F.length(a)).otherwise(at - 1).cast("int"))
+
+
+def near(a: Column, b: Column, threshold: int) -> Column:
+    """``within_edits`` of what two strings leave without their common prefix and suffix.
+
+    Neither changes the distance, and lines that share most of their text leave little.
+    """
+    def tails(p: Column) -> Column:
+        return F.struct(F.reverse(F.substr(a, p + 1)).alias("a"), F.reverse(F.substr(b, p + 1)).alias("b"))
+
+    def middles(s: Column) -> Column:
+        return _let(_shared(s["a"], s["b"]), lambda q: _let(
+            F.struct(F.substr(s["a"], q + 1).alias("a"), F.substr(s["b"], q + 1).alias("b")),
+            lambda m: within_edits(m["a"], m["b"], threshold)))
+
+    return _let(_shared(a, b), lambda p: _let(tails(p), middles))
+
+
+def pieces_kept(a: Column, b: Column, threshold: int) -> Column:
+    """Whether all but ``threshold`` of PIECES pieces of the first string lie somewhere in the second.
+
+    Each edit touches one piece at most, so this holds for all pairs within the threshold;
+    it spares the edit distance most pairs that share a segment and nothing else.
+    """
+    size = F.length(a)
+    found = []
+    for i in range(PIECES):
+        start, width = _segment(size, i, PIECES)
+        found.append(F.contains(b, F.substr(a, start, width)).cast("int"))
+    return reduce(lambda x, y: x + y, found) >= PIECES - threshold
+
+
 def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b, first_a, first_b, and second hashes) of distinct lines within ``threshold`` edits."""
     long = lines.withColumn("size", F.length("text")).where(F.col("size") >= max(LEAST_CHARS, threshold + 1))
@@ -128,7 +163,8 @@ def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     a = lines.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("first").alias("first_a"), F.col("text").alias("text_a"))
     b = lines.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("first_b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b")
-    found = keep(both.where(within_edits(F.col("text_a"), F.col("text_b"), threshold)).select("a", "a2", "first_a", "b", "b2", "first_b"), "near-lines")
+    likely = both.where(pieces_kept(F.col("text_a"), F.col("text_b"), threshold))
+    found = keep(likely.where(near(F.col("text_a"), F.col("text_b"), threshold)).select("a", "a2", "first_a", "b", "b2", "first_b"), "near-lines")
     drop_kept(pairs)
     return found
 

@@ -133,6 +133,10 @@ def test_edit_distance_within_a_band(spark):
     for threshold in (1, 2, 3):
         wrong = table.where(linededup.within_edits(F.col("a"), F.col("b"), threshold) != (F.levenshtein("a", "b") <= threshold))
         assert wrong.count() == 0
+        wrong = table.where(linededup.near(F.col("a"), F.col("b"), threshold) != (F.levenshtein("a", "b") <= threshold))
+        assert wrong.count() == 0
+        lost = table.where((F.levenshtein("a", "b") <= threshold) & ~linededup.pieces_kept(F.col("a"), F.col("b"), threshold))
+        assert lost.count() == 0
 
 
 def test_segments_miss_no_pair(spark):
