@@ -23,8 +23,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; rejected ones go, their labels stay as they are."""
-    found = langid.predict(docs, langid.fit(docs)).where(~F.col("rejected")).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, docs["doc_id"] == found["kept_id"], "left_semi").select(*COLUMNS)
+    named = docs.where(F.col("doc_id").isNotNull())
+    return langid.predict(named, langid.fit(named), ("text", "lang", "source", "n_chars")).where(~F.col("rejected")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,8 @@ LEAST_ROWS = 5
 #: Share of correctly read calibration texts that the rejection threshold may cost, and its highest value.
 REJECTED_SHARE = 0.001
 HIGHEST_THRESHOLD = 0.5
+#: Words that a worker remembers.
+REMEMBERED_WORDS = 300_000
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
@@ -172,15 +174,16 @@ def fit(labelled: DataFrame) -> LanguageModel:
     return train([r[2] for r in rows], [r[1] for r in rows])
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (calibrated, 0 to 1) and rejected, for every whole text.
 
-    Only doc_id and text are read. Text that is NULL or has no letter gives ``und``, score 0,
+    Only doc_id and text are read; ``columns`` of the input come along, so that a filter on
+    the prediction needs no join. Text that is NULL or has no letter gives ``und``, score 0,
     rejected; so does every text where no language was learned. Rows with equal doc_id are
     predicted each by itself; an empty table gives no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = once(("langid", model.key), lambda: VectorMemory(model.word_rows, len(model.languages) + 1))
+        memory = once(("langid", model.key), lambda: VectorMemory(model.word_rows, len(model.languages) + 1, REMEMBERED_WORDS))
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             for at, texts in slices(batch.column(1)):
@@ -193,7 +196,9 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     best[known], score[known] = p.argmax(axis=1), p.max(axis=1)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, len(texts)), pa.array(names[best], pa.string()), pa.array(score),
-                    pa.array(~known | (score < model.threshold)),
-                ], ["doc_id", "lang_pred", "score", "rejected"])
+                    pa.array(~known | (score < model.threshold)), *(batch.column(k).slice(at, len(texts)) for k in range(2, batch.num_columns)),
+                ], ["doc_id", "lang_pred", "score", "rejected", *columns])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    kinds = dict(docs.dtypes)
+    along = [F.col(c).alias(f"along_{k}") for k, c in enumerate(columns)]
+    return docs.select(F.col("doc_id").cast("long"), "text", *along).mapInArrow(run, SCHEMA + "".join(f", `{c}` {kinds[c]}" for c in columns))

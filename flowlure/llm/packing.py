@@ -27,6 +27,8 @@ LENGTH = 1024
 OPEN_WINDOWS = 64
 #: Partitions whose open windows are merged by one task: at most MERGED * OPEN_WINDOWS * LENGTH ids.
 MERGED = 32
+#: Parts of texts that a worker remembers, beside its open windows.
+REMEMBERED_PARTS = 300_000
 #: A window's gap smaller than this is padded rather than filled by cutting a piece.
 LEAST_CUT = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -103,7 +105,7 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encoder, open_, made = TaskContext.get().partitionId(), library_encoder(vocabulary, spaced), OpenWindows(length, open_windows), 0
+        shard, encoder, open_, made = TaskContext.get().partitionId(), library_encoder(vocabulary, spaced, REMEMBERED_PARTS), OpenWindows(length, open_windows), 0
 
         def batch_of(windows: list[list[Piece]], with_ids: bool) -> pa.RecordBatch:
             nonlocal made

@@ -135,13 +135,19 @@ _LOADED: dict = {}
 
 
 def once(key, make: Callable):
-    """One object per Python worker process, so that caches outlive a task."""
+    """An object of this Python worker process that outlives a task; the last one asked for only.
+
+    Workers serve one operator after another; what an earlier one remembered must not stay.
+    """
     if key not in _LOADED:
-        _LOADED[key] = make()
+        _LOADED.clear()
+        made = make()
+        _LOADED.clear()
+        _LOADED[key] = made
     return _LOADED[key]
 
 
-def library_encoder(file: str, spaced: bool) -> TextEncoder:
+def library_encoder(file: str, spaced: bool, limit: int = REMEMBERED) -> TextEncoder:
     """Encoder over the tokenizers library and a public vocabulary file."""
     def make() -> TextEncoder:
         import os
@@ -151,9 +157,9 @@ def library_encoder(file: str, spaced: bool) -> TextEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        return TextEncoder(PretokenEncoder(tokenizer, spaced), spaced)
+        return TextEncoder(PretokenEncoder(tokenizer, spaced, limit // 2), spaced, limit)
 
-    return once(("library", file, spaced), make)
+    return once(("library", file, spaced, limit), make)
 
 
 class PretokenEncoder:

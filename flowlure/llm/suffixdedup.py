@@ -40,7 +40,9 @@ LEAST_BUCKETS = 24
 OFTEN = 20_000
 NARROW = 8
 #: Bytes of distinct stretches in one index.
-INDEX_BYTES = 3_000_000
+INDEX_BYTES = 2_000_000
+#: Bytes of text whose grams are hashed at a time.
+SLICE_BYTES = 3_000_000
 LOW_BITS = 40
 PLACE_BITS = 24
 
@@ -128,7 +130,7 @@ def repeated_anchors(docs: DataFrame, length: int, often: int = OFTEN) -> DataFr
 
         uid = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for at, texts in slices(batch.column(2)):
+            for at, texts in slices(batch.column(2), SLICE_BYTES):
                 raw, offsets = text_bytes(texts)
                 hashes, _, _, _, doc = _in_pieces(raw, offsets, length)
                 low = (1 << LOW_BITS) - 1
@@ -219,7 +221,7 @@ def stretches(docs: DataFrame, flagged: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in slices(batch.column(2)):
+            for at, texts in slices(batch.column(2), SLICE_BYTES):
                 raw, offsets = text_bytes(texts)
                 data = raw.tobytes()
                 hashes, place, start, stop, doc = _in_pieces(raw, offsets, length)
