@@ -79,8 +79,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     n, width = stats["n"], max(stats["width"] or 0, 1)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(MOST_PIVOTS, max(1, math.isqrt(n)))).select("v").toPandas()
-    pivots = np.unique(_matrix(chosen["v"], width), axis=0)
+    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(MOST_PIVOTS, max(1, math.isqrt(n)))).toPandas()
+    pivots, place = np.unique(_matrix(chosen["v"], width), axis=0, return_index=True)
+    pivot_ids = chosen["vec_id"].to_numpy()[place]
     square = (pivots**2).sum(axis=1)
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,9 +107,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         for f in frames:
             x = _matrix(f["v"], width)
             middle, reach = x @ pivots.T, f["norm"].to_numpy()
+            # Pivots are candidates themselves: the k-th best of them is a floor, too.
+            seen = np.sort(np.where(pivot_ids == f["vec_id"].to_numpy()[:, None], -np.inf, middle), axis=1)
+            floor = seen[:, -k] * (1 - SLACK * np.sign(seen[:, -k])) - 1 if len(pivots) >= k else np.full(len(f), -np.inf)
             for i, (g, vec_id, v) in enumerate(zip(f["cell"], f["vec_id"], f["v"])):
                 js = needs[int(g)]
-                low = needed_floor[int(g)]
+                low = max(needed_floor[int(g)], floor[i])
                 js = [j for j in js if middle[i, j] + reach[i] * radius[j] * (1 + SLACK) + 1 >= low]
                 rows = [(j, p) for j in js for p in range(parts[j])]
                 yield pd.DataFrame({"vec_id": vec_id, "v": [v] * len(rows), "cell": [r[0] for r in rows], "part": [r[1] for r in rows]})
