@@ -1,15 +1,15 @@
 """N-gram Jaccard join by vertical partitioning (operator 3).
 
-The global n-gram order is cut into fragments. A pair whose sets overlap enough overlaps
-as much, in proportion, in at least one fragment; so candidates come from prefixes of the
-segments of each fragment, rarest n-grams first. Each fragment counts a pair's partial
-overlap by itself, and the sum per pair decides.
+The global n-gram order is cut into fragments; each counts a pair's partial overlap by
+itself, and the sum per pair decides. Candidate pairs come from the sets' prefixes, rarest
+n-grams first, bounded by sizes and by how much of a set any other set shares.
 
 Before that, two exact reductions: documents with equal sets are one class, and a class of
 which too few n-grams occur in any other class cannot be linked. Large groups of near
-copies are not expanded into all pairs: first each candidate is held against one centre
-per n-gram; the links found merge classes into components; then all remaining candidate
-pairs between different components are checked, so no link between components is lost.
+copies are not expanded into all pairs: in rounds, each class is held against one centre
+that it shares many n-grams with, and the links found merge classes into components; then
+all remaining candidate pairs between different components are checked, so no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlure.llm.components import components
@@ -29,12 +29,16 @@ from flowlure.llm.tables import drop_kept, keep
 from flowlure.llm.words import SEPARATORS, text_bytes
 
 #: Fragments of the global n-gram order.
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: N-grams in one bucket of the occurrence count (about), and the least number of buckets.
 BUCKET_NGRAMS = 1_500_000
 LEAST_BUCKETS = 24
 #: Rows of ids (16 bytes each) that may be broadcast instead of shuffling the texts they select.
 BROADCAST_ROWS = 2_000_000
+#: Longs in a set's sketch.
+SKETCH_WORDS = 16
+#: Rounds of proposals go on while more than one pair in so many is a link.
+FRUITFUL = 10
 #: Bits of an n-gram's hash kept inside a bucket; a chance meeting only adds a candidate.
 LOW_BITS = 40
 FOLD = np.arange(256, dtype=np.uint8)
@@ -180,8 +184,9 @@ SENT_NAMES = [c.split()[0] for c in SENT.split(", ")]
 
 
 def segments_of(docs: DataFrame, nodes: DataFrame, n: int = 5, fragments: int = FRAGMENTS) -> DataFrame:
-    """(doc, f, n, size, grams): the part of each chosen document's set in each fragment.
+    """(doc, f, n, sketch, grams): the part of each chosen document's set in each fragment.
 
+    ``sketch``: bits of the whole set's hashes, SKETCH_WORDS longs.
     ``nodes`` are few against all documents; up to BROADCAST_ROWS they are broadcast, beyond
     that the texts are shuffled to them.
     """
@@ -198,25 +203,34 @@ def segments_of(docs: DataFrame, nodes: DataFrame, n: int = 5, fragments: int =
                     own = h[offsets[i]: offsets[i + 1]]
                     f = (own >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)
                     cuts = np.searchsorted(f, np.arange(fragments + 1))
-                    rows += [(doc, k, len(own), int(b - a), own[a:b].astype("<i8", copy=False).view("<i8").tolist()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+                    sketch = np.zeros(64 * SKETCH_WORDS, np.uint8)
+                    sketch[(own % np.uint64(len(sketch))).astype(np.int64)] = 1
+                    bits = np.packbits(sketch, bitorder="little").view("<i8").tolist()
+                    rows += [(doc, k, len(own), bits, own[a:b].astype("<i8", copy=False).view("<i8").tolist()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["doc", "f", "n", "size", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], ["doc", "f", "n", "sketch", "grams"])
 
-    return chosen.mapInArrow(cut, "doc long, f int, n long, size long, grams array<long>")
+    return chosen.mapInArrow(cut, "doc long, f int, n long, sketch array<long>, grams array<long>")
 
 
-def prefixes(segments: DataFrame, percent: int) -> DataFrame:
-    """(gram, doc, n): n-grams of segment prefixes, rarest first, without those that occur once.
+def prefixes(segments: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
+    """(gram, doc, n, low, reach, place, sketch): each set's prefix, rarest first, of n-grams that other components have too.
 
-    Two segments of Jaccard ``percent`` or more share an n-gram among each one's first
-    size - ceil(percent * size) + 1. N-grams of one segment only come first and match nothing.
+    ``merged``: (a, b) of ``components`` so far; ``low`` is a document's component. Two sets
+    of Jaccard ``percent`` or more share an n-gram among each one's first
+    n - ceil(percent * n) + 1. N-grams of one component only come first and match nothing.
+    ``reach``: how many n-grams other components have; ``place``: the n-gram's, from 1.
     """
-    grams = segments.select("doc", "f", "n", "size", F.explode("grams").alias("gram"))
-    common = grams.groupBy("gram").agg(F.count("*").alias("df")).where("df > 1")
+    known = segments.join(merged.select(F.col("a").alias("doc"), F.col("b").alias("low")), "doc", "left").withColumn("low", F.coalesce("low", "doc"))
+    grams = known.select("doc", "n", "low", "sketch", F.explode("grams").alias("gram"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("df"), F.min("low").alias("x"), F.max("low").alias("y")).where("x < y").select("gram", "df")
     held = grams.join(common, "gram")
-    gathered = held.groupBy("doc", "f", "n", "size").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("own"))  # one segment's n-grams
-    room = F.floor(F.col("size") * (100 - percent) / 100) + 1 - (F.col("size") - F.size("own"))
-    return gathered.where(room > 0).select("doc", "n", F.explode(F.slice("own", F.lit(1), room.cast("int"))).alias("g")).select(F.col("g.gram").alias("gram"), "doc", "n")
+    gathered = held.groupBy("doc", "n", "low").agg(F.first("sketch").alias("sketch"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("own"))  # one set's n-grams
+    length = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1
+    reach = F.size("own")
+    room = length - (F.col("n") - reach)
+    cut = gathered.where(room > 0).select("doc", "n", "low", reach.alias("reach"), "sketch", F.posexplode(F.slice("own", F.lit(1), room.cast("int"))).alias("at", "g"))
+    return cut.select(F.col("g.gram").alias("gram"), "doc", "n", "low", "reach", (F.col("n") - F.col("reach") + F.col("at") + 1).alias("place"), "sketch")
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -233,32 +247,82 @@ def links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return overlaps(pairs, segments).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def _near(x: str, y: str, percent: int):
-    """Sizes that allow the threshold."""
-    return 100 * F.least(F.col(x), F.col(y)) >= percent * F.greatest(F.col(x), F.col(y))
+def _enough(overlap: Column, percent: int) -> Column:
+    return (100 + percent) * overlap >= percent * (F.col("na") + F.col("nb"))
+
+
+def _feasible(percent: int) -> Column:
+    """Whether two sets can overlap enough by their sizes, reaches and sketches.
+
+    Each bit that one sketch has alone is an n-gram at least that the other set lacks.
+    """
+    x, y = F.col("sa"), F.col("sb")
+    alone = [sum((F.bit_count(p[i].bitwiseAND(F.bitwise_not(q[i]))) for i in range(1, SKETCH_WORDS)), F.bit_count(p[0].bitwiseAND(F.bitwise_not(q[0])))) for p, q in ((x, y), (y, x))]
+    return _enough(F.least("ra", "rb"), percent) & _enough(F.least(F.col("na") - alone[0], F.col("nb") - alone[1]), percent)
+
+
+_SIDE = {"doc": "", "n": "n", "reach": "r", "sketch": "s", "low": "l", "place": "p"}
+
+
+def _side(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+    """Columns renamed for one side of a pair: doc is the side itself."""
+    return rows.select(*columns, *[F.col(c).alias(_SIDE[c] + side) for c in _SIDE])
+
+
+def _proposals(rows: DataFrame, percent: int, salt: int) -> DataFrame:
+    """(a, b, na, nb): for each document the partner that it shares most prefix n-grams with.
+
+    By turns, an n-gram offers as partner one centre, the document with the largest part of
+    itself in other components, or the next document by size; always of another component.
+    A document proposes one partner, so a round's pairs are no more than its documents.
+    """
+    mixed = F.xxhash64(F.lit(salt), "doc")
+    whole = F.struct(*_SIDE)
+    if salt % 2:
+        offered = rows.withColumn("c", F.lag(whole).over(Window.partitionBy("gram").orderBy("n", mixed, "doc")))
+    else:
+        best = rows.groupBy("gram").agg(F.min_by(whole, F.struct(F.col("n") - F.col("reach"), mixed)).alias("c"))
+        offered = rows.join(best, "gram")
+    met = _side(offered, "b", "c").select("*", *[F.col(f"c.{c}").alias(_SIDE[c] + "a") for c in _SIDE])
+    met = met.where((F.col("la") != F.col("lb")) & _feasible(percent))
+    votes = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("votes"))
+    chosen = votes.groupBy("b", "nb").agg(F.max(F.struct("votes", "a", "na")).alias("m"))
+    return chosen.select(F.col("m.a").alias("a"), "b", F.col("m.na").alias("na"), "nb")
+
+
+def _remaining(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): all pairs of different components that may be linked.
+
+    At the first n-gram that two sets share, what follows it in either bounds their overlap.
+    """
+    # The smaller set a needs 2 * percent / (100 + percent) of itself, so only a short prefix can be first.
+    smaller = _side(rows.where((100 + percent) * (F.col("n") - F.col("place") + 1) >= 2 * percent * F.col("n")), "a", "gram")
+    met = smaller.join(_side(rows, "b", "gram"), "gram")
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    first = _enough(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1, percent)
+    return met.where(ordered & (F.col("la") != F.col("lb")) & first & _feasible(percent)).select("a", "b", "na", "nb").distinct()
 
 
 def linked_classes(segments: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each linked document that is not the least of its component, with that least one."""
-    heads = keep(prefixes(segments, percent), "prefixes")
-    # A centre per n-gram: the least document.
-    centre = heads.groupBy("gram").agg(F.min(F.struct("doc", "n")).alias("c")).select("gram", F.col("c.doc").alias("a"), F.col("c.n").alias("na"))
-    star = heads.join(centre, "gram").where(F.col("doc") != F.col("a")).where(_near("n", "na", percent)).select("a", F.col("doc").alias("b"), "na", F.col("n").alias("nb")).distinct()
-    first = keep(links(star, segments, percent), "star-links")
-    merged = components(first)
-    # The exact rest: candidate pairs whose documents are still in different components.
-    labelled = heads.join(merged.select(F.col("a").alias("doc"), F.col("b").alias("low")), "doc", "left").withColumn("low", F.coalesce("low", "doc"))
-    mixed = labelled.groupBy("gram").agg(F.min("low").alias("x"), F.max("low").alias("y")).where("x < y").select("gram")
-    open_ = keep(labelled.join(mixed, "gram", "left_semi"), "open-prefixes")
-    left = open_.select("gram", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("low").alias("la"))
-    right = open_.select("gram", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("low").alias("lb"))
-    tried = star.select("a", "b")
-    rest = left.join(right, (left["gram"] == right["gram"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _near("na", "nb", percent)).select("a", "b", "na", "nb").distinct()
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    second = keep(links(rest, segments, percent), "rest-links")
-    found = components(merged.select("a", "b").unionByName(second))
-    drop_kept(heads, open_, first, second, merged)
-    return found
+    """(a, b): each linked document that is not the least of its component, with that least one.
+
+    Rounds of proposals, one pair per document, merge what is easily found; the prefixes are
+    drawn anew for the components reached. When a round links few of the pairs that it
+    tries, the exact rest checks every remaining pair of different components.
+    """
+    merged, salt, progress = components(segments.select(F.col("doc").alias("a"), F.col("doc").alias("b")).limit(0)), 0, True
+    while True:
+        open_ = keep(prefixes(segments, merged, percent), "prefixes")
+        pairs = keep(_proposals(open_, percent, salt) if progress else _remaining(open_, percent), "pairs")
+        found = keep(links(pairs, segments, percent), "links")
+        tried, new = pairs.count(), found.count()
+        if new:
+            before, merged = merged, components(merged.select("a", "b").unionByName(found))
+            drop_kept(before)
+        drop_kept(open_, pairs, found)
+        if not progress:
+            return merged
+        progress, salt = FRUITFUL * new > tried, salt + 1
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
