@@ -20,6 +20,8 @@ from flowlure.llm.tables import drop_kept, keep
 THRESHOLD = 2
 #: Lines with fewer code points are only compared for equality: their segments say too little.
 LEAST_CHARS = 24
+#: Frequent letters whose counts tell lines apart before they are paired.
+LETTERS = "aeiounrstdlhcmbv"
 #: Pieces by which pairs are sifted before their edit distance.
 PIECES = 12
 COUNTS = ("n_lines", "n_removed", "n_near")
@@ -34,8 +36,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2, first, copies, text): each distinct line with its first place."""
-    return lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), F.min("text").alias("text"))
+    """(h1, h2, first, copies, text, letters): each distinct line with its first place."""
+    found = lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), F.min("text").alias("text"))
+    return found.withColumn("letters", letter_counts(F.col("text")))
 
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -47,7 +50,7 @@ def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
 
 
 def signatures(lines: DataFrame, threshold: int, indexed: bool) -> DataFrame:
-    """(id, key): the segments of each line (``indexed``), or the substrings that it probes with.
+    """(id, letters, key): the segments of each line (``indexed``), or the substrings that it probes with.
 
     With a line longer by d than the indexed one, segment i (from 0) can lie only where the
     edits left of it, at most i, and right of it, at most threshold - i, allow.
@@ -62,14 +65,32 @@ def signatures(lines: DataFrame, threshold: int, indexed: bool) -> DataFrame:
             low, high = max(-i, d - (threshold - i)), min(i, d + (threshold - i))
             for shift in (0,) if indexed else range(low, high + 1):
                 out.append(F.xxhash64(length, F.lit(i), F.substr("text", start + shift, width)))
-    return lines.select(F.col("h1").alias("id"), F.explode(F.array(*out)).alias("key"))
+    return lines.select(F.col("h1").alias("id"), "letters", F.explode(F.array(*out)).alias("key"))
+
+
+def letter_counts(text: Column) -> Column:
+    """Counts of LETTERS in a string, modulo 4 and Gray coded, packed in one number.
+
+    One letter more or less flips one bit.
+    """
+    packed = F.lit(0).cast("long")
+    for k, letter in enumerate(LETTERS):
+        count = F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
+        packed = packed + F.shiftleft(count.bitwiseAND(F.lit(3)).cast("long"), 2 * k)
+    low = int("55555555", 16)  # the lower bit of every pair
+    return packed.bitwiseXOR(F.shiftright(packed, 1).bitwiseAND(F.lit(low).cast("long")))
+
+
+def alike_letters(x: Column, y: Column, threshold: int) -> Column:
+    """Whether letter counts differ by no more than ``threshold`` edits can: two bits for each."""
+    return F.bit_count(x.bitwiseXOR(y)) <= 2 * threshold
 
 
 def candidates(lines: DataFrame, threshold: int) -> DataFrame:
-    """(a, b): ids of lines that share a segment at admissible places, a < b."""
-    index = signatures(lines, threshold, True).select("key", F.col("id").alias("x"))
-    probe = signatures(lines, threshold, False).select("key", F.col("id").alias("y"))
-    met = index.join(probe, "key").where("x <> y")
+    """(a, b): ids of lines that share a segment at admissible places and nearly all letters, a < b."""
+    index = signatures(lines, threshold, True).select("key", F.col("id").alias("x"), F.col("letters").alias("lx"))
+    probe = signatures(lines, threshold, False).select("key", F.col("id").alias("y"), F.col("letters").alias("ly"))
+    met = index.join(probe, "key").where((F.col("x") != F.col("y")) & alike_letters(F.col("lx"), F.col("ly"), threshold))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -159,7 +180,7 @@ def pieces_kept(a: Column, b: Column, threshold: int) -> Column:
 def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b, first_a, first_b, and second hashes) of distinct lines within ``threshold`` edits."""
     long = lines.withColumn("size", F.length("text")).where(F.col("size") >= max(LEAST_CHARS, threshold + 1))
-    pairs = keep(candidates(long.select("h1", "text", "size"), threshold), "line-pairs")
+    pairs = keep(candidates(long.select("h1", "text", "size", "letters"), threshold), "line-pairs")
     a = lines.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("first").alias("first_a"), F.col("text").alias("text_a"))
     b = lines.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("first_b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b")

@@ -144,7 +144,7 @@ def test_segments_miss_no_pair(spark):
     for _ in range(60):
         base = "".join(chance.choice("abc") for _ in range(chance.randint(6, 12)))
         lines |= {base, base[:-1], "a" + base, base[:3] + "z" + base[4:], base[:2] + base[3:] + "y"}
-    table = spark.createDataFrame([(x,) for x in sorted(lines)], "text string").withColumns({"h1": F.xxhash64("text"), "size": F.length("text")})
+    table = spark.createDataFrame([(x,) for x in sorted(lines)], "text string").withColumns({"h1": F.xxhash64("text"), "size": F.length("text"), "letters": linededup.letter_counts(F.col("text"))})
     for threshold in (1, 2):
         met = {(r["a"], r["b"]) for r in linededup.candidates(table, threshold).collect()}
         both = table.select(F.col("text").alias("x"), F.col("h1").alias("a")).crossJoin(table.select(F.col("text").alias("y"), F.col("h1").alias("b")))
