@@ -40,9 +40,9 @@ LEAST_BUCKETS = 24
 OFTEN = 20_000
 NARROW = 8
 #: Bytes of distinct stretches in one index.
-INDEX_BYTES = 2_000_000
+INDEX_BYTES = 1_000_000
 #: Bytes of text whose grams are hashed at a time.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_500_000
 LOW_BITS = 40
 PLACE_BITS = 24
 
