@@ -2,8 +2,10 @@
 
 Public vocabularies read every whole text: letters per token of a sentencepiece and of a
 byte-level vocabulary, the first one's byte-fallback share and the entropy of its tokens.
-A text is kept when each measure lies in the band of its language, or else of its dominant
-script. Text that no vocabulary was made for (symbol junk, broken encodings, one phrase
+Words with a digit and addresses are left out of the letters per token.
+A text is kept when each measure lies in the band of its language and dominant script. The
+bands come from the rows themselves: medians, and spreads that allow a short text more.
+Text that no vocabulary was made for (symbol junk, broken encodings, one phrase
 over and over) shows as few letters a token, many byte pieces or low entropy.
 """
 
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlure.llm.parts import PartMemory, library_encoder, once, slices, split_parts
+from flowlure.llm.tables import keep
 
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SEPARATORS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -36,25 +39,28 @@ class Band:
     entropy: tuple[float, float]
 
 
-#: Bands per dominant script, used where the language has none of its own.
+#: Bands per dominant script, used where a language has too few texts for one of its own.
 SCRIPT_BANDS = {
     "latin": Band((1.6, 12.0), (1.45, 14.0), (0.0, 0.20), (4.0, 16.0)),
     "other": Band((0.2, 12.0), (0.15, 14.0), (0.0, 0.98), (2.0, 16.0)),
     "none": Band((1.6, 12.0), (1.45, 14.0), (0.0, 0.20), (4.0, 16.0)),
 }
-#: Bands per language: about a tenth below the usual letters per token of its prose.
-LANGUAGE_BANDS = {
-    "de": Band((1.93, 12.0), (1.75, 14.0), (0.0, 0.20), (4.5, 16.0)),
-    "en": Band((1.85, 12.0), (1.85, 14.0), (0.0, 0.20), (4.5, 16.0)),
-    "es": Band((1.71, 12.0), (1.53, 14.0), (0.0, 0.20), (4.5, 16.0)),
-    "fr": Band((1.735, 12.0), (1.63, 14.0), (0.0, 0.20), (4.5, 16.0)),
-}
+#: Distinct texts from which a language and script have a band of their own.
+LEAST_TEXTS = 20
+#: A band ends so many spreads from the median.
+SPREADS = 3.5
+#: Spread that texts of one language have at any length; of the letters per token as a share of the median.
+OWN_SPREAD = {"piece_chars": 0.02, "bpe_chars": 0.02, "byte_share": 0.05, "entropy": 0.5}
+#: The normal distribution's standard deviation in median absolute deviations.
+MAD = 1.4826
 SCRIPTS = tuple(SCRIPT_BANDS)
 SCHEMA = (
     "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "script string, piece_chars double, bpe_chars double, byte_share double, entropy double"
+    "script string, plain_tokens long, piece_chars double, bpe_chars double, byte_share double, entropy double"
 )
 LETTERS = re.compile(r"[^\W\d_]")
+#: Words outside the letters per token: with a digit, or an address.
+CODED = re.compile(r"\d|@|://|^www\.")
 LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]")
 
 
@@ -69,7 +75,7 @@ class WordPieces:
         self.is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
         self.memory = PartMemory(lambda words: model.encode(words, num_threads=1))
         encoder = library_encoder(bytes_file, True)
-        self.bpe = PartMemory(lambda words: [(len(x), len(LETTERS.findall(w)), len(LATIN.findall(w)), len(w)) for w, x in zip(words, encoder.memory.encode_many([" " + w for w in words]))])
+        self.bpe = PartMemory(lambda words: [(len(x), len(LETTERS.findall(w)), len(LATIN.findall(w)), int(CODED.search(w) is None)) for w, x in zip(words, encoder.memory.encode_many([" " + w for w in words]))])
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -173,30 +179,57 @@ def _measures(texts: pa.Array, tools: WordPieces) -> list[pa.Array]:
     tokens = np.bincount(owner, minlength=n)
     bpe_slots = tools.bpe.slots(words)
     of_word = tools.bpe.pool.reshape(-1, 4)[tools.bpe.start[bpe_slots] // 4][codes].astype(np.int64)
-    bpe, letters, latin = (np.bincount(word_owner, of_word[:, k], n) for k in range(3))
+    letters, latin = (np.bincount(word_owner, of_word[:, k], n) for k in (1, 2))
+    plain = of_word[:, 3]
+    bpe, plain_letters, plain_tokens = (np.bincount(word_owner, plain * x, n) for x in (of_word[:, 0], of_word[:, 1], sizes))
     script = np.where(letters < 0.2 * np.maximum(word_chars, 1), 2, np.where(latin >= 0.5 * letters, 0, 1))
     return [
         pa.array(n_words, pa.int64()), pa.array(word_chars, pa.int64()), pa.array(symbols, pa.int64()),
         pa.array(duplicate_lines(texts), pa.int64()), pa.array(repeated_words(codes, offsets), pa.int64()),
         pa.array(np.array(SCRIPTS, object)[script], pa.string()),
-        pa.array(letters / np.maximum(tokens, 1)), pa.array(letters / np.maximum(bpe, 1)),
+        pa.array(plain_tokens.astype(np.int64)),
+        pa.array(plain_letters / np.maximum(plain_tokens, 1)), pa.array(plain_letters / np.maximum(bpe, 1)),
         pa.array(np.bincount(owner, tools.is_byte[ids], n) / np.maximum(tokens, 1)), pa.array(entropies(ids, owner, n)),
     ]
 
 
-def judge(measured: DataFrame, languages: dict[str, Band] = LANGUAGE_BANDS, scripts: dict[str, Band] = SCRIPT_BANDS) -> DataFrame:
-    """Adds base_failed, in_band and kept; the bands are one plain expression."""
+def bands(measured: DataFrame) -> DataFrame:
+    """(group_lang, group_script, per measure its median and the spread of one token) of each group of LEAST_TEXTS texts.
+
+    Texts that pass the base rules vote, those with equal measures (copies) once. Measures are
+    rounded, so that a task holds few values and every run gives the same medians.
+    """
+    by = ["group_lang", "group_script"]
+    votes = measured.where(~_base_failed() & (F.col("script") != "none") & (F.col("plain_tokens") > 0)).select(
+        F.coalesce("lang", F.lit("")).alias("group_lang"), F.col("script").alias("group_script"), "plain_tokens", *OWN_SPREAD).distinct()
+    medians = votes.groupBy(by).agg(F.count("*").alias("texts"), *(F.percentile(F.round(c, 3), 0.5).alias(f"{c}_mid") for c in OWN_SPREAD))
+    medians = medians.where(F.col("texts") >= LEAST_TEXTS)
+    away = {c: F.round(F.abs(F.col(c) - F.col(f"{c}_mid")) * F.sqrt("plain_tokens"), 2) for c in OWN_SPREAD}
+    spreads = votes.join(F.broadcast(medians), by).groupBy(by).agg(*(F.percentile(x, 0.5).alias(f"{c}_one") for c, x in away.items()))
+    return medians.join(F.broadcast(spreads), by).select(*by, *(f"{c}_mid" for c in OWN_SPREAD), *((MAD * F.col(f"{c}_one")).alias(f"{c}_one") for c in OWN_SPREAD))
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def judge(measured: DataFrame, scripts: dict[str, Band] = SCRIPT_BANDS) -> DataFrame:
+    """Adds base_failed, in_band and kept, from bands of ``measured`` itself (``bands``)."""
     def inside(band: Band) -> Column:
         out = F.lit(True)
-        for name in ("piece_chars", "bpe_chars", "byte_share", "entropy"):
+        for name in OWN_SPREAD:
             out &= F.col(name).between(*getattr(band, name))
         return out
 
-    within = F.lit(False)
+    measured = keep(measured, "fertility")
+    joined = measured.join(F.broadcast(bands(measured)), (F.coalesce("lang", F.lit("")) == F.col("group_lang")) & (F.col("script") == F.col("group_script")), "left")
+    within, learned = F.lit(False), F.col("plain_tokens") > 0
     for script, band in scripts.items():
         within = F.when(F.col("script") == script, inside(band)).otherwise(within)
-    for lang, band in languages.items():
-        # The bands of a language hold for its own script only.
-        within = F.when((F.col("lang") == lang) & (F.col("script") != "other"), inside(band)).otherwise(within)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measured.withColumns({"base_failed": failed, "in_band": within}).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
+    for name, share in OWN_SPREAD.items():
+        mid, value = F.col(f"{name}_mid"), F.col(name)
+        own = share * mid if name.endswith("_chars") else F.lit(share)
+        margin = SPREADS * F.sqrt(own * own + F.pow(f"{name}_one", F.lit(2)) / F.greatest("plain_tokens", F.lit(1)))
+        learned &= value <= mid + margin if name == "byte_share" else value >= mid - margin
+    within = F.when(F.col("group_lang").isNotNull(), learned).otherwise(within)
+    return joined.select(*measured.columns, _base_failed().alias("base_failed"), within.alias("in_band")).withColumn("kept", ~F.col("base_failed") & F.col("in_band")).drop("plain_tokens")

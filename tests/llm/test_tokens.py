@@ -144,6 +144,21 @@ def test_fertility_counts(docs, no_docs, tricky):
     assert fertility.measure(no_docs).count() == 0
 
 
+def test_fertility_bands_follow_the_rows(spark):
+    """A language whose prose no fixed band expects: its own texts stay, with numbers and addresses too, its symbol junk goes."""
+    rng = random.Random(5)
+    names = "doc_id long, text string, lang string"
+    word = lambda: "".join(rng.choice("qzxvkjwy") for _ in range(rng.randint(2, 8)))
+    prose = [" ".join(word() for _ in range(rng.choice([60, 90, 300]))) for _ in range(80)]
+    coded = " 108.51.216.133 +44-20-7946-0958 50f7bab1f2223b6afd9c x.y@q.example https://q.example/%7Eab?c=dEf"
+    texts = prose + [t + coded for t in prose[:20]] + [" ".join(w + "&&%$#" for w in t.split()) for t in prose[20:30]]
+    judged = fertility.judge(fertility.measure(spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], names))).toPandas().set_index("doc_id").sort_index()
+    assert judged.piece_chars[:80].median() < fertility.SCRIPT_BANDS["latin"].piece_chars[0]
+    assert judged.kept[:100].mean() > 0.98 and not judged.kept[100:].any()
+    assert judged.piece_chars[80:100].tolist() == judged.piece_chars[:20].tolist()
+    assert judged.bpe_chars[80:100].tolist() == judged.bpe_chars[:20].tolist()
+
+
 def test_fertility_tells_junk_from_prose(spark):
     from tests.conftest import SF_CHECK
 
