@@ -27,9 +27,12 @@ from flowlure.llm.words import VectorMemory, sums, words_of
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 NGRAMS = (2, 3, 4)
-#: Bounds of the training sample: rows per language, characters of a row's text (longer rows are not drawn).
+#: Bounds of the training sample: rows per language, and segments of a row's text, drawn over its whole length.
 ROWS_PER_LANGUAGE = 700
-LONGEST_TRAINING_TEXT = 20_000
+SEGMENTS_PER_TEXT = 8
+#: Words of a segment; a run without white space counts as words of WORD_CHARS.
+SEGMENT = 40
+WORD_CHARS = 100
 #: Languages with fewer labelled rows in the sample are not learned.
 LEAST_ROWS = 5
 #: Share of correctly read calibration texts that the rejection threshold may cost, and its highest value.
@@ -88,8 +91,8 @@ class LanguageModel:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], languages: list[str], epochs: int = 6, rate: float = 20.0, batch: int = 64, segment: int = 40, seed: int = 7) -> LanguageModel:
-    """Fit on bounded rows. Texts are cut into segments of words, so that short texts are learned too."""
+def train(texts: list[str], languages: list[str], epochs: int = 6, rate: float = 20.0, batch: int = 64, segment: int = SEGMENT, seed: int = 7) -> LanguageModel:
+    """Fit on bounded rows. Whole texts are cut into segments of words, so that short texts are learned too."""
     names = sorted({x for x in languages if languages.count(x) >= LEAST_ROWS})
     if not names:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
@@ -100,7 +103,7 @@ def train(texts: list[str], languages: list[str], epochs: int = 6, rate: float =
         if lang not in names:
             continue
         codes = [vocabulary.setdefault(w, len(vocabulary)) for w in text.split()]
-        for a in range(0, min(len(codes), 4 * segment), segment):
+        for a in range(0, len(codes), segment):
             bags.append(np.array(codes[a: a + segment]))
             labels.append(names.index(lang))
             held.append(i % 5 == 0)
@@ -164,16 +167,27 @@ def fit(labelled: DataFrame) -> LanguageModel:
     """Train on a sample of rows with text and lang, of at most ROWS_PER_LANGUAGE rows a language.
 
     Rows without text, letters or lang are not drawn. The draw goes by a hash of doc_id, so
-    it is the same in every run; Spark keeps only each task's first rows per language.
+    it is the same in every run; Spark keeps only each task's first rows per language. Of a
+    text, of any length, the driver gets at most SEGMENTS_PER_TEXT segments (``_drawn``).
     """
-    usable = labelled.where(F.col("lang").isNotNull() & (F.length("text") <= LONGEST_TRAINING_TEXT) & F.col("text").rlike(r"\p{L}"))
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     drawn = usable.select("doc_id", "lang", F.row_number().over(order).alias("place")).where(F.col("place") <= ROWS_PER_LANGUAGE)
     ids = F.broadcast(drawn.select("doc_id", "lang").distinct())  # bounded: rows per language
-    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in usable.join(ids, ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").collect())
+    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in usable.join(ids, ["doc_id", "lang"], "left_semi").transform(_drawn).collect())
     return train([r[2] for r in rows], [r[1] for r in rows])
 
 
+def _drawn(rows: DataFrame) -> DataFrame:
+    """doc_id, lang and text, cut down to SEGMENTS_PER_TEXT of its segments, in order, picked by a hash of their place."""
+    worded = rows.select("doc_id", "lang", F.regexp_extract_all("text", F.lit(rf"(\S{{1,{WORD_CHARS}}})"), F.lit(1)).alias("words"))
+    places = F.sequence(F.lit(0), F.ceil(F.size("words") / SEGMENT).cast("int") - 1)
+    by_hash = F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64("doc_id", i).alias("h"), i.alias("i"))))
+    picked = worded.withColumn("picked", F.array_sort(F.transform(F.slice(by_hash, 1, SEGMENTS_PER_TEXT), lambda x: x["i"])))
+    kept = F.flatten(F.transform("picked", lambda i: F.slice("words", i * SEGMENT + 1, SEGMENT)))
+    return picked.select("doc_id", "lang", F.array_join(kept, " ").alias("text"))
+
+
 def predict(docs: DataFrame, model: LanguageModel, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (calibrated, 0 to 1) and rejected, for every whole text.
 

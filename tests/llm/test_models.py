@@ -74,6 +74,20 @@ def test_language_of_odd_texts(spark, docs, no_docs, tricky):
     assert none.languages == [] and {r["lang_pred"] for r in langid.predict(docs, none).collect()} == {"und"}
 
 
+def test_language_learns_from_whole_texts(spark):
+    """Texts of any length under one header of 200 words: what follows it tells the languages."""
+    words = {"en": "the and with of house", "de": "der und mit von haus"}
+    header, chance = " ".join(f"menu{chr(97 + i % 26)} licence" for i in range(100)), random.Random(3)
+    texts = [(header + " " + " ".join(chance.choices(w.split(), k=k)), lang) for lang, w in words.items() for k in (150, 6000) for _ in range(20)]
+    model = langid.fit(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(texts)], "doc_id long, text string, lang string"))
+    plain = spark.createDataFrame([(0, "the house of the and"), (1, "der und von haus mit")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(plain, model).collect()} == {0: "en", 1: "de"}
+    rows = spark.createDataFrame([(1, "x" * 100_000 + " a b", "en"), (2, " ".join(f"w{i}" for i in range(9000)), "en"), (3, "a b", "en")], "doc_id long, text string, lang string")
+    drawn = {r["doc_id"]: r["text"].split() for r in langid._drawn(rows).collect()}
+    assert drawn[3] == ["a", "b"] and all(len(x) <= langid.SEGMENTS_PER_TEXT * langid.SEGMENT for x in drawn.values())
+    assert max(int(w[1:]) for w in drawn[2]) > 4500 and drawn[2] == sorted(drawn[2], key=lambda w: int(w[1:]))
+
+
 def brute_top(vectors, k, is_query):
     whole = {i: [math.floor(256 * x) for x in v] for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = []
