@@ -164,17 +164,20 @@ def train(texts: list[str], languages: list[str], epochs: int = 6, rate: float =
 
 
 def fit(labelled: DataFrame) -> LanguageModel:
-    """Train on a sample of rows with text and lang, of at most ROWS_PER_LANGUAGE rows a language.
+    """Train on a sample of rows with text and lang, of at most ROWS_PER_LANGUAGE distinct texts a language.
 
-    Rows without text, letters or lang are not drawn. The draw goes by a hash of doc_id, so
-    it is the same in every run; Spark keeps only each task's first rows per language. Of a
-    text, of any length, the driver gets at most SEGMENTS_PER_TEXT segments (``_drawn``).
+    Rows without text, letters or lang are not drawn. The draw goes by a hash of the text, so
+    it is the same in every run and copies count once, whatever their doc_id. Languages with
+    fewer than LEAST_ROWS texts drawn are not learned. Of a text, of any length, the driver gets at most SEGMENTS_PER_TEXT segments (``_drawn``).
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = usable.select("doc_id", "lang", F.row_number().over(order).alias("place")).where(F.col("place") <= ROWS_PER_LANGUAGE)
-    ids = F.broadcast(drawn.select("doc_id", "lang").distinct())  # bounded: rows per language
-    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in usable.join(ids, ["doc_id", "lang"], "left_semi").transform(_drawn).collect())
+    usable = usable.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_hash"))
+    texts = usable.groupBy("lang", "text_hash").agg(F.min("doc_id").alias("doc_id"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("text_hash"), "text_hash")
+    ids = texts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= ROWS_PER_LANGUAGE).drop("place")
+    key = ["doc_id", "lang", "text_hash"]  # bounded: rows per language
+    found = usable.join(F.broadcast(ids), key, "left_semi").dropDuplicates(key)
+    rows = sorted((r["doc_id"], r["lang"], r["text"]) for r in found.transform(_drawn).collect())
     return train([r[2] for r in rows], [r[1] for r in rows])
 
 

@@ -88,6 +88,17 @@ def test_language_learns_from_whole_texts(spark):
     assert max(int(w[1:]) for w in drawn[2]) > 4500 and drawn[2] == sorted(drawn[2], key=lambda w: int(w[1:]))
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Neither one doc_id on many rows nor copies of one text fill the sample or pass its bound."""
+    seen = []
+    monkeypatch.setattr(langid, "ROWS_PER_LANGUAGE", 10)
+    monkeypatch.setattr(langid, "train", lambda texts, languages: seen.append(texts))
+    texts = [(7, f"text of one id {i}") for i in range(50)] + [(i, "copied text") for i in range(100, 150)] + [(8, "repeated row")] * 50
+    langid.fit(spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string"))
+    langid.fit(spark.createDataFrame([(i, t, "en") for i, t in texts[50:]], "doc_id long, text string, lang string"))
+    assert len(seen[0]) == len(set(seen[0])) == 10 and sorted(seen[1]) == ["copied text", "repeated row"]
+
+
 def brute_top(vectors, k, is_query):
     whole = {i: [math.floor(256 * x) for x in v] for i, v in vectors if v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = []
