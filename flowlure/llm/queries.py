@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlure.llm import chat, fertility, jaccard, knn, langid, linededup, packing, pieces, simple8b, suffixdedup
+from flowlure.llm import chat, fertility, jaccard, knn, langid, linededup, packing, pieces, secretscan, simple8b, suffixdedup
 from flowlure.llm.tables import read_table
 from flowlure.session import ensure_checkpoint_dir
 
@@ -71,6 +71,11 @@ def op10_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(fertility.measure(read_table(spark, sf_dir, "documents")))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return secretscan.digest(docs, secretscan.scan(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_language": op2_language,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_packing": op9_packing,
     "op10_fertility": op10_fertility,
+    "op11_secrets": op11_secrets,
 }
 #: Blocks of brute force: every query against every candidate.
 _TOPK = """
@@ -113,4 +119,26 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM m GROUP BY conv_id
 """.replace("ROLE_", _ESCAPED.format("role")).replace("TEXT_", _ESCAPED.format("text"))
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": _CHAT, "op7_topk": _TOPK}
+#: A rule's matches in one document: each ends where the pieces between matches and the matches so far end.
+_MATCHES = """SELECT row, {order} AS ord, '{kind}' AS kind,
+    CAST(list_sum(list_transform(between[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start,
+    length(found[i]) AS size, length(worth[i]) AS worth
+  FROM (SELECT row, i, between, found, worth FROM (SELECT row, string_split_regex(text, '{pattern}') AS between, regexp_extract_all(text, '{pattern}', 0) AS found,
+      regexp_extract_all(text, '{pattern}', {group}) AS worth FROM d WHERE regexp_matches(text, '{pattern}')), unnest(range(1, len(found) + 1)) AS u(i))
+  WHERE length(worth[i]) >= {least}"""
+_SECRETS = """
+WITH d AS (SELECT row_number() OVER () AS row, CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text FROM documents),
+m AS (MATCHES_),
+s AS (
+  SELECT row, count(*) FILTER (WHERE ord = 0) AS n0, count(*) FILTER (WHERE ord = 1) AS n1, count(*) FILTER (WHERE ord = 2) AS n2,
+    string_agg(concat(kind, ':', start, ':', start + size), ',' ORDER BY start, ord) FILTER (WHERE ord < 3) AS base,
+    string_agg(concat(kind, ':', start, ':', start + size), ',' ORDER BY start, ord) AS spans
+  FROM m GROUP BY row
+)
+SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access, CAST(coalesce(n2, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s USING (row)
+""".replace("MATCHES_", "\n  UNION ALL ".join(
+    _MATCHES.format(order=i, kind=r.kind, pattern=r.pattern.replace("'", "''"), group=r.group, least=r.least) for i, r in enumerate(secretscan.RULES)))
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": _CHAT, "op7_topk": _TOPK, "op11_secrets": _SECRETS}
