@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlure.llm import chat, fertility, jaccard, knn, langid, linededup, packing, pieces, secretscan, simple8b, suffixdedup
+from flowlure.llm import chat, fertility, jaccard, knn, langid, linededup, maxscore, packing, pieces, secretscan, simple8b, suffixdedup
 from flowlure.llm.tables import read_table
 from flowlure.session import ensure_checkpoint_dir
 
@@ -76,6 +76,10 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digest(docs, secretscan.scan(docs))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.rank_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_language": op2_language,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_fertility": op10_fertility,
     "op11_secrets": op11_secrets,
+    "op12_search": op12_search,
 }
 #: Blocks of brute force: every query against every candidate.
 _TOPK = """
@@ -141,4 +146,31 @@ FROM d LEFT JOIN s USING (row)
 """.replace("MATCHES_", "\n  UNION ALL ".join(
     _MATCHES.format(order=i, kind=r.kind, pattern=r.pattern.replace("'", "''"), group=r.group, least=r.least) for i, r in enumerate(secretscan.RULES)))
 
-ORACLE_SQL: dict[str, str] = {"op1_chat": _CHAT, "op7_topk": _TOPK, "op11_secrets": _SECRETS}
+_SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, CAST(doc_id AS BIGINT) AS doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), sizes AS (SELECT row, doc_id, len(words) AS n FROM d WHERE len(words) > 0),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words FROM sizes),
+postings AS (SELECT row, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, unnest(words) AS term FROM d) GROUP BY row, term),
+items AS (
+  SELECT row_number() OVER () AS item, item_id, text FROM (SELECT DISTINCT CAST(item_id AS BIGINT) AS item_id, coalesce(text, '') AS text FROM benchmark)
+), asked AS (
+  SELECT item, term, count(*) AS times FROM (
+    SELECT item, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM items
+  ) GROUP BY item, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, CAST(count(*) AS BIGINT) AS df FROM postings WHERE term IN (SELECT term FROM asked) GROUP BY term), corpus
+), scored AS (
+  SELECT item, row, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_words)))) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN sizes USING (row), corpus GROUP BY item, row
+), ranked AS (
+  SELECT item, doc_id, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM scored JOIN sizes USING (row) WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN items USING (item) WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_chat": _CHAT, "op7_topk": _TOPK, "op11_secrets": _SECRETS, "op12_search": _SEARCH}
