@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlure.llm import chat, fertility, jaccard, knn, langid, linededup, maxscore, packing, pieces, secretscan, simple8b, suffixdedup
+from flowlure.llm import chat, crosstoken, fertility, jaccard, knn, langid, linededup, maxscore, packing, pieces, secretscan, simple8b, suffixdedup
 from flowlure.llm.tables import read_table
 from flowlure.session import ensure_checkpoint_dir
 
@@ -80,6 +80,10 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.rank_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstoken.align_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_language": op2_language,
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fertility": op10_fertility,
     "op11_secrets": op11_secrets,
     "op12_search": op12_search,
+    "op13_alignment": op13_alignment,
 }
 #: Blocks of brute force: every query against every candidate.
 _TOPK = """
