@@ -29,9 +29,9 @@ from flowlure.llm.words import sums
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Parts, and bytes of their groups, that a worker remembers; beyond either it starts anew (same results).
-REMEMBERED, REMEMBERED_BYTES = 400_000, 48_000_000
+REMEMBERED, REMEMBERED_BYTES = 250_000, 24_000_000
 #: Documents whose links are added up at once.
 ROWS = 2000
 #: A space that parts texts: both tokenizers begin anew at one that follows no white space and ends no text.
