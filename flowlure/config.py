@@ -54,9 +54,6 @@ SAMPLE_SEED = 42
 # ---------------------------------------------------------------------------------------
 
 ROLL_SEED = "42"
-# Pieces into which a shuffle join splits a hot key of the large side (the small side is
-# repeated as often); enough that a key with a third of all rows is no task of its own.
-JOIN_SALTS = 16
 # Maps that the fixed-strategy job can replay.
 FIXED_MAPS = {"mixed": MIXED_STRATEGY, "always_on": ALWAYS_ON_STRATEGY, "always_on_alternative": ALWAYS_ON_ALTERNATIVE}
 # Decimal places grid parameters are rounded to (float grids such as 0.1 * 3).

@@ -15,8 +15,7 @@ from flowlure import config
 from flowlure.functions import flow_roll, place_by_ratio
 from flowlure.operators.flows import attacker_flows, sample_sources
 from flowlure.operators.ports import port_status_share, unused_hosts_per_port
-from flowlure.operators.salting import salted_join
-from flowlure.operators.timeline import count_after
+from flowlure.operators.timeline import later_parts
 
 
 def strategy_map(mapping: dict) -> Column:
@@ -54,20 +53,19 @@ def fixed_strategy_daily_results(flows: DataFrame, strategy: dict | None = None,
     flows, first-hit rows); the plan layer passes a function that writes them once.
     """
     strategy = config.MIXED_STRATEGY if strategy is None else strategy
-    att = share(attacker_flows(flows, **thresholds), "fixed-attacker-flows")
-    base = att.select("DstAddr", "Dport", "State", "ts", (~F.col("answered")).alias("candidate"),
-                      "day", "SrcAddr").distinct()
-    shares = (port_status_share(att).where(F.col("candidate"))
-             .select("day", "Dport", F.col("share").alias("ratio")))
-    # Only candidates on mapped ports meet their share, salted over a hot (day, port).
-    tried = base.where(F.col("candidate") & fixed_prob(strategy).isNotNull())
-    hp_rows = share(salted_join(tried, shares, ["day", "Dport"])
+    att = share(attacker_flows(flows, share=share, **thresholds), "fixed-attacker-flows")
+    shares = share(port_status_share(att).where(F.col("candidate"))
+                   .select("day", "Dport", F.col("share").alias("ratio")), "fixed-shares")
+    # Only candidates on mapped ports meet their share; equal rows count once.
+    tried = att.where(~F.col("answered") & fixed_prob(strategy).isNotNull()).select("DstAddr", "Dport", "ts", "day", "SrcAddr")
+    hp_rows = share(tried.join(shares, ["day", "Dport"])
                     .where(place_by_ratio("ratio", fixed_prob(strategy), flow_roll(tag)))
                     .select("DstAddr", "Dport", "ts", "day", "SrcAddr").distinct(), "fixed-hits")
     firsts = hp_rows.groupBy("SrcAddr").agg(F.min("ts").alias("ts"))
     first_hits = share(hp_rows.join(firsts, ["SrcAddr", "ts"], "left_semi"), "fixed-first-hits")
-    open_rows = base.where(~F.col("candidate")).select("SrcAddr", "day", "ts")
-    per_hit = count_after(first_hits, open_rows, ["SrcAddr", "day"], ["SrcAddr", "day", "DstAddr", "Dport", "ts"])
+    open_rows = (att.where(F.col("answered")).select("DstAddr", "Dport", "State", "ts", "day", "SrcAddr").distinct()
+                 .select("SrcAddr", "day", "ts"))
+    per_hit = later_parts(first_hits, open_rows, ["SrcAddr", "day"], ["SrcAddr", "day", "DstAddr", "Dport", "ts"])
     saved = per_hit.groupBy("day").agg(F.sum("later").alias("saved_count"))
     hp_counts = first_hits.groupBy("day").agg(F.count("*").alias("hp_count"))
     return saved.join(hp_counts, "day").select("day", "saved_count", "hp_count")
@@ -83,17 +81,17 @@ def strategy_pair_comparison(flows: DataFrame, strategy_a: dict | None = None, s
     computed over the sampled sources; a flow on a mapped port is chosen when
     ``(n + 1) / N <= prob`` or its roll (tag per map) is below ``prob / ratio``; a hit
     needs the flow's port to be unused. Detection = first hit per (source, day);
-    saved = open-port flows after it, counted with ``count_after``, so a hot source is never
+    saved = open-port flows after it, counted as in ``count_after``, so a hot source is never
     one join partition. Every day of the unsampled ``flows`` has a row, 0 where nothing was
     saved. Output: day, saved_a, saved_b.
     """
     strategy_a = config.MIXED_STRATEGY if strategy_a is None else strategy_a
     strategy_b = config.ALWAYS_ON_STRATEGY if strategy_b is None else strategy_b
-    att = share(attacker_flows(sample_sources(flows, rate, seed), **thresholds), "pair-attacker-flows")
+    att = share(attacker_flows(sample_sources(flows, rate, seed), share=share, **thresholds), "pair-attacker-flows")
     # A hit's port is unused, so the flows that matter have a ratio, and it is small.
-    ratios = unused_hosts_per_port(att).select("day", "Dport", "ratio")
+    ratios = share(unused_hosts_per_port(att).select("day", "Dport", "ratio"), "pair-ratios")
     mapped = fixed_prob(strategy_a).isNotNull() | fixed_prob(strategy_b).isNotNull()
-    scored = salted_join(att.where(F.col("unused") & mapped), ratios, ["day", "Dport"])
+    scored = att.where(F.col("unused") & mapped).join(ratios, ["day", "Dport"])
 
     def hit(mapping, tag):
         prob = fixed_prob(mapping)
@@ -104,7 +102,7 @@ def strategy_pair_comparison(flows: DataFrame, strategy_a: dict | None = None, s
                 F.min(F.when(hit(strategy_b, tags[1]), F.col("ts"))).alias("b")))
     marks = det.unpivot(["SrcAddr", "day"], ["a", "b"], "map", "ts").where(F.col("ts").isNotNull())
     open_flows = att.where(~F.col("unused")).select("SrcAddr", "day", "ts")
-    later = count_after(marks, open_flows, ["SrcAddr", "day"], ["SrcAddr", "day", "map"])
+    later = later_parts(marks, open_flows, ["SrcAddr", "day"], ["SrcAddr", "day", "map"])
     saved = later.groupBy("day").agg(
         F.sum(F.when(F.col("map") == "a", F.col("later"))).alias("saved_a"),
         F.sum(F.when(F.col("map") == "b", F.col("later"))).alias("saved_b"))

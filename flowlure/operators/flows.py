@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from flowlure import config
 from flowlure.functions import answered, flow_day, flow_timestamp, keyed_sample, unused_port
-from flowlure.operators.salting import salted_join
+
+
+def _keep(df: DataFrame, name: str) -> DataFrame:
+    return df
 
 
 def _prefixes(prefixes) -> tuple[str, ...]:
@@ -58,17 +61,17 @@ def daily_attackers(flows: DataFrame, min_hosts: int = config.MIN_ATTACKED_HOSTS
             .where((F.col("addr_count") >= min_hosts) | (F.col("port_count") >= min_ports)))
 
 
-def attacker_flows(flows: DataFrame, attackers: DataFrame | None = None, salts: int = config.JOIN_SALTS,
-                   **thresholds) -> DataFrame:
+def attacker_flows(flows: DataFrame, attackers: DataFrame | None = None, share=_keep, **thresholds) -> DataFrame:
     """Flows of (source, day) attackers, as a left-semi join (no row multiplication).
 
-    The attacker table has one row per (source, day). The join is salted at any size, so a
-    source holding a large share of all flows is spread over ``salts`` pieces of each day;
-    AQE broadcasts the attacker side when its measured size is small.
+    ``share(df, name)`` may write the attackers, one row per (source, day), and give back a
+    reader: the plan of the join then knows their size in bytes, so they are broadcast below
+    the session's threshold and the flows are not shuffled at all. Beyond it both sides are
+    shuffled once, and AQE splits the flows of a source that holds too many of them.
     """
     if attackers is None:
-        attackers = daily_attackers(flows, **thresholds)
-    return salted_join(flows, attackers.select("SrcAddr", "day"), ["SrcAddr", "day"], "left_semi", salts)
+        attackers = share(daily_attackers(flows, **thresholds).select("SrcAddr", "day"), "attackers")
+    return flows.join(attackers.select("SrcAddr", "day"), ["SrcAddr", "day"], "left_semi")
 
 
 def source_sample(flows: DataFrame, rate: float = config.SOURCE_SAMPLE_RATE,

@@ -109,11 +109,12 @@ def average_production_ratio(flows: DataFrame, limit: int = 100, share=_unshared
 def unused_hosts_per_port(att_flows: DataFrame) -> DataFrame:
     """Per (day, port) over attacker flows: hosts with an unused flow, and ``(n + 1) / hosts of the day``.
 
-    The ratio can exceed 1. Output: day, Dport, unused_hosts, total_hosts, ratio.
+    The ratio can exceed 1. Both counts read the same distinct (day, port, host) rows, whose
+    exchange Spark runs once. Output: day, Dport, unused_hosts, total_hosts, ratio.
     """
-    totals = att_flows.groupBy("day").agg(F.count_distinct("DstAddr").alias("total_hosts"))
-    unused = (att_flows.where(F.col("unused"))
-              .groupBy("day", "Dport").agg(F.count_distinct("DstAddr").alias("unused_hosts")))
+    hosts = att_flows.groupBy("day", "Dport", "DstAddr").agg(F.max("unused").alias("unused"))
+    totals = hosts.groupBy("day").agg(F.count_distinct("DstAddr").alias("total_hosts"))
+    unused = hosts.groupBy("day", "Dport").agg(F.count_if("unused").alias("unused_hosts")).where(F.col("unused_hosts") > 0)
     return (unused.join(totals, "day")
             .select("day", "Dport", "unused_hosts", "total_hosts",
                     ((F.col("unused_hosts") + 1) / F.col("total_hosts")).alias("ratio")))

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from flowlure import config
 from flowlure.functions import flow_roll, place_by_probability, place_by_ratio
 from flowlure.operators.ports import unused_hosts_per_port
-from flowlure.operators.salting import salted_join
-from flowlure.operators.timeline import count_after, minute_of_day
+from flowlure.operators.timeline import later_parts, minute_of_day
 
 
 def _round(c, digits=config.GRID_DECIMALS):
@@ -42,36 +41,50 @@ def strategy_long(records: DataFrame, rationality: float | None = None,
                       "rationality", "num_of_hp", F.inline("stg"))
 
 
+def strategies_by_port(strategies: DataFrame) -> DataFrame:
+    """(day, Dport, setups): the strategies that list a port on a day, as one array of (strategy_id, prob).
+
+    An array holds one entry per strategy of the day at most, however many flows there are.
+    """
+    return (strategies.where(F.col("application_date").isNotNull() & F.col("port").isNotNull())
+            .groupBy(F.col("application_date").alias("day"), F.col("port").alias("Dport"))
+            .agg(F.collect_list(F.struct("strategy_id", "prob")).alias("setups")))
+
+
 def honeypot_assignment(att_flows: DataFrame, strategies: DataFrame, mode: str = "prob",
-                        seed: str = config.ROLL_SEED) -> DataFrame:
+                        seed: str = config.ROLL_SEED, share=lambda df, name: df) -> DataFrame:
     """Each unused-port attacker flow x each strategy of its day listing its port, with ``is_hp``.
 
     ``mode='prob'``: ``roll <= prob``. ``mode='ratio'``: ``ratio <= prob`` or
     ``roll < prob / ratio`` with ``ratio = (unused hosts on the port + 1) / hosts of the day``.
     The roll is keyed by the flow only, so all strategies share it (and it survives
-    re-execution). The strategy side is small (days x setups x ports): AQE broadcasts it
-    by measured size, and beyond that the join splits a hot (day, port) by a salt.
+    re-execution). The flows meet one row per (day, port), which holds the ratio and all
+    strategies of the port; the fan-out over strategies comes after that join, without a
+    shuffle. ``share(df, name)`` may write those rows, so that the join knows their size.
     Output: SrcAddr, DstAddr, Dport, ts, day, strategy_id, prob, roll[, ratio], is_hp.
     """
-    cand = att_flows.where(F.col("unused")).select(
+    placed, rule, extra = _with_setups(_rolled(att_flows, seed), att_flows, strategies, mode, share)
+    rows = placed.select("SrcAddr", "DstAddr", "Dport", "ts", "day", "roll", *extra, F.inline("setups"))
+    return rows.select("SrcAddr", "DstAddr", "Dport", "ts", "day", "strategy_id", "prob", "roll", *extra,
+                       rule(F.col("prob")).alias("is_hp"))
+
+
+def _rolled(att_flows: DataFrame, seed: str) -> DataFrame:
+    return att_flows.where(F.col("unused")).select(
         "SrcAddr", "DstAddr", "Dport", "ts", "day", flow_roll(seed).alias("roll"))
-    return _assign(cand, att_flows, strategies, mode)
 
 
-def _assign(cand: DataFrame, att_flows: DataFrame, strategies: DataFrame, mode: str) -> DataFrame:
-    strat = strategies.select(F.col("application_date").alias("day"), F.col("port").alias("Dport"),
-                              "strategy_id", "prob")
+def _with_setups(cand: DataFrame, att_flows: DataFrame, strategies: DataFrame, mode: str, share):
+    """(candidates with the setups of their (day, port), rule of a probability, further columns)."""
+    setups = strategies_by_port(strategies)
     if mode == "prob":
-        rule, extra = place_by_probability("roll", "prob"), []
+        rule, extra = (lambda prob: place_by_probability("roll", prob)), []
     elif mode == "ratio":
-        ratios = unused_hosts_per_port(att_flows).select("day", "Dport", "ratio")
-        cand = salted_join(cand, ratios, ["day", "Dport"])
-        rule, extra = place_by_ratio("ratio", "prob", "roll"), ["ratio"]
+        setups = setups.join(unused_hosts_per_port(att_flows).select("day", "Dport", "ratio"), ["day", "Dport"])
+        rule, extra = (lambda prob: place_by_ratio("ratio", prob, "roll")), ["ratio"]
     else:
         raise ValueError(f"unknown placement mode {mode!r}")
-    return (salted_join(cand, strat, ["day", "Dport"])
-            .select("SrcAddr", "DstAddr", "Dport", "ts", "day", "strategy_id", "prob", "roll",
-                    *extra, rule.alias("is_hp")))
+    return cand.join(share(setups, "setups"), ["day", "Dport"]), rule, extra
 
 
 def record_low_flows(candidates: DataFrame, keys=("SrcAddr", "day", "Dport"), share=lambda df, name: df) -> DataFrame:
@@ -111,9 +124,10 @@ def detections(att_flows: DataFrame, strategies: DataFrame, mode: str = "prob",
     The strategy fan-out runs over :func:`record_low_flows` only, so a source with many
     flows on a port contributes about log(n) rows per minute instead of n rows per strategy.
     """
-    cand = record_low_flows(att_flows.where(F.col("unused")).select(
-        "SrcAddr", "DstAddr", "Dport", "ts", "day", flow_roll(seed).alias("roll")), share=share)
-    return first_detection(_assign(cand, att_flows, strategies, mode))
+    cand = record_low_flows(_rolled(att_flows, seed), share=share)
+    placed, rule, _ = _with_setups(cand, att_flows, strategies, mode, share)
+    hits = placed.select("SrcAddr", "ts", "day", F.inline(F.filter("setups", lambda s: rule(s["prob"]))))
+    return first_detection(hits.withColumn("is_hp", F.lit(True)))
 
 
 def first_detection(assignment: DataFrame) -> DataFrame:
@@ -132,13 +146,14 @@ def saved_flows(att_flows: DataFrame, detections: DataFrame) -> DataFrame:
     """Per (strategy, day): open-port attacker flows strictly after the source's detection.
 
     ``total_attacks`` counts all open-port attacker flows of the day. Strategies with no
-    saved flow on a day have no row. The per-detection count uses ``count_after``
-    (minute pre-aggregation), so a source with many flows is not paired with every
-    strategy flow by flow. Output: strategy_id, day, saved, total_attacks, saved_ratio.
+    saved flow on a day have no row. The counts are those of ``count_after``: flows are
+    added up per source and time before they are shuffled, and a source with many flows is
+    not paired with every strategy flow by flow.
+    Output: strategy_id, day, saved, total_attacks, saved_ratio.
     """
     open_flows = att_flows.where(~F.col("unused")).select("SrcAddr", "day", "ts")
     totals = open_flows.groupBy("day").agg(F.count("*").alias("total_attacks"))
-    per_detection = count_after(detections, open_flows, ["SrcAddr", "day"],
+    per_detection = later_parts(detections, open_flows, ["SrcAddr", "day"],
                                 ["SrcAddr", "day", "strategy_id"], mark_time="detection_time")
     saved = per_detection.groupBy("strategy_id", "day").agg(F.sum("later").alias("saved"))
     return (saved.join(totals, "day")

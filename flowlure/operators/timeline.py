@@ -3,12 +3,12 @@
 ``count_after(marks, events, keys, ...)`` gives, for every mark row, the number of event
 rows with the same ``keys`` and a strictly later time. A plain join on ``keys`` would pair
 each mark with every event of its key: for a source that sends millions of flows a day,
-times the number of strategies. Here the day is cut into minutes, seconds and microseconds.
-Events are counted per time of each level, with map-side partial counts; marks are placed
-among those counts, and one running sum per level gives what is later: minutes after the
-mark's own, seconds after its own in that minute, microseconds after its own in that
-second. Work is linear in marks plus counts, and a flood inside one minute is split by its
-seconds. All of it is exact; ``keys`` must include the day so times of day are comparable.
+times the number of strategies. Here events are added up per key and microsecond in the
+tasks that read them, so the exchange carries counts; marks are placed among those counts,
+and one running sum per level gives what is later: minutes after the mark's own, and times
+after its own in that minute. Work is linear in marks plus counts, and no window holds more
+than the minutes of a day or the microseconds of a minute of one key. All of it is exact;
+``keys`` must include the day so times of day are comparable.
 """
 
 from __future__ import annotations
@@ -21,23 +21,40 @@ def minute_of_day(ts: Column) -> Column:
     return F.hour(ts) * 60 + F.minute(ts)
 
 
-def second_of_day(ts: Column) -> Column:
-    return minute_of_day(ts) * 60 + F.second(ts)
+def microsecond_of_minute(ts: Column) -> Column:
+    return (F.extract(F.lit("SECOND"), ts) * 1000000).cast("int")
 
 
-def microsecond(ts: Column) -> Column:
-    """Microseconds since the full second."""
-    return F.pmod((F.extract(F.lit("SECOND"), ts) * 1000000).cast("int"), F.lit(1000000))
+def _timed(df: DataFrame, keys: list[str], time: str, *columns: str) -> DataFrame:
+    """Rows with a time: their keys as one struct, minute of the day and microsecond of the minute.
+
+    A struct is no column that an earlier join dealt rows by, so an aggregate or window on it
+    and the minute always gets an exchange of its own, after the partial counts; on the bare
+    keys it would accept that join's partitioning and count a hot key in one task.
+    """
+    t = F.col(time)
+    return df.where(t.isNotNull()).select(F.struct(*keys).alias("_k"), minute_of_day(t).alias("_m"),
+                                          microsecond_of_minute(t).alias("_u"), *columns)
 
 
-def _later(marks: DataFrame, counts: DataFrame, group: list[str], order: str, mark_id: list[str], out: str) -> DataFrame:
+def _later(marks: DataFrame, counts: DataFrame, group: list[str], order: str, mark: str, out: str) -> DataFrame:
     """Per mark, the sum of ``_n`` over rows of its group with a greater ``order``."""
     # Both sides carry all columns; a count row has no mark, a mark counts nothing.
-    ids = [c for c in mark_id if c not in group]
-    rows = counts.select(*group, order, "_n", *[F.lit(None).cast(marks.schema[c].dataType).alias(c) for c in ids], F.lit(False).alias("_mark"))
-    rows = rows.unionByName(marks.select(*group, order, F.lit(0).cast("long").alias("_n"), *ids, F.lit(True).alias("_mark")))
+    rows = counts.select(*group, order, "_n", F.lit(None).cast(marks.schema[mark].dataType).alias(mark))
+    rows = rows.unionByName(marks.select(*group, order, F.lit(0).cast("long").alias("_n"), mark))
     after = Window.partitionBy(*group).orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, -1)
-    return rows.repartition(*group).withColumn(out, F.sum("_n").over(after)).where(F.col("_mark") & (F.col(out) > 0)).select(*mark_id, out)
+    return rows.withColumn(out, F.sum("_n").over(after)).where(F.col(mark).isNotNull() & (F.col(out) > 0)).select(f"{mark}.*", out)
+
+
+def later_parts(marks: DataFrame, events: DataFrame, keys: list[str], mark_id: list[str],
+                mark_time: str = "ts", event_time: str = "ts", out: str = "later") -> DataFrame:
+    """Rows of ``mark_id`` + ``out`` whose sums per mark are :func:`count_after`: for callers that add up anyway."""
+    times = _timed(events, keys, event_time).groupBy("_k", "_m", "_u").agg(F.count("*").alias("_n"))
+    minutes = times.groupBy("_k", "_m").agg(F.sum("_n").alias("_n"))
+    named = marks.withColumn("_mark", F.struct(*mark_id))
+    m = _timed(named, keys, mark_time, "_mark")
+    return (_later(m, minutes, ["_k"], "_m", "_mark", out)
+            .unionByName(_later(m, times, ["_k", "_m"], "_u", "_mark", out)))
 
 
 def count_after(marks: DataFrame, events: DataFrame, keys: list[str], mark_id: list[str],
@@ -46,21 +63,4 @@ def count_after(marks: DataFrame, events: DataFrame, keys: list[str], mark_id: l
 
     Returns ``mark_id`` + ``out``; marks without a later event are absent.
     """
-    def timed(df: DataFrame, columns: list[str], time: str) -> DataFrame:
-        t = F.col(time)
-        known = df.where(t.isNotNull()).select(*columns, second_of_day(t).alias("_s"), microsecond(t).alias("_u"))
-        return known.withColumn("_m", F.floor(F.col("_s") / 60).cast("int"))
-
-    # The exchange on (keys, second) is explicit because an aggregate would accept an
-    # inherited partitioning on ``keys`` alone and count a hot key in one task.
-    ev = timed(events, keys, event_time).repartition(*keys, "_s")
-    instants = ev.groupBy(*keys, "_m", "_s", "_u").agg(F.count("*").alias("_n"))
-    seconds = instants.groupBy(*keys, "_m", "_s").agg(F.sum("_n").alias("_n"))
-    minutes = seconds.groupBy(*keys, "_m").agg(F.sum("_n").alias("_n"))
-    m = timed(marks, mark_id, mark_time)
-    parts = [
-        _later(m, minutes, keys, "_m", mark_id, out),
-        _later(m, seconds, [*keys, "_m"], "_s", mark_id, out),
-        _later(m, instants, [*keys, "_m", "_s"], "_u", mark_id, out),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*mark_id).agg(F.sum(out).alias(out))
+    return later_parts(marks, events, keys, mark_id, mark_time, event_time, out).groupBy(*mark_id).agg(F.sum(out).alias(out))

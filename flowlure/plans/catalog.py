@@ -101,7 +101,7 @@ def q_daily_attackers(spark, sf):
 
 
 def q_attacker_flows(spark, sf):
-    return attacker_flows(eval_flows(spark, sf))
+    return attacker_flows(eval_flows(spark, sf), share=materialize)
 
 
 def q_attack_probability_daily(spark, sf):
@@ -139,52 +139,52 @@ def q_strategy_long(spark, sf):
 
 
 def q_unused_hosts_per_port(spark, sf):
-    return unused_hosts_per_port(attacker_flows(eval_flows(spark, sf)))
+    return unused_hosts_per_port(attacker_flows(eval_flows(spark, sf), share=materialize))
 
 
 def q_port_status_share(spark, sf):
-    return port_status_share(attacker_flows(wide_flows(spark, sf)))
+    return port_status_share(attacker_flows(wide_flows(spark, sf), share=materialize))
 
 
-def _evaluation(spark, sf, mode="prob", setup=None, shared=False):
-    """(attacker flows, strategies, assignment) sharing one flow lineage.
+def _evaluation(spark, sf, setup=None, shared=False):
+    """(attacker flows, strategies) sharing one flow lineage.
 
     With ``shared`` the attacker flows are written once to the checkpoint folder, since
     detection, totals and saved-flow counts all read them.
     """
     base = eval_base(spark, sf)
-    att = attacker_flows(without_null_ports(base))
+    att = attacker_flows(without_null_ports(base), share=materialize)
     if shared:
         att = materialize(att, "attacker-flows")
     strat = strategies_from(base)
     if setup is not None:
         strat = strat.where((F.round("rationality", 6) == setup[0]) & (F.round("num_of_hp", 6) == setup[1]))
-    return att, strat, honeypot_assignment(att, strat, mode=mode)
+    return att, strat
 
 
 def q_honeypot_assignment(spark, sf):
-    return _evaluation(spark, sf)[2]
+    return honeypot_assignment(*_evaluation(spark, sf), share=materialize)
 
 
 def q_first_detection(spark, sf):
-    att, strat, _ = _evaluation(spark, sf)
+    att, strat = _evaluation(spark, sf)
     return detections(att, strat, share=materialize)
 
 
 def q_saved_flows(spark, sf):
-    att, strat, _ = _evaluation(spark, sf, shared=True)
+    att, strat = _evaluation(spark, sf, shared=True)
     return saved_flows(att, materialize(detections(att, strat, share=materialize), "detections"))
 
 
 def q_strategy_setup_summary(spark, sf):
-    att, strat, _ = _evaluation(spark, sf, shared=True)
+    att, strat = _evaluation(spark, sf, shared=True)
     saved = saved_flows(att, materialize(detections(att, strat, share=materialize), "detections"))
     return strategy_setup_summary(saved, strat).select("rationality", "num_of_hp", _r("avg_saved_ratio"), _r("stddev"))
 
 
 def q_port_hit_summary(spark, sf):
-    hits = port_hit_summary(_evaluation(spark, sf, mode="ratio", setup=HIT_SUMMARY_SETUP, shared=True)[2],
-                            share=materialize)
+    att, strat = _evaluation(spark, sf, setup=HIT_SUMMARY_SETUP, shared=True)
+    hits = port_hit_summary(honeypot_assignment(att, strat, mode="ratio", share=materialize), share=materialize)
     return hits.select("Dport", _r("avg_hit"), _r("stddev"))
 
 

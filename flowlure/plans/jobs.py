@@ -123,7 +123,7 @@ def strategy_evaluation_job(spark, archive, strategies, output, rationality=None
     flows = _flows(spark, archive, prefix=config.NETWORK_PREFIX_EVAL, drop_null_port=True, **window)
     strat = strategy_long(read_strategies(spark, strategies, document), rationality=rationality, num_of_hp=num_of_hp)
     with ScratchTables(spark) as keep:
-        att = keep(attacker_flows(flows), "attacker-flows")
+        att = keep(attacker_flows(flows, share=keep), "attacker-flows")
         det = keep(detections(att, strat, mode=mode, share=keep), "detections")
         saved = keep(saved_flows(att, det), "saved-flows")
         write_csv(saved, f"{output}_daily", write_mode)
@@ -137,8 +137,8 @@ def port_evaluation_job(spark, archive, strategies, output, rationality, num_of_
     flows = _flows(spark, archive, prefix=config.NETWORK_PREFIX_EVAL, drop_null_port=True, **window)
     strat = strategy_long(read_strategies(spark, strategies, document), rationality=rationality, num_of_hp=num_of_hp)
     with ScratchTables(spark) as keep:
-        att = keep(attacker_flows(flows), "attacker-flows")
-        assignment = honeypot_assignment(att, strat, mode="ratio")
+        att = keep(attacker_flows(flows, share=keep), "attacker-flows")
+        assignment = honeypot_assignment(att, strat, mode="ratio", share=keep)
         write_csv(port_hit_summary(assignment, share=keep, include_zero_days=include_zero_days), output, write_mode)
 
 

@@ -74,7 +74,7 @@ def test_command_line(archive, tmp_path):
     assert any(name.endswith(".json") for name in os.listdir(strategies))
 
 
-def test_salted_join_equals_a_plain_one(spark, archive):
+def test_attacker_flows_equal_a_plain_join(spark, archive):
     from flowlure.config import NETWORK_PREFIX_EVAL
     from flowlure.operators import attacker_flows, daily_attackers, prepare_flows
     from flowlure.sources import read_flow_archive
