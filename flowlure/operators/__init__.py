@@ -4,6 +4,7 @@ from flowlure.operators.fixed import fixed_strategy_daily_results, strategy_pair
 from flowlure.operators.flows import (
     attacker_flows,
     daily_attackers,
+    drop_repeated_rows,
     prepare_flows,
     sample_sources,
     source_sample,
@@ -12,6 +13,7 @@ from flowlure.operators.game import (
     strategy_parameter_grid,
     strategy_scoring,
     strategy_sweep,
+    sweep_certificate,
     sweep_records,
     top_attacked_ports,
 )
@@ -33,6 +35,7 @@ from flowlure.operators.replay import (
     port_hit_summary,
     record_low_flows,
     saved_flows,
+    strategies_by_port,
     strategy_long,
     strategy_setup_summary,
 )
@@ -40,10 +43,10 @@ from flowlure.operators.replay import (
 __all__ = [
     "attack_probability_daily", "attacker_flows", "average_attackers_per_port",
     "average_production_ratio", "daily_attackers", "daily_port_statistics",
-    "daily_statistics_document", "detections", "first_detection", "fixed_strategy_daily_results",
+    "daily_statistics_document", "detections", "drop_repeated_rows", "first_detection", "fixed_strategy_daily_results",
     "honeypot_assignment", "open_port_probability_daily", "port_hit_summary",
     "port_status_share", "prepare_flows", "production_ratio_daily", "record_low_flows", "sample_sources",
-    "saved_flows", "source_sample", "strategy_long", "strategy_pair_comparison",
+    "saved_flows", "source_sample", "strategies_by_port", "strategy_long", "strategy_pair_comparison",
     "strategy_parameter_grid", "strategy_scoring", "strategy_setup_summary",
-    "strategy_sweep", "sweep_records", "top_attacked_ports", "unused_hosts_per_port",
+    "strategy_sweep", "sweep_certificate", "sweep_records", "top_attacked_ports", "unused_hosts_per_port",
 ]

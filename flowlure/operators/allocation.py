@@ -55,17 +55,12 @@ def _max_tau(s: np.ndarray, up: np.ndarray, hmin: float, budget: float) -> float
     if not pos.any():
         return np.inf
     cap = float(np.min(up[pos] / s[pos]))
-    bps = np.sort(hmin / s[pos])
-    sums = np.array([np.maximum(hmin, s * b).sum() for b in bps])
-    if sums[-1] <= budget:
-        tau = bps[-1] + (budget - sums[-1]) / s[pos].sum()
-    else:
-        idx = int(np.searchsorted(sums, budget, side="right"))
-        if idx == 0:
-            tau = bps[0]
-        else:
-            slope = s[s * bps[idx - 1] >= hmin].sum()
-            tau = bps[idx - 1] + (budget - sums[idx - 1]) / slope
+    rising = np.sort(s[pos])[::-1]  # a port's lower bound rises from tau = hmin / s on, the largest s first
+    bps = hmin / rising
+    slopes = np.cumsum(rising)
+    sums = len(s) * hmin + np.concatenate([[0.0], np.cumsum(slopes[:-1] * np.diff(bps))])
+    idx = int(np.searchsorted(sums, budget, side="right"))
+    tau = bps[0] if idx == 0 else bps[idx - 1] + (budget - sums[idx - 1]) / slopes[idx - 1]
     return min(cap, float(tau))
 
 
@@ -75,6 +70,58 @@ def objective(p, s, h, rat) -> float:
     return float(rat * np.max(s / h) + (1.0 - rat) * np.sum(p * s / h))
 
 
+def lower_bound(p, s, budget: float, rat: float, hmin: float, multiplier: float, weights: np.ndarray) -> float:
+    """What no allocation can fall below, by weak duality, for any ``multiplier`` and ``weights``.
+
+    ``multiplier`` >= 0 prices the budget; ``weights`` >= 0 with sum ``rat`` replace the maximum
+    of s/h by their weighted sum, which is never more. Each port is then on its own.
+    """
+    a = weights * s + (1.0 - rat) * p * s
+    up = 1.0 - s
+    best = np.sqrt(a / multiplier) if multiplier > 0 else np.where(a > 0, up, hmin)
+    h = np.clip(best, hmin, up)
+    return float(np.sum(a / h) + multiplier * (h.sum() - budget))
+
+
+def certificate(p, s, h, budget: float, rat: float, hmin: float = 1e-4) -> tuple[float, np.ndarray]:
+    """(multiplier of the budget, weight per port) that prove ``h`` optimal: see ``lower_bound``.
+
+    At an optimum the ports where s/h is greatest carry all the weight, and a port strictly
+    inside its bounds has (weight * s + (1 - rat) * p * s) / h**2 equal to the multiplier.
+    """
+    p, s, h = (np.asarray(x, dtype=float) for x in (p, s, h))
+    c, up = (1.0 - rat) * p * s, 1.0 - s
+    share = s / h
+    top = (s > 0) & (share >= share.max() * (1 - 1e-7))
+    capped, least = top & (h >= up * (1 - 1e-9)), top & (h <= hmin * (1 + 1e-9))
+    inside = ~top & (c > 0) & (h > hmin * (1 + 1e-9)) & (h < up * (1 - 1e-9))
+    multipliers = [0.0] if budget - h.sum() > 1e-9 or not (c.any() or rat > 0) else []
+    if inside.any():
+        multipliers.append(float(np.median(c[inside] / h[inside] ** 2)))
+    free = top & ~capped
+    if free.any():  # the weights of the free top ports alone sum to rat: piecewise linear in the multiplier
+        low = np.sort(c[free] / h[free] ** 2)
+        gain, base = h[free] ** 2 / s[free], c[free] / s[free]
+        for m in low:
+            on = c[free] / h[free] ** 2 <= m
+            multipliers.append(float((rat + base[on].sum()) / gain[on].sum()))
+    # Ports held at a bound leave the multiplier a range; its ends are where one of them would move.
+    multipliers += [float(x) for x in (np.where(top, rat * s, 0.0) + c) / h**2]
+    found = []
+    for m in multipliers:
+        weights = np.where(top, np.maximum((m * h**2 - c) / np.where(s > 0, s, 1.0), 0.0), 0.0)
+        missing = rat - weights.sum()
+        if missing > 0 and (capped if capped.any() else top).any():
+            weights[np.flatnonzero(capped if capped.any() else top)[0]] += missing
+        elif missing < 0:  # a port at its lower bound may carry less than what would make it move
+            low = weights[least].sum()
+            weights[least] *= max(0.0, 1.0 + missing / low) if low > 0 else 1.0
+            weights *= rat / weights.sum() if weights.sum() > 0 else 0.0
+        found.append((lower_bound(p, s, budget, rat, hmin, m, weights), m, weights))
+    _, multiplier, weights = max(found, key=lambda x: x[0])
+    return multiplier, weights
+
+
 def solve_allocation(p, s, budget: float, rat: float, hmin: float = 1e-4):
     """Best honeypot shares ``h`` for one group.
 

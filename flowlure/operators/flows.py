@@ -24,16 +24,33 @@ def inside(col: str, prefixes) -> Column:
     return reduce(lambda a, b: a | b, [F.col(col).startswith(p) for p in _prefixes(prefixes)])
 
 
+def drop_repeated_rows(df: DataFrame, share=_keep) -> DataFrame:
+    """Every distinct row once, NULLs equal to each other, without shuffling whole rows.
+
+    Rows are counted by 128 bits of hash; the exchange carries those. Rows whose hash stands
+    alone pass as they are. Only rows of repeated hashes are compared whole, after each task
+    has dropped its own repeats, so rows that merely share a hash both stay. ``share(df, name)``
+    may write the repeated hashes, so that the joins with them know their size.
+    """
+    nulls = F.concat(*[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in df.columns])
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    hashed = df.withColumns({"_h1": F.xxhash64(nulls, *columns), "_h2": F.xxhash64(F.lit(1), nulls, *columns)})
+    repeated = share(hashed.groupBy("_h1", "_h2").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("_h1", "_h2"), "repeated-hashes")
+    alone = hashed.join(repeated, ["_h1", "_h2"], "left_anti").select(*columns)
+    return alone.unionByName(hashed.join(repeated, ["_h1", "_h2"], "left_semi").select(*columns).dropDuplicates())
+
+
 def prepare_flows(raw: DataFrame, prefixes=config.NETWORK_PREFIX_EVAL, drop_null_port: bool = False,
-                  dedupe: bool = False) -> DataFrame:
+                  dedupe: bool = False, share=_keep) -> DataFrame:
     """Inbound TCP flows, typed, with state classes.
 
     Keeps ``Proto = 'tcp'``, destination inside and source outside the network. The
     prefix predicates are plain ``startswith`` so they reach a parquet scan as pushed
-    filters. Output: SrcAddr, DstAddr, Dport INT (NULL when not a number), State,
+    filters. ``dedupe`` drops repeated raw rows first (:func:`drop_repeated_rows`).
+    Output: SrcAddr, DstAddr, Dport INT (NULL when not a number), State,
     ts TIMESTAMP_NTZ, day DATE, unused BOOLEAN, answered BOOLEAN.
     """
-    df = raw.dropDuplicates() if dedupe else raw
+    df = drop_repeated_rows(raw, share) if dedupe else raw
     df = df.where((F.col("Proto") == "tcp") & inside("DstAddr", prefixes) & ~inside("SrcAddr", prefixes))
     out = df.select(
         "SrcAddr", "DstAddr",

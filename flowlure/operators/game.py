@@ -19,7 +19,11 @@ SWEEP_SCHEMA = T.StructType([
     T.StructField("feasible", T.BooleanType()),
     T.StructField("port", T.IntegerType()),
     T.StructField("prob", T.DoubleType()),
+    T.StructField("multiplier", T.DoubleType()),
+    T.StructField("weight", T.DoubleType()),
 ])
+#: Relative gap between a reward and its proven bound up to which it counts as optimal.
+CERTIFIED_GAP = 1e-6
 
 
 def grid_values(stop: float, step: float, decimals: int = config.GRID_DECIMALS) -> list[float]:
@@ -107,7 +111,7 @@ def _group_solver(hmin: float, budgets: list[float]):
     from flowlure.operators import allocation
 
     cloudpickle.register_pickle_by_value(allocation)
-    solve = allocation.solve_allocation
+    solve, certify = allocation.solve_allocation, allocation.certificate
     budgets = [float(b) for b in budgets]
 
     def solve_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,9 +123,11 @@ def _group_solver(hmin: float, budgets: list[float]):
         parts = []
         for budget in budgets:
             h, reward, used, feasible = solve(p, s, budget, rat, hmin)
+            multiplier, weight = certify(p, s, h, budget, rat, hmin) if feasible else (0.0, np.zeros(len(h)))
             parts.append(pd.DataFrame({
                 "day": day, "rationality": rat, "num_of_hp": budget, "reward": reward,
                 "used_hps": used, "feasible": feasible, "port": port, "prob": h,
+                "multiplier": multiplier, "weight": weight,
             }))
         return pd.concat(parts, ignore_index=True)
 
@@ -141,7 +147,9 @@ def strategy_sweep(top_ports: DataFrame, rationalities=None, honeypots=None,
     hash-partitioned on the group keys into ``partitions`` (default: the cluster's default
     parallelism) explicitly; size-based coalescing would otherwise pack every group into
     one task. The grouped call reuses that partitioning (no second exchange).
-    Output: day, rationality, num_of_hp, reward, used_hps, feasible, port, prob.
+    Output: day, rationality, num_of_hp, reward, used_hps, feasible, port, prob, and what
+    proves the reward optimal: the budget's multiplier and a weight per port
+    (:func:`sweep_certificate` checks them).
     """
     rats = rationalities if rationalities is not None else grid_values(1.0, rationality_step)
     hps = honeypots if honeypots is not None else grid_values(max_honeypots, honeypot_step)
@@ -157,6 +165,44 @@ def strategy_sweep(top_ports: DataFrame, rationalities=None, honeypots=None,
     return rows.repartition(partitions, *keys).groupBy(*keys).applyInPandas(solver, SWEEP_SCHEMA)
 
 
+def sweep_certificate(sweep: DataFrame, top_ports: DataFrame, hmin: float = config.MIN_HONEYPOT_SHARE,
+                      gap: float = CERTIFIED_GAP) -> DataFrame:
+    """Check every grid point of a sweep by weak duality, without solving anything.
+
+    With weights w >= 0 of sum rat, ``rat * max(s/h) >= sum(w s/h)`` for every h; with a
+    multiplier m >= 0 of the budget, no allowed h can then have a reward below
+    ``sum_j min_h ((w s + (1 - rat) p s) / h + m h) - m * num_of_hp``, whose minima over
+    [hmin, 1 - s] are closed forms. A point is ``certified`` when its shares keep all bounds and
+    the budget, its weights are such weights, and the reward of its shares is within ``gap``
+    (relative) of that bound. An infeasible point is not certified.
+    Output: day, rationality, num_of_hp, ports, reward, bound, feasible, certified.
+    """
+    rows = sweep.join(top_ports.select("day", F.col("port").cast("int").alias("port"), F.col("attack_probability").alias("p"),
+                                       F.col("open_port_probability").alias("s")), ["day", "port"])
+    rat, m, h, s, up = F.col("rationality"), F.col("multiplier"), F.col("prob"), F.col("s"), F.lit(1.0) - F.col("s")
+    priced = F.col("weight") * s + (F.lit(1.0) - rat) * F.col("p") * s
+    free = F.when(m > 0, F.sqrt(priced / F.when(m > 0, m))).otherwise(F.when(priced > 0, up).otherwise(F.lit(hmin)))
+    least = F.least(F.greatest(free, F.lit(hmin)), up)
+    per_port = rows.select("day", "rationality", "num_of_hp", "feasible", "multiplier", "prob", "weight",
+                           F.try_divide(s, h).alias("share"), F.try_divide(F.col("p") * s, h).alias("expected"),
+                           F.try_divide(priced, least).alias("a"), (m * least).alias("b"),
+                           ((h >= hmin * (1 - 1e-9)) & (h <= up + 1e-9) & (F.col("weight") >= 0)).alias("kept"))
+    points = per_port.groupBy("day", "rationality", "num_of_hp").agg(
+        F.count("*").alias("ports"), F.first("feasible").alias("feasible"),
+        F.max("share").alias("share"), F.sum("expected").alias("expected"),
+        (F.sum("a") + F.sum("b")).alias("priced"), F.first("multiplier").alias("m"),
+        F.sum("prob").alias("used"), F.sum("weight").alias("weights"), F.bool_and("kept").alias("kept"))
+    reward = F.when(F.col("feasible"), rat * F.col("share") + (F.lit(1.0) - rat) * F.col("expected")).otherwise(0.0)
+    bound = F.when(F.col("feasible"), F.col("priced") - F.col("m") * F.col("num_of_hp"))
+    scored = points.withColumn("reward", reward).withColumn("bound", bound)
+    # Without an open port the maximum is 0 whatever the weights are.
+    weighted = (F.abs(F.col("weights") - rat) <= 1e-9) | (F.col("share") == 0)
+    proven = F.col("kept") & (F.col("m") >= 0) & (F.col("used") <= F.col("num_of_hp") + 1e-9) & weighted & (
+        F.col("reward") - F.col("bound") <= gap * F.greatest(F.lit(1.0), F.col("reward")))
+    return scored.select("day", "rationality", "num_of_hp", "ports", "reward", "bound", "feasible",
+                         (F.col("feasible") & proven).alias("certified"))
+
+
 def sweep_records(sweep: DataFrame) -> DataFrame:
     """Sweep output -> strategy records (``date`` = the statistics day) for ``write_strategies``."""
     from flowlure.sources.strategies import records_from_long

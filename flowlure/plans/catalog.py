@@ -38,16 +38,25 @@ from flowlure.operators import (
     strategy_scoring,
     strategy_setup_summary,
     strategy_sweep,
+    sweep_certificate,
     top_attacked_ports,
     unused_hosts_per_port,
 )
 from flowlure.plans.persist import materialize
-from flowlure.sources.events import EVENTS_SCHEMA, flows_from_events, strategy_records_fixture
+from flowlure.sources.events import (
+    EVENTS_SCHEMA,
+    flows_from_events,
+    scattered_flows_from_events,
+    scattered_strategy_records,
+    strategy_records_fixture,
+)
 
 ROUND = 9
 # Source sampling rate of the registered pair comparison: the test tables hold ~135
 # sources, so the original 1 % would sample one or two.
 PAIR_SAMPLE_RATE = 0.5
+# Places that a reward keeps in the certificate (solver and SQL agree to far more).
+REWARD_ROUND = 6
 # Setup replayed by the port-hit summary (the original job takes exactly one setup).
 HIT_SUMMARY_SETUP = (0.8, 2.0)
 
@@ -220,6 +229,43 @@ def q_strategy_sweep(spark, sf):
                         "port", _r("prob"))
 
 
+def scattered_flows(spark, sf) -> DataFrame:
+    """Flows over many ports (``scattered_flows_from_events``): limits cut, shares stay under 1."""
+    return prepare_flows(scattered_flows_from_events(events(spark, sf)), config.NETWORK_PREFIX_WIDE)
+
+
+def scattered_stats(spark, sf) -> DataFrame:
+    return daily_port_statistics(scattered_flows(spark, sf), share=materialize)
+
+
+def q_scattered_top_ports(spark, sf):
+    return top_attacked_ports(scattered_stats(spark, sf))
+
+
+def q_scattered_average_attackers(spark, sf):
+    return average_attackers_per_port(scattered_flows(spark, sf), share=materialize).select("Dport", _r("average_count"))
+
+
+def q_scattered_average_production(spark, sf):
+    return average_production_ratio(scattered_flows(spark, sf), share=materialize).select("Dport", _r("average_ratio"))
+
+
+def q_scattered_scoring(spark, sf):
+    strategies = strategy_long(scattered_strategy_records(scattered_flows(spark, sf)))
+    # A strategy is scored against the day before it applies; its fixture days are those of the flows.
+    scored = strategy_scoring(strategies.withColumn("application_date", F.date_add("application_date", 1)), scattered_stats(spark, sf))
+    return scored.select("strategy_id", "day", "rationality", "num_of_hp", "ports", _r("reward"), _r("used_hps"), "feasible")
+
+
+def q_strategy_sweep_certified(spark, sf):
+    top = materialize(top_attacked_ports(scattered_stats(spark, sf)), "top-ports")
+    checked = sweep_certificate(strategy_sweep(top), top)
+    # At rationality 0 and 1 the reward has a closed form, which the SQL computes by itself.
+    edge = F.col("feasible") & F.col("rationality").isin(0.0, 1.0)
+    return checked.select("day", "rationality", "num_of_hp", "ports", "feasible", "certified",
+                          F.when(edge, F.round("reward", REWARD_ROUND)).alias("edge_reward"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prepared_flows": q_prepared_flows,
     "daily_attackers": q_daily_attackers,
@@ -246,4 +292,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strategy_parameter_grid": q_strategy_parameter_grid,
     "strategy_scoring": q_strategy_scoring,
     "strategy_sweep": q_strategy_sweep,
+    "strategy_sweep_certified": q_strategy_sweep_certified,
+    "scattered_top_ports": q_scattered_top_ports,
+    "scattered_average_attackers": q_scattered_average_attackers,
+    "scattered_average_production": q_scattered_average_production,
+    "scattered_scoring": q_scattered_scoring,
 }

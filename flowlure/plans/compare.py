@@ -54,9 +54,10 @@ def duckdb_connection(sf_dir: str):
 
 
 def compare(spark, sf_dir: str, name: str, con=None) -> dict:
-    from flowlure.plans.catalog import QUERIES
+    from flowlure.plans import catalog, files
     from flowlure.plans.oracle import ORACLE_SQL
 
+    QUERIES = catalog.QUERIES | files.QUERIES
     con = con or duckdb_connection(sf_dir)
     sdf = QUERIES[name](spark, sf_dir)
     s_cols, s_rows = rows_of(sdf.columns, [tuple(r) for r in sdf.collect()])
@@ -82,12 +83,12 @@ def main(argv=None) -> int:
     argv = argv or sys.argv[1:]
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     names = argv[1:]
-    from flowlure.plans.catalog import QUERIES
+    from flowlure.plans import catalog, files
 
     spark = local_session()
     con = duckdb_connection(sf_dir)
     bad = 0
-    for name in names or list(QUERIES):
+    for name in names or [*catalog.QUERIES, *files.QUERIES]:
         r = compare(spark, sf_dir, name, con)
         ok = r.get("oracle") is None or (r["cols_match"] and r["values_match"])
         bad += not ok

@@ -8,12 +8,18 @@ from __future__ import annotations
 
 from flowlure import config
 from flowlure.operators.game import grid_values
-from flowlure.plans.catalog import HIT_SUMMARY_SETUP, PAIR_SAMPLE_RATE, ROUND
+from flowlure.plans.catalog import HIT_SUMMARY_SETUP, PAIR_SAMPLE_RATE, REWARD_ROUND, ROUND
+from flowlure.plans.files import EVALUATED_EVERY
 from flowlure.sources.events import (
     FIXTURE_HONEYPOTS,
     FIXTURE_PORTS,
     FIXTURE_RATIONALITIES,
     PORT_CHOICES,
+    SCATTERED_FIRST_PORT,
+    SCATTERED_HONEYPOTS,
+    SCATTERED_HOSTS,
+    SCATTERED_SOURCES,
+    SCATTERED_STRATEGY_PORTS,
     STATE_BY_EVENT_TYPE,
     STATE_OTHERWISE,
 )
@@ -50,6 +56,18 @@ RAW = f"""raw_flows AS (
   FROM events)"""
 
 
+RAW_SCATTERED = f"""raw_flows AS (
+  SELECT
+    CASE WHEN event_id % 13 = 0 THEN 'udp' ELSE 'tcp' END AS Proto,
+    '10.1.0.' || CAST(user_id % {SCATTERED_SOURCES} AS VARCHAR) AS SrcAddr,
+    '147.32.8' || CAST(event_id % 4 AS VARCHAR) || '.' || CAST((event_id * 31) % {SCATTERED_HOSTS} AS VARCHAR) AS DstAddr,
+    CASE WHEN event_id % 29 = 0 THEN 'na'
+         ELSE CAST({SCATTERED_FIRST_PORT} + ((event_id * 7919 % 1000) * (event_id * 7919 % 1000)) // 6500 AS VARCHAR) END AS Dport,
+    CASE WHEN event_id % 17 = 0 THEN 'INT' WHEN event_id % 5 < 2 THEN 'SR_SA' WHEN event_id % 5 = 2 THEN 'S_SR' ELSE 'S_RA' END AS State,
+    strftime(ts, '%Y/%m/%d %H:%M:%S.%f') AS StartTime
+  FROM events)"""
+
+
 def flows_cte(name: str, prefix: str, drop_null_port: bool, source: str = "raw_flows") -> str:
     null_filter = " AND TRY_CAST(Dport AS INTEGER) IS NOT NULL" if drop_null_port else ""
     return f"""{name} AS (
@@ -287,6 +305,77 @@ sc_joined AS (
   round(sum(h), {R}) AS used_hps,
   (min(h) >= {config.MIN_HONEYPOT_SHARE!r} AND max(h + s) <= 1.0::DOUBLE + 1e-9 AND sum(h) <= num_of_hp + 1e-9) AS feasible
 FROM sc_joined GROUP BY strategy_id, "day", rationality, num_of_hp"""
+    scattered = WIDE.replace(RAW, RAW_SCATTERED)
+    top = f"""top AS (SELECT * FROM (
+  SELECT "day", port, attack_probability, open_port_probability,
+         CAST(row_number() OVER (PARTITION BY "day" ORDER BY attack_probability DESC, port ASC) AS INTEGER) AS rank
+  FROM stats WHERE port IS NOT NULL) WHERE rank <= {config.TOP_PORTS})"""
+    q["scattered_top_ports"] = _with(scattered, STATS, top) + "SELECT * FROM top"
+    q["scattered_average_attackers"] = _with(scattered, ATTACK_WIDE) + f"""SELECT Dport, round(avg(attackers), {R}) AS average_count
+FROM ap_per_port GROUP BY Dport ORDER BY avg(attackers) DESC, Dport ASC NULLS LAST LIMIT 100"""
+    q["scattered_average_production"] = _with(scattered, PRODUCTION_WIDE) + f"""SELECT Dport, round(average_ratio, {R}) AS average_ratio
+FROM (SELECT Dport, avg(ratio) AS average_ratio FROM production GROUP BY Dport
+      ORDER BY average_ratio DESC, Dport ASC NULLS LAST LIMIT 100)"""
+    q["scattered_scoring"] = _with(scattered, STATS, f"""st_days AS (SELECT DISTINCT "day" FROM flows_wide WHERE "day" IS NOT NULL),
+sc_rows AS (
+  SELECT strftime(d."day" - 1, '%Y-%m-%d') || '_' || CAST(h.num_of_hp AS VARCHAR) || '_' || CAST(r.rationality AS VARCHAR) AS strategy_id,
+         d."day", r.rationality, h.num_of_hp, p.port, CASE WHEN p.port % 2 = 0 THEN 0.2::DOUBLE ELSE 0.48::DOUBLE END * h.num_of_hp / 2.0::DOUBLE AS h
+  FROM st_days d, {_values([(x,) for x in FIXTURE_RATIONALITIES], 'r(rationality)', ['DOUBLE'])},
+       {_values([(x,) for x in SCATTERED_HONEYPOTS], 'h(num_of_hp)', ['DOUBLE'])},
+       {_values([(x,) for x in SCATTERED_STRATEGY_PORTS], 'p(port)', ['INTEGER'])}),
+sc_joined AS (
+  SELECT r.strategy_id, r."day", r.rationality, r.num_of_hp, r.h,
+         coalesce(s.attack_probability, 0.0::DOUBLE) AS p, coalesce(s.open_port_probability, 0.0::DOUBLE) AS s
+  FROM sc_rows r LEFT JOIN stats s ON r."day" = s."day" AND r.port = s.port)""") + f"""SELECT strategy_id, "day", rationality, num_of_hp,
+  count(*) AS ports,
+  round(rationality * max(s / h) + (1.0::DOUBLE - rationality) * sum(p * s / h), {R}) AS reward,
+  round(sum(h), {R}) AS used_hps,
+  (min(h) >= {config.MIN_HONEYPOT_SHARE!r} AND max(h + s) <= 1.0::DOUBLE + 1e-9 AND sum(h) <= num_of_hp + 1e-9) AS feasible
+FROM sc_joined GROUP BY strategy_id, "day", rationality, num_of_hp"""
+    # Both edges of the game in closed form: how far the shares can rise before the budget is used
+    # is a sum of straight pieces, whose corners are where a port starts or stops to rise.
+    hmin = repr(config.MIN_HONEYPOT_SHARE)
+    pieces = """{0}_corners AS (SELECT "day", x, sum(d) AS d FROM ({1}) GROUP BY "day", x),
+{0}_slopes AS (SELECT "day", x, sum(d) OVER w AS slope, lead(x) OVER w AS x2 FROM {0}_corners
+  WINDOW w AS (PARTITION BY "day" ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{0}_sums AS (SELECT s."day", s.x, s.slope, n.ports * {2} + coalesce(sum(s.slope * (s.x2 - s.x)) OVER (
+    PARTITION BY s."day" ORDER BY s.x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS used
+  FROM {0}_slopes s JOIN ports n ON n."day" = s."day"),
+{0}_at AS (SELECT "day", num_of_hp, max_by(x + CASE WHEN slope > 0 THEN (num_of_hp - used) / slope ELSE 0 END, x) AS x
+  FROM {0}_sums JOIN gh ON used <= num_of_hp GROUP BY "day", num_of_hp)"""
+    q["strategy_sweep_certified"] = _with(scattered, STATS, top, "gh AS (SELECT * FROM " + _values([(x,) for x in grid_values(7.0, 1.0)], "g(num_of_hp)", ["DOUBLE"]) + ")",
+        "gr AS (SELECT * FROM " + _values([(x,) for x in grid_values(1.0, 0.1)], "g(rationality)", ["DOUBLE"]) + ")", f"""
+game AS (SELECT "day", attack_probability AS p, open_port_probability AS s, sqrt(attack_probability * open_port_probability) AS r FROM top),
+ports AS (SELECT "day", count(*) AS ports, max(s) AS most, sum(CASE WHEN r > 0 THEN 1 - s ELSE {hmin} END) AS room,
+    min(CASE WHEN s > 0 THEN (1 - s) / s END) AS cap FROM game GROUP BY "day")""",
+        pieces.format("even", f'SELECT "day", {hmin} / r AS x, r AS d FROM game WHERE r > 0 UNION ALL SELECT "day", (1 - s) / r, -r FROM game WHERE r > 0', hmin),
+        pieces.format("worst", f'SELECT "day", {hmin} / s AS x, s AS d FROM game WHERE s > 0', hmin),
+        f"""even AS (SELECT g."day", h.num_of_hp, sum(g.p * g.s / CASE WHEN n.room <= h.num_of_hp THEN 1 - g.s
+      ELSE greatest({hmin}, least(1 - g.s, e.x * g.r)) END) AS reward
+  FROM game g JOIN ports n ON n."day" = g."day" CROSS JOIN gh h LEFT JOIN even_at e ON e."day" = g."day" AND e.num_of_hp = h.num_of_hp
+  WHERE g.r > 0 GROUP BY g."day", h.num_of_hp),
+worst AS (SELECT w."day", w.num_of_hp, 1 / least(n.cap, w.x) AS reward FROM worst_at w JOIN ports n ON n."day" = w."day")""") + f"""SELECT n."day", r.rationality, h.num_of_hp, n.ports,
+  (h.num_of_hp >= n.ports * {hmin} * (1 - 1e-12) AND 1 - n.most >= {hmin}) AS feasible,
+  (h.num_of_hp >= n.ports * {hmin} * (1 - 1e-12) AND 1 - n.most >= {hmin}) AS certified,
+  round(CASE WHEN h.num_of_hp >= n.ports * {hmin} * (1 - 1e-12) AND 1 - n.most >= {hmin} THEN
+    CASE WHEN r.rationality = 0 THEN coalesce(e.reward, 0) WHEN r.rationality = 1 THEN coalesce(w.reward, 0) END END, {REWARD_ROUND}) AS edge_reward
+FROM ports n CROSS JOIN gh h CROSS JOIN gr r
+LEFT JOIN even e ON e."day" = n."day" AND e.num_of_hp = h.num_of_hp
+LEFT JOIN worst w ON w."day" = n."day" AND w.num_of_hp = h.num_of_hp"""
+    chosen = f'("day" IN (SELECT application_date FROM strategies WHERE day(application_date) % {EVALUATED_EVERY} = 0))'
+    q["archive_days"] = _with(EVAL) + """SELECT SrcAddr, DstAddr, Dport, State, ts, "day", unused, answered FROM flows_eval_all
+WHERE "day" BETWEEN DATE '2024-01-10' AND DATE '2024-01-19'"""
+    q["archive_strategy_days"] = _with(EVAL, STRATEGIES) + f'SELECT SrcAddr, "day", DstAddr, Dport, State, ts, unused, answered FROM attf_eval WHERE {chosen}'
+    repeated = RAW.replace("FROM events)", """FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0
+    UNION ALL SELECT * FROM events WHERE event_id % 9 = 0))""")
+    q["deduplicated_flows"] = _with(repeated, "one_each AS (SELECT DISTINCT * FROM raw_flows)", flows_cte("kept", config.NETWORK_PREFIX_EVAL, False, "one_each")) + (
+        'SELECT SrcAddr, DstAddr, Dport, State, ts, "day", unused, answered FROM kept')
+    q["strategies_file"] = q["strategies_documents"] = q["strategy_long"]
+    q["statistics_records"] = q["daily_port_statistics"]
+    q["statistics_lines"] = _with(WIDE, STATS) + "SELECT *, TRUE AS stamped FROM stats WHERE port IS NOT NULL"
+    q["statistics_documents"] = _with(WIDE, STATS) + "SELECT * FROM stats WHERE port IS NOT NULL"
+    q["parquet_results"] = q["attack_probability_daily"]
+    q["csv_results"] = q["open_port_probability_daily"]
     return q
 
 

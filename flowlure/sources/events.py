@@ -19,6 +19,12 @@ FIXTURE_PORTS = (21, 22, 80, 443, 445, 3389, 8080)
 FIXTURE_HONEYPOTS = (1.0, 2.0)
 FIXTURE_RATIONALITIES = (0.2, 0.8)
 
+# A second derivation, over many ports: every limit of a report cuts, and no host share is near 1.
+SCATTERED_FIRST_PORT = 20
+SCATTERED_HOSTS = 250
+SCATTERED_SOURCES = 120
+SCATTERED_STRATEGY_PORTS = (20, 21, 22, 23, 24)
+SCATTERED_HONEYPOTS = (1.0, 4.0)
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -54,6 +60,28 @@ def flows_from_events(events: DataFrame) -> DataFrame:
     return events.selectExpr(*_flow_expressions())
 
 
+def scattered_flows_from_events(events: DataFrame) -> DataFrame:
+    """events -> raw flows over about 150 ports of falling popularity and 500 hosts, one flow per event.
+
+    x = event_id * 7919 % 1000 gives the port ``20 + x * x div 6500``; two flows in five are
+    answered, one in five was opened without the archive's answer flags, the rest is unused.
+    """
+    port = f"CAST({SCATTERED_FIRST_PORT} + (event_id * 7919 % 1000) * (event_id * 7919 % 1000) div 6500 AS STRING)"
+    return events.selectExpr(
+        "CASE WHEN event_id % 13 = 0 THEN 'udp' ELSE 'tcp' END AS Proto",
+        f"concat('10.1.0.', CAST(user_id % {SCATTERED_SOURCES} AS STRING)) AS SrcAddr",
+        f"concat('147.32.8', CAST(event_id % 4 AS STRING), '.', CAST((event_id * 31) % {SCATTERED_HOSTS} AS STRING)) AS DstAddr",
+        f"CASE WHEN event_id % 29 = 0 THEN 'na' ELSE {port} END AS Dport",
+        "CASE WHEN event_id % 17 = 0 THEN 'INT' WHEN event_id % 5 < 2 THEN 'SR_SA' WHEN event_id % 5 = 2 THEN 'S_SR' ELSE 'S_RA' END AS State",
+        _flow_expressions()[-1],
+    )
+
+
+def scattered_strategy_records(flows: DataFrame) -> DataFrame:
+    """Strategy records for every day of the scattered flows: budgets that hold and budgets that do not."""
+    return _records(flows, SCATTERED_STRATEGY_PORTS, lambda p: 0.2 if p % 2 == 0 else 0.48, SCATTERED_HONEYPOTS)
+
+
 def strategy_records_fixture(flows: DataFrame) -> DataFrame:
     """Strategy records (NDJSON shape) for every day present in prepared flows.
 
@@ -61,13 +89,16 @@ def strategy_records_fixture(flows: DataFrame) -> DataFrame:
     the day after its date) and ``stg`` = [(port, prob)] with
     ``prob = (0.3 for even ports, 0.6 for odd) * num_of_hp / 2``. Built by projection only.
     """
+    return _records(flows, FIXTURE_PORTS, lambda p: 0.3 if p % 2 == 0 else 0.6, FIXTURE_HONEYPOTS)
+
+
+def _records(flows: DataFrame, ports, share, honeypots) -> DataFrame:
     setups = ", ".join(f"named_struct('rationality', {float(r)!r}D, 'num_of_hp', {float(h)!r}D)"
-                       for r in FIXTURE_RATIONALITIES for h in FIXTURE_HONEYPOTS)
+                       for r in FIXTURE_RATIONALITIES for h in honeypots)
     days = flows.where(F.col("day").isNotNull()).select("day").distinct()
     records = days.select(F.date_sub("day", 1).alias("d"), F.expr(f"inline(array({setups}))"))
     stg = F.expr("array(" + ", ".join(
-        f"named_struct('port', {p}, 'prob', {0.3 if p % 2 == 0 else 0.6!r}D * num_of_hp / 2.0D)"
-        for p in FIXTURE_PORTS) + ")")
+        f"named_struct('port', {p}, 'prob', {share(p)!r}D * num_of_hp / 2.0D)" for p in ports) + ")")
     return records.select(
         F.col("d").cast("string").alias("date"),
         "rationality", "num_of_hp",

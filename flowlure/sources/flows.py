@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 FLOW_COLUMNS = ("Proto", "SrcAddr", "DstAddr", "Dport", "State", "StartTime")
 PARTITION_COLUMN = "_yyyymd"
+FIRST_DAY = "1970-01-01"
 
 RAW_FLOW_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType(), True) for c in FLOW_COLUMNS]
@@ -23,6 +24,25 @@ def partition_day(col=PARTITION_COLUMN):
     return F.col(col).try_cast("date")
 
 
+def read_flows_of_days(spark: SparkSession, root: str, days: DataFrame) -> DataFrame:
+    """Flows of the days in ``days`` (column ``day`` DATE), which are only known when the job runs.
+
+    A left-semi join on the partition column: where ``days`` is broadcast, Spark prunes the
+    archive's folders by its rows before it reads a file (a dynamic pruning filter), so a
+    strategy table decides which days of the archive are read.
+    """
+    # Spark prunes only by a side with a comparison in it; this one holds for every date of an archive.
+    wanted = days.where(F.col("day") >= F.lit(FIRST_DAY).cast("date")).select(F.date_format("day", "yyyy-M-d").alias(PARTITION_COLUMN)).distinct()
+    return _archive(spark, root).join(wanted, PARTITION_COLUMN, "left_semi").select(*FLOW_COLUMNS)
+
+
+def _archive(spark: SparkSession, root: str) -> DataFrame:
+    return (spark.read.option("basePath", root)
+            .option("mergeSchema", "false")
+            .schema(RAW_FLOW_SCHEMA)
+            .parquet(root))
+
+
 def read_flow_archive(spark: SparkSession, root: str, days: Iterable[str] | None = None,
                       start: str | None = None, end: str | None = None) -> DataFrame:
     """Read the archive root once; select days by partition filter, never by path loops.
@@ -32,10 +52,7 @@ def read_flow_archive(spark: SparkSession, root: str, days: Iterable[str] | None
     ``PartitionFilters`` so only matching day folders are listed and read; the six used
     columns are the only ones in ``ReadSchema``.
     """
-    df = (spark.read.option("basePath", root)
-          .option("mergeSchema", "false")
-          .schema(RAW_FLOW_SCHEMA)
-          .parquet(root))
+    df = _archive(spark, root)
     if days is not None:
         days = [days] if isinstance(days, str) else list(days)
         exact = [d for d in days if not any(ch in d for ch in "*?")]

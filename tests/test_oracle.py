@@ -3,10 +3,12 @@
 import pytest
 
 from conftest import SF_CHECK, SF_SMALL
-from flowlure.plans.catalog import QUERIES
+from flowlure.plans import catalog, files
 from flowlure.plans.compare import compare, duckdb_connection
 from flowlure.plans.oracle import ORACLE_SQL
 
+QUERIES = catalog.QUERIES | files.QUERIES
+
 
 @pytest.fixture(scope="module")
 def con_small():
@@ -22,7 +24,8 @@ def test_query_matches_sql_sf0001(spark, con_small, name):
 
 
 @pytest.mark.parametrize("name", ["first_detection", "saved_flows", "fixed_strategy_daily_results",
-                                  "strategy_pair_comparison", "daily_statistics_document"])
+                                  "strategy_pair_comparison", "daily_statistics_document", "strategy_sweep_certified",
+                                  "scattered_scoring"])
 def test_query_matches_sql_sf001(spark, name):
     r = compare(spark, SF_CHECK, name)
     assert r["values_match"], r
