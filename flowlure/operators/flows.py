@@ -41,12 +41,13 @@ def drop_repeated_rows(df: DataFrame, share=_keep) -> DataFrame:
 
 
 def prepare_flows(raw: DataFrame, prefixes=config.NETWORK_PREFIX_EVAL, drop_null_port: bool = False,
-                  dedupe: bool = False, share=_keep) -> DataFrame:
+                  dedupe: bool = False, share=_keep, carried: tuple[str, ...] = ()) -> DataFrame:
     """Inbound TCP flows, typed, with state classes.
 
     Keeps ``Proto = 'tcp'``, destination inside and source outside the network. The
     prefix predicates are plain ``startswith`` so they reach a parquet scan as pushed
-    filters. ``dedupe`` drops repeated raw rows first (:func:`drop_repeated_rows`).
+    filters. ``dedupe`` drops repeated raw rows first (:func:`drop_repeated_rows`);
+    ``carried`` names further columns that pass unchanged.
     Output: SrcAddr, DstAddr, Dport INT (NULL when not a number), State,
     ts TIMESTAMP_NTZ, day DATE, unused BOOLEAN, answered BOOLEAN.
     """
@@ -60,6 +61,7 @@ def prepare_flows(raw: DataFrame, prefixes=config.NETWORK_PREFIX_EVAL, drop_null
         flow_day("StartTime").alias("day"),
         unused_port("State").alias("unused"),
         answered("State").alias("answered"),
+        *carried,
     )
     return out.where(F.col("Dport").isNotNull()) if drop_null_port else out
 

@@ -92,6 +92,11 @@ def eval_flows(spark, sf_dir) -> DataFrame:
     return without_null_ports(eval_base(spark, sf_dir))
 
 
+def shared(flows: DataFrame) -> DataFrame:
+    """Typed flows that several branches of a query read (attackers, their flows, days), written once."""
+    return materialize(flows, "flows")
+
+
 def strategies_from(base: DataFrame) -> DataFrame:
     return strategy_long(strategy_records_fixture(base))
 
@@ -110,7 +115,7 @@ def q_daily_attackers(spark, sf):
 
 
 def q_attacker_flows(spark, sf):
-    return attacker_flows(eval_flows(spark, sf), share=materialize)
+    return attacker_flows(shared(eval_flows(spark, sf)), share=materialize)
 
 
 def q_attack_probability_daily(spark, sf):
@@ -148,23 +153,17 @@ def q_strategy_long(spark, sf):
 
 
 def q_unused_hosts_per_port(spark, sf):
-    return unused_hosts_per_port(attacker_flows(eval_flows(spark, sf), share=materialize))
+    return unused_hosts_per_port(attacker_flows(shared(eval_flows(spark, sf)), share=materialize))
 
 
 def q_port_status_share(spark, sf):
-    return port_status_share(attacker_flows(wide_flows(spark, sf), share=materialize))
-
+    return port_status_share(attacker_flows(shared(wide_flows(spark, sf)), share=materialize))
 
-def _evaluation(spark, sf, setup=None, shared=False):
-    """(attacker flows, strategies) sharing one flow lineage.
 
-    With ``shared`` the attacker flows are written once to the checkpoint folder, since
-    detection, totals and saved-flow counts all read them.
-    """
-    base = eval_base(spark, sf)
+def _evaluation(spark, sf, setup=None):
+    """(attacker flows, strategies) over one written table of typed flows."""
+    base = shared(eval_base(spark, sf))
     att = attacker_flows(without_null_ports(base), share=materialize)
-    if shared:
-        att = materialize(att, "attacker-flows")
     strat = strategies_from(base)
     if setup is not None:
         strat = strat.where((F.round("rationality", 6) == setup[0]) & (F.round("num_of_hp", 6) == setup[1]))
@@ -181,28 +180,28 @@ def q_first_detection(spark, sf):
 
 
 def q_saved_flows(spark, sf):
-    att, strat = _evaluation(spark, sf, shared=True)
+    att, strat = _evaluation(spark, sf)
     return saved_flows(att, materialize(detections(att, strat, share=materialize), "detections"))
 
 
 def q_strategy_setup_summary(spark, sf):
-    att, strat = _evaluation(spark, sf, shared=True)
+    att, strat = _evaluation(spark, sf)
     saved = saved_flows(att, materialize(detections(att, strat, share=materialize), "detections"))
     return strategy_setup_summary(saved, strat).select("rationality", "num_of_hp", _r("avg_saved_ratio"), _r("stddev"))
 
 
 def q_port_hit_summary(spark, sf):
-    att, strat = _evaluation(spark, sf, setup=HIT_SUMMARY_SETUP, shared=True)
+    att, strat = _evaluation(spark, sf, setup=HIT_SUMMARY_SETUP)
     hits = port_hit_summary(honeypot_assignment(att, strat, mode="ratio", share=materialize), share=materialize)
     return hits.select("Dport", _r("avg_hit"), _r("stddev"))
 
 
 def q_fixed_strategy_daily_results(spark, sf):
-    return fixed_strategy_daily_results(wide_flows(spark, sf), share=materialize)
+    return fixed_strategy_daily_results(shared(wide_flows(spark, sf)), share=materialize)
 
 
 def q_strategy_pair_comparison(spark, sf):
-    return strategy_pair_comparison(eval_base(spark, sf), rate=PAIR_SAMPLE_RATE, share=materialize)
+    return strategy_pair_comparison(shared(eval_base(spark, sf)), rate=PAIR_SAMPLE_RATE, share=materialize)
 
 
 def q_source_sample(spark, sf):

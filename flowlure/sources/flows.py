@@ -36,6 +36,11 @@ def read_flows_of_days(spark: SparkSession, root: str, days: DataFrame) -> DataF
     return _archive(spark, root).join(wanted, PARTITION_COLUMN, "left_semi").select(*FLOW_COLUMNS)
 
 
+def read_folders(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """Flows of the folders with the given partition values, with the partition column."""
+    return _archive(spark, root).where(F.col(PARTITION_COLUMN).isin(names))
+
+
 def _archive(spark: SparkSession, root: str) -> DataFrame:
     return (spark.read.option("basePath", root)
             .option("mergeSchema", "false")

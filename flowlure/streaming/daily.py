@@ -1,55 +1,56 @@
 """Daily port statistics kept current while day folders land in the archive.
 
-Every statistic of a day depends on that day's flows only (attackers are per source and
-day, totals are per day), so a day is recomputed whole whenever files of it arrive:
+Every statistic of a day follows from that day's distinct (source, host, port, unused)
+tuples, in whatever folders their flows lie. So the stream keeps those tuples per folder:
 
 * the stream (file source over the archive root) only tells which ``_yyyymd`` values a
   micro-batch touched;
-* the batch job re-reads exactly those day folders from the archive: the distinct
-  partition values of the batch (one per day folder, a few per batch; capped by
-  ``max_files_per_trigger``) become a static partition filter, so only those folders
-  are listed and scanned;
-* a flow may lie in the folder of a neighbouring day (a flow stamped just before midnight
-  that was stored after it), so a touched folder changes its own day and up to
-  ``SPILL_DAYS`` around it; each of those days is recomputed from all folders that may
-  hold its flows, and only days that were read whole are written;
-* results are written partitioned by day with dynamic partition overwrite, so other
-  days stay as they are and a re-run of a batch after a failure gives the same files.
+* the batch job re-reads exactly those folders from the archive: the distinct partition
+  values of the batch (one per day folder, a few per batch; capped by
+  ``max_files_per_trigger``) become a static partition filter, so only those folders are
+  listed and scanned; their tuples replace the folders' earlier ones, written by folder and
+  day of StartTime;
+* every day with a tuple in a touched folder is recomputed from the tuples of all folders,
+  which are merged by day, however far from its day a flow was stored;
+* both tables are written with dynamic partition overwrite, so other folders and days stay
+  as they are and a re-run of a batch after a failure gives the same files.
+
+Flows without a readable StartTime have no day and no statistic, as in the batch job.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlure import config
 from flowlure.operators import daily_port_statistics, prepare_flows
-from flowlure.sources.flows import PARTITION_COLUMN, RAW_FLOW_SCHEMA, read_flow_archive
+from flowlure.plans.persist import ScratchTables
+from flowlure.sources.flows import PARTITION_COLUMN, RAW_FLOW_SCHEMA, read_folders
 
-# Days by which a flow's folder may differ from the day of its StartTime.
-SPILL_DAYS = 1
+TUPLES = f"SrcAddr STRING, DstAddr STRING, Dport INT, unused BOOLEAN, {PARTITION_COLUMN} STRING, day DATE"
 
 
-def _around(days: set[dt.date], reach: int) -> set[dt.date]:
-    return {d + dt.timedelta(days=k) for d in days for k in range(-reach, reach + 1)}
+def _replace(df: DataFrame, path: str, *by: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def update_daily_statistics(spark: SparkSession, archive: str, touched: DataFrame, output: str,
-                            prefix=config.NETWORK_PREFIX_WIDE) -> None:
-    """Recompute the days that the touched folders can change and overwrite those partitions."""
+                            prefix=config.NETWORK_PREFIX_WIDE, tuples: str | None = None) -> None:
+    """Renew the tuples of the touched folders (``tuples``, by default beside ``output``) and
+    recompute the days that they hold."""
     # Partition values only (metadata): one per day folder present in this micro-batch.
     names = [r[0] for r in touched.select(PARTITION_COLUMN).distinct().collect() if r[0] is not None]
     if not names:
         return
-    folders = {dt.date(*map(int, name.split("-"))) for name in names}
-    changed = _around(folders, SPILL_DAYS)
-    raw = read_flow_archive(spark, archive, days=sorted(f"{d.year}-{d.month}-{d.day}" for d in _around(changed, SPILL_DAYS)))
-    flows = prepare_flows(raw, prefix).where(F.col("day").isin(*changed))
-    stats = daily_port_statistics(flows)
-    (stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("day").parquet(output))
+    tuples = tuples or f"{output.rstrip('/')}-tuples"
+    flows = prepare_flows(read_folders(spark, archive, names), prefix, carried=(PARTITION_COLUMN,)).where(F.col("day").isNotNull())
+    _replace(flows.select("SrcAddr", "DstAddr", "Dport", "unused", PARTITION_COLUMN, "day").distinct(), tuples, PARTITION_COLUMN, "day")
+    held = spark.read.schema(TUPLES).option("basePath", tuples).parquet(tuples)
+    days = [r[0] for r in held.where(F.col(PARTITION_COLUMN).isin(names)).select("day").distinct().collect()]
+    if days:
+        with ScratchTables(spark) as keep:
+            _replace(daily_port_statistics(held.where(F.col("day").isin(days)), share=keep), output, "day")
 
 
 def start_daily_statistics_stream(spark: SparkSession, archive: str, output: str, checkpoint: str,

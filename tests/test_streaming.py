@@ -44,3 +44,24 @@ def test_stream_matches_batch(spark, tmp_path):
     start_daily_statistics_stream(spark, root, out, ckpt).awaitTermination()
     want_all = daily_port_statistics(prepare_flows(raw.drop("_yyyymd"), "147.32."))
     assert _rows(spark.read.parquet(out)) == _rows(want_all)
+
+
+def test_flows_stored_days_away(spark, tmp_path):
+    """Flows three folders from their day, before and after that day's own folder has come."""
+    root, out, ckpt = str(tmp_path / "archive"), str(tmp_path / "stats"), str(tmp_path / "ckpt")
+
+    def rows(day, folder, port, sources):
+        return [("tcp", f"10.0.0.{s}", f"147.32.80.{h}", str(port), state, f"{day} 12:00:00", folder) for s in sources for h in range(5) for state in ("S_RA", "S_SA")[: s]]
+
+    schema = "Proto string, SrcAddr string, DstAddr string, Dport string, State string, StartTime string, _yyyymd string"
+    early = rows("2024/01/05", "2024-1-2", 22, (1,)) + rows("2024/01/02", "2024-1-2", 80, (2,)) + rows("bad", "2024-1-2", 81, (2,))
+    own = rows("2024/01/05", "2024-1-5", 23, (2, 1))
+    late = rows("2024/01/05", "2024-1-8", 25, (3, 1)) + rows("2024/01/08", "2024-1-8", 22, (1,))
+    seen = []
+    for batch in (early, own, late):
+        seen += batch
+        spark.createDataFrame(batch, schema).write.mode("append").partitionBy("_yyyymd").parquet(root)
+        start_daily_statistics_stream(spark, root, out, ckpt).awaitTermination()
+        whole = prepare_flows(spark.createDataFrame(seen, schema).drop("_yyyymd"), "147.32.").where("day IS NOT NULL")
+        assert _rows(spark.read.parquet(out)) == _rows(daily_port_statistics(whole))
+    assert {str(r["day"]) for r in spark.read.parquet(out).select("day").distinct().collect()} == {"2024-01-02", "2024-01-05", "2024-01-08"}
