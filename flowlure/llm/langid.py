@@ -11,7 +11,6 @@ n-gram bucket: a whole text costs one look-up per distinct word.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,14 +39,13 @@ REJECTED_SHARE = 0.001
 HIGHEST_THRESHOLD = 0.5
 #: Words that a worker remembers.
 REMEMBERED_WORDS = 300_000
-NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
 
 def ngrams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) of each n-gram; a word counts by its lower-case letters, with its ends marked."""
-    clean = [NOT_LETTERS.sub("", w).lower() for w in words]
+    clean = [(w if w.isalpha() else "".join(filter(str.isalpha, w))).lower() for w in words]
     marked = "".join("<" + w + ">" if w else "" for w in clean)
     points = np.frombuffer(marked.encode("utf-32-le"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(clean)), [len(w) + 2 if w else 0 for w in clean])

@@ -160,3 +160,12 @@ def test_all_are_registered():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(names)
+
+
+def test_letters_are_unicode_letters(spark):
+    """Number signs such as fractions and exponents are no letters: a text of them alone is ``und``."""
+    seen = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(["the plain words of a text", "and more of them here"] * 10)], "doc_id long, text string, lang string, source string")
+    model = langid.fit(seen)
+    asked = spark.createDataFrame([(1, "½ ² 12"), (2, "Ⅷ ⑦ 3"), (3, "½a"), (4, "_ -"), (5, None)], "doc_id long, text string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"] > 0, r["rejected"]) for r in langid.predict(asked, model).collect()}
+    assert found[1] == found[2] == found[4] == found[5] == ("und", False, True) and found[3][0] == "en" or model.languages == []
