@@ -112,7 +112,8 @@ SETS = "doc_id long, n_shingles long, d1 long, d2 long, shared long"
 def sets_with_shared(docs: DataFrame, n: int = 5) -> DataFrame:
     """Per row: doc_id, n_shingles, set digest, and how many of its n-grams occur in another set.
 
-    Occurrences are counted in buckets of the hash range. A task sends each bucket one row of
+    Occurrences are counted in buckets of the hash range; sets are told apart by the first 64
+    bits of their digest. A task sends each bucket one row of
     packed, sorted n-grams per slice of its texts, and gets back counts per document.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -128,7 +129,6 @@ def sets_with_shared(docs: DataFrame, n: int = 5) -> DataFrame:
                 d1, d2 = _digests(h, offsets)
                 sizes = np.diff(offsets)
                 table = np.column_stack([batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(np.int64), sizes, d1, d2])
-                tags = (d1 ^ (d2 >> 32)).astype(np.uint32)
                 owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
                 key = ((h >> np.uint64(LOW_BITS)) * np.uint64(buckets) >> np.uint64(64 - LOW_BITS) << np.uint64(LOW_BITS)) | (h & np.uint64((1 << LOW_BITS) - 1))
                 order = np.argsort(key)
@@ -140,7 +140,7 @@ def sets_with_shared(docs: DataFrame, n: int = 5) -> DataFrame:
                     if cuts[b + 1] > cuts[b]:
                         low = key[some] & np.uint64((1 << LOW_BITS) - 1)
                         mine, place = np.unique(owner[some], return_inverse=True)
-                        rows.append((b, uid, False, len(low), _planes(low), place.astype("<u4" if len(mine) > 65535 else "<u2").tobytes(), np.column_stack([mine, tags[mine]]).astype("<u4").tobytes()))
+                        rows.append((b, uid, False, len(low), _planes(low), place.astype("<u4" if len(mine) > 65535 else "<u2").tobytes(), mine.astype("<u4").tobytes() + d1[mine].astype("<i8").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], SENT_NAMES)
                 uid += 1
 
@@ -150,9 +150,11 @@ def sets_with_shared(docs: DataFrame, n: int = 5) -> DataFrame:
         out = [pd.DataFrame({"uid": known["uid"], "directory": True, "data": known["doc"]})]
         if len(sent):
             low = np.concatenate([_unplanes(r.low, r.n) for r in sent.itertuples()])
-            tables = [np.frombuffer(t, "<u4").reshape(-1, 2) for t in sent["tags"]]
+            sizes = [len(t) // 12 for t in sent["tags"]]
+            tables = [np.frombuffer(t, "<u4", k) for t, k in zip(sent["tags"], sizes)]
+            digests = [np.frombuffer(t, "<i8", k, 4 * k) for t, k in zip(sent["tags"], sizes)]
             places = [np.frombuffer(r.doc, "<u4" if len(t) > 65535 else "<u2").astype(np.int64) for r, t in zip(sent.itertuples(), tables)]
-            tag = np.concatenate([t[p, 1] for t, p in zip(tables, places)])
+            tag = np.concatenate([t[p] for t, p in zip(digests, places)])
             order = np.lexsort((tag, low))
             low, tag = low[order], tag[order]
             fresh = np.concatenate([[True], low[1:] != low[:-1]])
@@ -162,7 +164,7 @@ def sets_with_shared(docs: DataFrame, n: int = 5) -> DataFrame:
             at, data = 0, []
             for t, p in zip(tables, places):
                 found = np.bincount(p, shared[at: at + len(p)], len(t))
-                data.append(np.column_stack([t[:, 0], found]).astype("<u4").tobytes())
+                data.append(np.column_stack([t, found]).astype("<u4").tobytes())
                 at += len(p)
             out.append(pd.DataFrame({"uid": sent["uid"], "directory": False, "data": data}))
         return pd.concat(out)[["uid", "directory", "data"]]

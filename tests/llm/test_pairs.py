@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,18 @@ def test_native_plans(spark, docs):
     """Operators 1 and 6 run no Python."""
     plan = linededup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_digests_that_agree_in_32_bits(spark, docs):
+    """Two linked texts whose digests agree in the low bits that told sets apart before."""
+    words = [f"v{i}" for i in range(42)]
+    texts = [" ".join([*words[:41], f"x{i}"]) for i in range(150_000)]
+    h, offsets = jaccard.ngram_sets(pa.array(texts, pa.large_string()))
+    d1, d2 = jaccard._digests(h, offsets)
+    low = (d1 ^ (d2 >> 32)).astype(np.uint32)
+    order = np.argsort(low, kind="stable")
+    at = np.flatnonzero(low[order][1:] == low[order][:-1])
+    assert len(at)
+    pair = [texts[order[at[0]]], texts[order[at[0] + 1]]]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows([*pair, "other words here"]), docs.schema)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {0: 0, 1: 0, 2: 2}
