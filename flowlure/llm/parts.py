@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +69,7 @@ class PartMemory:
         if new:
             ids = self.encode_many(new)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            fresh = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
+            fresh = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
             base = len(self.slot)
             self.slot.update(zip(new, range(base, base + len(new))))
             self.start = np.concatenate([self.start[:base], len(self.pool) + np.cumsum(sizes) - sizes])
@@ -165,40 +166,48 @@ def library_encoder(file: str, spaced: bool, limit: int = REMEMBERED) -> TextEnc
 class PretokenEncoder:
     """Ids of many parts by the tokenizers library.
 
-    A part of letters with an optional closing full stop or comma is one or two pre-tokens
-    in the byte-level and the lower-casing word vocabularies alike; their ids come straight
-    from the library's model and are remembered, as the same word stands with and without
-    them. Any other part goes through the library's whole chain.
+    Runs of letters, runs of a few signs and single line feeds between them are pre-tokens of
+    their own in the byte-level and the lower-casing word vocabularies alike; their ids come
+    straight from the library's model and are remembered, as the same word stands with and
+    without them. Any other part goes through the library's whole chain.
     """
 
     WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+    LINES = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!#$%&*]*(?:\n[A-Za-zÀ-ÖØ-öø-ÿ]+[.,!#$%&*]*)*")
+    PRETOKEN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,!#$%&*]+|\n")
 
     def __init__(self, tokenizer, spaced: bool, limit: int = REMEMBERED // 2):
         self.tokenizer, self.spaced, self.limit = tokenizer, spaced, limit
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
         self.table = _byte_letters()
 
-    def _letters(self, word: str) -> list[int]:
+    def _letters(self, word: str) -> tuple[int, ...]:
         found = self.known.get(word)
         if found is None:
-            text = word if word.isascii() and not word.startswith(" ") else word.encode().decode("latin-1").translate(self.table)
+            text = word if word.isascii() and word[0] not in " \n" else word.encode().decode("latin-1").translate(self.table)
             if len(self.known) >= self.limit:
                 self.known.clear()
-            found = self.known[word] = [t.id for t in self.tokenizer.model.tokenize(text)]
+            found = self.known[word] = tuple(t.id for t in self.tokenizer.model.tokenize(text))
         return found
 
-    def __call__(self, parts: list[str]) -> list[list[int]]:
+    def __call__(self, parts: list[str]) -> list:
         out: list = [None] * len(parts)
         rest = []
-        match = self.WORD.fullmatch
+        spaced, known, letters = self.spaced, self.known.get, self._letters
+        match, lines, cut = self.WORD.fullmatch, self.LINES.fullmatch, self.PRETOKEN.findall
         for i, part in enumerate(parts):
             m = match(part)
             if m is None:
-                rest.append(i)
+                if lines(part):  # white space is no token of the word vocabulary
+                    found = cut(part) if spaced else [p for p in cut(part.lower()) if p != "\n"]
+                    out[i] = tuple(x for p in found for x in known(p) or letters(p))
+                else:
+                    rest.append(i)
                 continue
             space, word, stop = m.groups()
-            word = space + word if self.spaced else word.lower()
-            out[i] = self._letters(word) + self._letters(stop) if stop else self._letters(word)
+            word = space + word if spaced else word.lower()
+            ids = known(word) or letters(word)
+            out[i] = ids + (known(stop) or letters(stop)) if stop else ids
         if rest:
             for i, e in zip(rest, self.tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False)):
                 out[i] = e.ids

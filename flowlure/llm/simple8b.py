@@ -29,27 +29,31 @@ BLOCK = 1024
 MAGIC = b"S8B1"
 HEAD = struct.Struct("<4sIQQQ")
 
-FILE_SCHEMA = "shard int, part int, n_ids long, doc_ids binary, doc_sizes binary, payload binary"
+FILE_SCHEMA = "shard int, part int, first long, n_ids long, doc_ids binary, doc_sizes binary, payload binary"
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
     """Simple-8b payload of non-negative integers (any order, repeats, none at all)."""
     v = np.ascontiguousarray(values, dtype=np.uint64)
     n = len(v)
-    left = np.minimum(np.arange(n, dtype=np.int64) // block * block + block, n) - np.arange(n)
-    take = np.ones(n, np.int64)
-    kind = np.where(v >> np.uint64(60) > 0, 0, 1).astype(np.uint64)
+    highest = int(v.max()) if n else 0
+    narrow = v.astype(np.uint32) if highest < 1 << 32 else v
+    left = np.resize(np.arange(min(block, max(n, 1)), 0, -1, dtype=np.int32), n)
+    if n % block and n > block:
+        left[n // block * block:] = np.arange(n % block, 0, -1)
+    kind = np.where(v >> np.uint64(60) > 0, 0, 1).astype(np.uint8) if highest >> 60 else np.ones(n, np.uint8)
+    ends = np.zeros(n + 1, np.int32 if n < 1 << 31 else np.int64)
     for s, (count, width) in enumerate(SELECTORS[1:], start=2):
-        wide = (v >> np.uint64(width)) > 0
-        if n - int(wide.sum()) < count:
+        if count > n:
             break
-        ends = np.concatenate([[0], np.cumsum(wide)])
-        fits = np.zeros(n, bool)
-        fits[: n - count + 1] = ends[count:] == ends[: n - count + 1]
-        fits &= left >= count
-        if not fits.any():
-            break
-        take[fits], kind[fits] = count, s
+        fits = left >= count
+        if highest >> width:  # a word's values are narrow where no wide one is counted among them
+            np.cumsum(narrow >= 1 << width, out=ends[1:])
+            fits[: n - count + 1] &= ends[count:] == ends[: n - count + 1]
+            if not fits.any():
+                break
+        kind[fits] = s
+    take = np.array([1, *(c for c, _ in SELECTORS)])[kind]
     # Every block follows its own chain of words; all blocks take a step at once.
     at, steps = np.arange(0, n, block, dtype=np.int64), []
     stops = np.minimum(at + block, n)
@@ -59,7 +63,7 @@ def encode(values: np.ndarray, block: int = BLOCK) -> bytes:
         more = at < stops
         at, stops = at[more], stops[more]
     firsts = np.sort(np.concatenate(steps)) if steps else np.zeros(0, np.int64)
-    kinds = kind[firsts]
+    kinds = kind[firsts].astype(np.uint64)
     words = kinds << np.uint64(60)
     escapes = v[firsts[kinds == 0]]
     words[kinds == 0] |= np.arange(len(escapes), dtype=np.uint64)
@@ -115,15 +119,15 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, shard, part = library_encoder(vocabulary, spaced), TaskContext.get().partitionId(), 0
+        encoder, shard, part, first = library_encoder(vocabulary, spaced), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, texts in slices(batch.column(1)):
                 ids, sizes = with_end_ids(*encoder(texts), end_id)
-                row = [shard, part, len(ids), doc_ids[at: at + len(sizes)].astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), encode(ids)]
-                types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["shard", "part", "n_ids", "doc_ids", "doc_sizes", "payload"])
-                part += 1
+                row = [shard, part, first, len(ids), doc_ids[at: at + len(sizes)].astype("<i8").tobytes(), sizes.astype("<i8").tobytes(), encode(ids)]
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], ["shard", "part", "first", "n_ids", "doc_ids", "doc_sizes", "payload"])
+                part, first = part + 1, first + len(ids)
 
     ordered = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, FILE_SCHEMA).write.parquet(path)
@@ -132,12 +136,9 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json",
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Documents of written files: doc_id, start (ids before it in all files), n_tokens, ids binary (uint32)."""
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    # One row per payload of millions of ids: the running sum is over the file index, not over ids.
+    # A payload says where it begins in its shard, so only shards, one per task that wrote, are added up.
     index = files.groupBy("shard").agg(F.sum("n_ids").alias("shard_ids"))
     before = index.select("shard", (F.sum("shard_ids").over(Window.orderBy("shard")) - F.col("shard_ids")).alias("before"))
-    parts = files.select("shard", "part", "n_ids")
-    within = parts.select("shard", "part", (F.sum("n_ids").over(Window.partitionBy("shard").orderBy("part")) - F.col("n_ids")).alias("inside"))
-    placed = within.join(before, "shard").select("shard", "part", (F.col("before") + F.col("inside")).alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,7 +155,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                         pa.array([ids[ends[i] - sizes[i]: ends[i]].tobytes() for i in some], pa.binary()),
                     ], ["doc_id", "start", "n_tokens", "ids"])
 
-    columns = files.join(placed, ["shard", "part"]).select("first", "doc_ids", "doc_sizes", "payload")
+    columns = files.join(F.broadcast(before), "shard").select((F.col("before") + F.col("first")).alias("first"), "doc_ids", "doc_sizes", "payload")
     return columns.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
