@@ -28,7 +28,7 @@ OPEN_WINDOWS = 64
 #: Partitions whose open windows are merged by one task: at most MERGED * OPEN_WINDOWS * LENGTH ids.
 MERGED = 32
 #: Parts of texts that a worker remembers, beside its open windows.
-REMEMBERED_PARTS = 300_000
+REMEMBERED_PARTS = 500_000
 #: A window's gap smaller than this is padded rather than filled by cutting a piece.
 LEAST_CUT = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
