@@ -75,7 +75,7 @@ def letter_counts(text: Column) -> Column:
     """
     packed = F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
-        count = F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
+        count = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(letter), F.lit("")))  # one byte each
         packed = packed + F.shiftleft(count.bitwiseAND(F.lit(3)).cast("long"), 2 * k)
     low = int("55555555", 16)  # the lower bit of every pair
     return packed.bitwiseXOR(F.shiftright(packed, 1).bitwiseAND(F.lit(low).cast("long")))
@@ -226,7 +226,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(removed)))
     kept = F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
     return joined.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"),
+        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long"),
         "n_removed": F.coalesce(F.size(removed), F.lit(0)).cast("long"),
         "n_near": F.coalesce(F.col(free("near")), F.lit(0)).cast("long"),
         free("left"): kept,
