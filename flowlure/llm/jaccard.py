@@ -224,10 +224,13 @@ def prefixes(segments: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
     ``reach``: how many n-grams other components have; ``place``: the n-gram's, from 1.
     """
     known = segments.join(merged.select(F.col("a").alias("doc"), F.col("b").alias("low")), "doc", "left").withColumn("low", F.coalesce("low", "doc"))
-    grams = known.select("doc", "n", "low", "sketch", F.explode("grams").alias("gram"))
+    grams = known.select("doc", "low", F.explode("grams").alias("gram"))
     common = grams.groupBy("gram").agg(F.count("*").alias("df"), F.min("low").alias("x"), F.max("low").alias("y")).where("x < y").select("gram", "df")
     held = grams.join(common, "gram")
-    gathered = held.groupBy("doc", "n", "low").agg(F.first("sketch").alias("sketch"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("own"))  # one set's n-grams
+    own = held.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("own"))  # one set's n-grams
+    # What belongs to a document joins once per document, not along with each of its n-grams.
+    of = known.groupBy("doc").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.first("sketch").alias("sketch"))
+    gathered = own.join(of, "doc")
     length = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1
     reach = F.size("own")
     room = length - (F.col("n") - reach)
