@@ -28,11 +28,15 @@ COUNTS = ("n_lines", "n_removed", "n_near")
 PLACE = ("doc_id", "text_hash", "line")
 
 
+def _has_word(text: Column) -> Column:
+    return F.ltrim(text, F.lit(" \t\n\x0b\x0c\r")) != ""
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line, text, h1, h2) of every line with a word; ``line`` counts from 0."""
     keyed = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("all"))
     rows = keyed.select("doc_id", "text_hash", F.posexplode("all").alias("line", "text"))
-    return rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
+    return rows.where(_has_word(F.col("text"))).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
@@ -41,12 +45,12 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return found.withColumn("letters", letter_counts(F.col("text")))
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     """(start from 1, size) of segment i of ``parts``; the last ones are one longer where it does not divide."""
     size = F.floor(length / parts).cast("int")
     long_from = parts - F.pmod(length, F.lit(parts))
-    start = size * i + F.greatest(F.lit(i) - long_from, F.lit(0)) + 1
-    return start.cast("int"), size + F.when(F.lit(i) >= long_from, 1).otherwise(0)
+    start = size * i + F.greatest(i - long_from, F.lit(0)) + 1
+    return start.cast("int"), size + F.when(i >= long_from, 1).otherwise(0)
 
 
 def signatures(lines: DataFrame, threshold: int, indexed: bool) -> DataFrame:
@@ -55,17 +59,19 @@ def signatures(lines: DataFrame, threshold: int, indexed: bool) -> DataFrame:
     With a line longer by d than the indexed one, segment i (from 0) can lie only where the
     edits left of it, at most i, and right of it, at most threshold - i, allow.
     """
+    # One row of constants per key: twelve expressions side by side make a method too long for the JVM to compile.
     parts = threshold + 1
-    size = F.col("size")
-    out = []
+    specs = []
     for d in range(1 if indexed else threshold + 1):
-        length = size - d
         for i in range(parts):
-            start, width = _segment(length, i, parts)
             low, high = max(-i, d - (threshold - i)), min(i, d + (threshold - i))
-            for shift in (0,) if indexed else range(low, high + 1):
-                out.append(F.xxhash64(length, F.lit(i), F.substr("text", start + shift, width)))
-    return lines.select(F.col("h1").alias("id"), "letters", F.explode(F.array(*out)).alias("key"))
+            specs += [(d, i, shift) for shift in ((0,) if indexed else range(low, high + 1))]
+    spec = F.inline(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d, i, shift in specs]))
+    rows = lines.select("h1", "text", "size", "letters", spec)
+    length = F.col("size") - F.col("d")
+    start, width = _segment(length, F.col("i"), parts)
+    key = F.xxhash64(length, "i", F.substr("text", start + F.col("shift"), width))
+    return rows.select(F.col("h1").alias("id"), "letters", key.alias("key"))
 
 
 def letter_counts(text: Column) -> Column:
@@ -164,29 +170,29 @@ def near(a: Column, b: Column, threshold: int) -> Column:
 
 
 def pieces_kept(a: Column, b: Column, threshold: int) -> Column:
-    """Whether all but ``threshold`` of PIECES pieces of the first string lie somewhere in the second.
+    """Whether all but ``threshold`` of PIECES equal pieces of the first string lie somewhere in the second.
 
     Each edit touches one piece at most, so this holds for all pairs within the threshold;
     it spares the edit distance most pairs that share a segment and nothing else.
     """
-    size = F.length(a)
-    found = []
-    for i in range(PIECES):
-        start, width = _segment(size, i, PIECES)
-        found.append(F.contains(b, F.substr(a, start, width)).cast("int"))
-    return reduce(lambda x, y: x + y, found) >= PIECES - threshold
+    width = F.floor(F.length(a) / PIECES).cast("int")  # what is left at the end belongs to no piece
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.contains(b, F.substr(a, i * width + 1, width)))
+    return F.size(F.filter(pieces, lambda found: found)) >= PIECES - threshold
 
 
 def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b, first_a, first_b, and second hashes) of distinct lines within ``threshold`` edits."""
     long = lines.withColumn("size", F.length("text")).where(F.col("size") >= max(LEAST_CHARS, threshold + 1))
     pairs = keep(candidates(long.select("h1", "text", "size", "letters"), threshold), "line-pairs")
-    a = lines.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("first").alias("first_a"), F.col("text").alias("text_a"))
-    b = lines.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("first_b"), F.col("text").alias("text_b"))
+    met = keep(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "line-ids")
+    # Only lines that met another one bring their text; the bytes of their ids tell Spark whether to broadcast them.
+    told = keep(lines.join(met, "h1", "left_semi"), "line-texts")
+    a = told.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("first").alias("first_a"), F.col("text").alias("text_a"))
+    b = told.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("first_b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b")
     likely = both.where(pieces_kept(F.col("text_a"), F.col("text_b"), threshold))
     found = keep(likely.where(near(F.col("text_a"), F.col("text_b"), threshold)).select("a", "a2", "first_a", "b", "b2", "first_b"), "near-lines")
-    drop_kept(pairs)
+    drop_kept(pairs, met, told)
     return found
 
 
@@ -222,9 +228,9 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     lost = removed_lines(docs, threshold).select(F.col("doc_id").alias(free("doc_key")), F.col("text_hash").alias(text_hash), F.col("removed").alias(removed), F.col("near").alias(free("near")))
     keyed = docs.withColumn(free("text_key"), F.xxhash64("text"))
     joined = keyed.join(lost, (keyed["doc_id"].cast("long") == F.col(free("doc_key"))) & (F.col(free("text_key")) == F.col(text_hash)), "left")
-    parts = F.split("text", "\n", -1)
-    left = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(removed)))
-    kept = F.when(F.col(removed).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    left = lambda parts: F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(removed)))
+    rest = _let(F.split("text", "\n", -1), lambda parts: F.array_join(F.transform(left(parts), lambda i: F.get(parts, i)), "\n"))
+    kept = F.when(F.col(removed).isNull(), F.col("text")).otherwise(rest)
     return joined.withColumns({
         "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long"),
         "n_removed": F.coalesce(F.size(removed), F.lit(0)).cast("long"),
