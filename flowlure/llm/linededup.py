@@ -40,9 +40,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2, first, copies, text, letters): each distinct line with its first place."""
-    found = lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), F.min("text").alias("text"))
-    return found.withColumn("letters", letter_counts(F.col("text")))
+    """(h1, h2, first, copies, text): each distinct line with its first place."""
+    return lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), F.min("text").alias("text"))
 
 
 def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
@@ -53,8 +52,8 @@ def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
     return start.cast("int"), size + F.when(i >= long_from, 1).otherwise(0)
 
 
-def signatures(lines: DataFrame, threshold: int, indexed: bool) -> DataFrame:
-    """(id, letters, key): the segments of each line (``indexed``), or the substrings that it probes with.
+def signatures(lines: DataFrame, threshold: int) -> DataFrame:
+    """(id, key, indexed): the substrings that each line probes with; its own segments are the ``indexed`` ones among them.
 
     With a line longer by d than the indexed one, segment i (from 0) can lie only where the
     edits left of it, at most i, and right of it, at most threshold - i, allow.
@@ -62,16 +61,35 @@ def signatures(lines: DataFrame, threshold: int, indexed: bool) -> DataFrame:
     # One row of constants per key: twelve expressions side by side make a method too long for the JVM to compile.
     parts = threshold + 1
     specs = []
-    for d in range(1 if indexed else threshold + 1):
+    for d in range(threshold + 1):
         for i in range(parts):
             low, high = max(-i, d - (threshold - i)), min(i, d + (threshold - i))
-            specs += [(d, i, shift) for shift in ((0,) if indexed else range(low, high + 1))]
+            specs += [(d, i, shift) for shift in range(low, high + 1)]
     spec = F.inline(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d, i, shift in specs]))
-    rows = lines.select("h1", "text", "size", "letters", spec)
+    # Substrings of bytes are found at once, those of strings by a walk from their begin: bytes where each is a letter.
+    plain = F.when(F.octet_length("text") == F.col("size"), F.col("text").cast("binary"))
+    rows = lines.select("h1", "text", "size", plain.alias("bytes")).select("h1", "text", "size", "bytes", spec)
     length = F.col("size") - F.col("d")
     start, width = _segment(length, F.col("i"), parts)
-    key = F.xxhash64(length, "i", F.substr("text", start + F.col("shift"), width))
-    return rows.select(F.col("h1").alias("id"), "letters", key.alias("key"))
+    place = start + F.col("shift")
+    key = F.when(F.col("bytes").isNull(), F.xxhash64(length, "i", F.substr("text", place, width))).otherwise(F.xxhash64(length, "i", F.substr("bytes", place, width)))
+    return rows.select(F.col("h1").alias("id"), key.alias("key"), ((F.col("d") == 0) & (F.col("shift") == 0)).alias("indexed"))
+
+
+def shared_signatures(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures (id, key, indexed) that two lines have, one of them as a segment, and the rows of these lines, with letters.
+
+    Most lines share nothing: they are out before anything but a hash and an id of theirs moves.
+    Both tables are kept ones.
+    """
+    every = signatures(lines, threshold)
+    ends = every.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("met"))
+    keys = keep(ends.where((F.col("low") < F.col("high")) & F.col("met")).select("key"), "line-keys")
+    shared = keep(every.join(keys, "key", "left_semi"), "line-signatures")
+    ids = keep(shared.select(F.col("id").alias("h1")).distinct(), "line-ids")
+    told = keep(lines.join(ids, "h1", "left_semi").withColumn("letters", letter_counts(F.col("text"))), "line-texts")
+    drop_kept(keys, ids)
+    return shared, told
 
 
 def letter_counts(text: Column) -> Column:
@@ -94,8 +112,15 @@ def alike_letters(x: Column, y: Column, threshold: int) -> Column:
 
 def candidates(lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b): ids of lines that share a segment at admissible places and nearly all letters, a < b."""
-    index = signatures(lines, threshold, True).select("key", F.col("id").alias("x"), F.col("letters").alias("lx"))
-    probe = signatures(lines, threshold, False).select("key", F.col("id").alias("y"), F.col("letters").alias("ly"))
+    return meeting(*shared_signatures(lines, threshold), threshold)
+
+
+def meeting(shared: DataFrame, told: DataFrame, threshold: int) -> DataFrame:
+    """``candidates`` among lines with shared signatures."""
+    letters = told.select(F.col("h1").alias("id"), "letters")
+    signed = shared.join(letters, "id")
+    index = signed.where("indexed").select("key", F.col("id").alias("x"), F.col("letters").alias("lx"))
+    probe = signed.select("key", F.col("id").alias("y"), F.col("letters").alias("ly"))
     met = index.join(probe, "key").where((F.col("x") != F.col("y")) & alike_letters(F.col("lx"), F.col("ly"), threshold))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -176,23 +201,21 @@ def pieces_kept(a: Column, b: Column, threshold: int) -> Column:
     it spares the edit distance most pairs that share a segment and nothing else.
     """
     width = F.floor(F.length(a) / PIECES).cast("int")  # what is left at the end belongs to no piece
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.contains(b, F.substr(a, i * width + 1, width)))
-    return F.size(F.filter(pieces, lambda found: found)) >= PIECES - threshold
+    found = [F.contains(b, F.substr(a, width * i + 1, width)).cast("int") for i in range(PIECES)]
+    return reduce(lambda x, y: x + y, found) >= PIECES - threshold
 
 
 def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b, first_a, first_b, and second hashes) of distinct lines within ``threshold`` edits."""
     long = lines.withColumn("size", F.length("text")).where(F.col("size") >= max(LEAST_CHARS, threshold + 1))
-    pairs = keep(candidates(long.select("h1", "text", "size", "letters"), threshold), "line-pairs")
-    met = keep(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "line-ids")
-    # Only lines that met another one bring their text; the bytes of their ids tell Spark whether to broadcast them.
-    told = keep(lines.join(met, "h1", "left_semi"), "line-texts")
+    shared, told = shared_signatures(long, threshold)
+    pairs = keep(meeting(shared, told, threshold), "line-pairs")
     a = told.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("first").alias("first_a"), F.col("text").alias("text_a"))
     b = told.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("first_b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b")
     likely = both.where(pieces_kept(F.col("text_a"), F.col("text_b"), threshold))
     found = keep(likely.where(near(F.col("text_a"), F.col("text_b"), threshold)).select("a", "a2", "first_a", "b", "b2", "first_b"), "near-lines")
-    drop_kept(pairs, met, told)
+    drop_kept(pairs, shared, told)
     return found
 
 
