@@ -72,7 +72,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
 
     ``vectors`` has vec_id and v (integer arrays; shorter ones count as padded with zeros).
     Candidates are all rows but those of the query's own vec_id; ties go to the smaller
-    vec_id; a query with fewer candidates gets all; an empty table gives no rows.
+    vec_id; a query with fewer candidates gets all; an empty table gives no rows. Of queries
+    alike in vec_id the one with the least vector asks for all, so ranks stay unique; as
+    candidates each of them counts.
     """
     spark = vectors.sparkSession
     stats = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
@@ -98,7 +100,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         F.count("*").alias("size"), F.max("away").alias("radius"),
         F.max(F.when(F.col("query"), F.col("away"))).alias("q_radius"), F.max(F.when(F.col("query"), F.col("norm"))).alias("q_norm"),
     ).toPandas().sort_values("cell")  # at most MOST_PIVOTS rows
-    plan = _cell_pairs(pivots, summary, k)
+    asking = cells.where("query").groupBy("vec_id").agg(F.min(F.struct("v", "cell", "norm")).alias("least"), F.count("*").alias("copies"))
+    own = asking.agg(F.max("copies")).first()[0] or 1  # rows that a query leaves out, at most
+    plan = _cell_pairs(pivots, summary, k + own)
     parts = {int(c): max(1, -(-int(s) // PART_ROWS)) for c, s in zip(summary["cell"], summary["size"])}
     needs = {int(g): [int(j) for j in js] for g, js in plan.items()}
     radius = dict(zip(summary["cell"].astype(int), summary["radius"]))
@@ -117,8 +121,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
                 rows = [(j, p) for j in js for p in range(parts[j])]
                 yield pd.DataFrame({"vec_id": vec_id, "v": [v] * len(rows), "cell": [r[0] for r in rows], "part": [r[1] for r in rows]})
 
-    needed_floor = _floors(pivots, summary, k)
-    queries = cells.where("query").mapInPandas(send, "vec_id long, v array<long>, cell int, part int")
+    needed_floor = _floors(pivots, summary, k + own)
+    queries = asking.select("vec_id", "least.*").mapInPandas(send, "vec_id long, v array<long>, cell int, part int")
     sizes = F.create_map(*[F.lit(x) for c, p in parts.items() for x in (c, p)])
     data = cells.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), sizes[F.col("cell")].cast("long")).cast("int").alias("part"))
 
@@ -141,20 +145,20 @@ def _cell_bounds(pivots: np.ndarray, summary: pd.DataFrame) -> tuple[pd.DataFram
     return groups, middle, spread, summary["size"].to_numpy()
 
 
-def _floors(pivots: np.ndarray, summary: pd.DataFrame, k: int) -> dict[int, float]:
-    """Per cell of queries, a score that each one's k-th best surely reaches (-inf: fewer rows)."""
+def _floors(pivots: np.ndarray, summary: pd.DataFrame, rows: int) -> dict[int, float]:
+    """Per cell of queries, a score that ``rows`` vectors surely reach, a query's own ones among them (-inf: fewer rows)."""
     groups, middle, spread, size = _cell_bounds(pivots, summary)
     out = {}
     for i, g in enumerate(groups["cell"]):
         low = middle[i] - spread[i]
         order = np.argsort(-low)
-        reached = np.flatnonzero(np.cumsum(size[order]) >= k + 1)  # one row may be the query itself
+        reached = np.flatnonzero(np.cumsum(size[order]) >= rows)
         out[int(g)] = float(low[order[reached[0]]]) if len(reached) else -math.inf
     return out
 
 
-def _cell_pairs(pivots: np.ndarray, summary: pd.DataFrame, k: int) -> dict[int, np.ndarray]:
+def _cell_pairs(pivots: np.ndarray, summary: pd.DataFrame, rows: int) -> dict[int, np.ndarray]:
     groups, middle, spread, _ = _cell_bounds(pivots, summary)
-    floors = _floors(pivots, summary, k)
+    floors = _floors(pivots, summary, rows)
     cells = summary["cell"].to_numpy()
     return {int(g): cells[middle[i] + spread[i] >= floors[int(g)]] for i, g in enumerate(groups["cell"])}

@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,25 @@ def test_top_k_splits_large_cells(spark, monkeypatch):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute_top(vectors, 5, lambda q: q % 50 == 0)
 
 
+def test_top_k_of_repeated_ids(spark, tmp_path):
+    """Copies of an id, alike and different, ask once and are all left out for their own id; SQL agrees."""
+    chance = random.Random(3)
+    vectors = [(i, [chance.gauss(4.0 * (i % 4), 0.2), chance.gauss(2.0, 0.2)]) for i in range(200)]
+    vectors += [(50, [12.0, 2.0])] * 30 + [(50, [12.0, 2.5]), (7, [12.0, 2.0]), (7, [12.0, 2.0]), (100, [0.0, 1.0]), (100, [-1.0, 5.0])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in queries.op7_topk(spark, str(tmp_path)).collect())
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors]
+    want = []
+    for q in {i for i, _ in whole if i % 50 == 0}:
+        asks = min(v for i, v in whole if i == q)
+        best = sorted((-sum(a * b for a, b in zip(asks, v)), i) for i, v in whole if i != q)[:5]
+        want += [(q, rank, i, -score) for rank, (score, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+    sql = queries.ORACLE_SQL["op7_topk"].replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(duckdb.sql(f"SELECT query_id, rank, vec_id, score FROM ({sql})").fetchall()) == got
+
+
 def test_pipeline_stages(spark, tricky, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     documents = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select(*corpus_pipeline.COLUMNS)

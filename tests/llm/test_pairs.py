@@ -190,6 +190,17 @@ def test_line_dedup(spark, docs, no_docs, tricky):
     assert got.where("n_near > 0").count() > 0
 
 
+def test_line_dedup_of_letters_of_several_bytes(spark, docs):
+    """Near lines of which one, both or none are plain ASCII, at edits in each segment; a very long text of lines."""
+    base = "the quick brown fox jumps over the lazy dog by the river"
+    edits = [base, base.replace("quick", "qu\u00efck"), base.replace("fox", "f\u00f6\U0001f600x"), base.replace("river", "riv\u00e9r"), "\u00e9" + base, base[1:] + "\u00df", base + "abc", base.replace("o", "\u00f6")]
+    texts = [*edits, "\n".join(f"a line {random.Random(i).random()} like no other" for i in range(2000)), "\n".join(["x", *edits[::-1], "y"] * 3)]
+    table = spark.createDataFrame(rows(texts), docs.schema).repartition(4)
+    got = [r["text"] for r in linededup.dedup_lines(table).orderBy("doc_id").collect()]
+    assert got[8] == texts[8]
+    assert got[:8] + got[9:] == kept_lines(spark, texts[:8] + texts[9:])
+
+
 def test_line_dedup_without_ids(spark):
     table = spark.createDataFrame([(None, LINE.format(1)), (1, LINE.format(1)), (1, LINE.format(1)), (2, LINE.format(1))], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in linededup.dedup_lines(table).collect()) == [(0, LINE.format(1)), (1, LINE.format(1)), (1, LINE.format(1)), (2, "")]
