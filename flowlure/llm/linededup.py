@@ -85,7 +85,8 @@ def shared_signatures(lines: DataFrame, threshold: int) -> tuple[DataFrame, Data
     every = signatures(lines, threshold)
     ends = every.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("met"))
     keys = keep(ends.where((F.col("low") < F.col("high")) & F.col("met")).select("key"), "line-keys")
-    shared = keep(every.join(keys, "key", "left_semi"), "line-signatures")
+    # Keys grow with the lines: one plan at any size, and Spark splits a key that many lines have.
+    shared = keep(every.join(keys.hint("merge"), "key", "left_semi"), "line-signatures")
     ids = keep(shared.select(F.col("id").alias("h1")).distinct(), "line-ids")
     told = keep(lines.join(ids, "h1", "left_semi").withColumn("letters", letter_counts(F.col("text"))), "line-texts")
     drop_kept(keys, ids)
