@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlure.llm.tables import drop_kept, keep
@@ -32,16 +32,31 @@ def _has_word(text: Column) -> Column:
     return F.ltrim(text, F.lit(" \t\n\x0b\x0c\r")) != ""
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text) of the documents that have lines with a place."""
+    return docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line, text, h1, h2) of every line with a word; ``line`` counts from 0."""
-    keyed = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.split("text", "\n", -1).alias("all"))
-    rows = keyed.select("doc_id", "text_hash", F.posexplode("all").alias("line", "text"))
+    rows = _keyed(docs).select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     return rows.where(_has_word(F.col("text"))).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), "text")})
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """(h1, h2, first, copies, text): each distinct line with its first place."""
-    return lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"), F.min("text").alias("text"))
+    """(h1, h2, first, copies): each distinct line with its first place. Texts stay where they are."""
+    return lines.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("copies"))
+
+
+def texts_at(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (h1, h2, first) with the text of the line that stands there.
+
+    Documents move as they are and only the wanted lines of them are told apart, by one plan at any size.
+    """
+    wanted = places.groupBy("first.doc_id", "first.text_hash").agg(F.collect_list(F.struct("h1", "h2", "first")).alias("wanted"))
+    told = _keyed(docs).join(wanted.hint("merge"), ["doc_id", "text_hash"])
+    found = _let(F.split("text", "\n", -1), lambda parts: F.transform("wanted", lambda p: F.struct(p["h1"].alias("h1"), p["h2"].alias("h2"), p["first"].alias("first"), F.get(parts, p["first"]["line"]).alias("text"))))
+    return told.select(F.inline(found)).dropDuplicates(["h1", "h2"])  # a document may be there more than once
 
 
 def _segment(length: Column, i: Column, parts: int) -> tuple[Column, Column]:
@@ -76,21 +91,15 @@ def signatures(lines: DataFrame, threshold: int) -> DataFrame:
     return rows.select(F.col("h1").alias("id"), key.alias("key"), ((F.col("d") == 0) & (F.col("shift") == 0)).alias("indexed"))
 
 
-def shared_signatures(lines: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """The signatures (id, key, indexed) that two lines have, one of them as a segment, and the rows of these lines, with letters.
+def shared_signatures(lines: DataFrame, threshold: int) -> DataFrame:
+    """The signatures (key, id, indexed) that two lines have, one of them as a segment; a kept table.
 
     Most lines share nothing: they are out before anything but a hash and an id of theirs moves.
-    Both tables are kept ones.
+    Lines may come more than once.
     """
-    every = signatures(lines, threshold)
-    ends = every.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max("indexed").alias("met"))
-    keys = keep(ends.where((F.col("low") < F.col("high")) & F.col("met")).select("key"), "line-keys")
-    # Keys grow with the lines: one plan at any size, and Spark splits a key that many lines have.
-    shared = keep(every.join(keys.hint("merge"), "key", "left_semi"), "line-signatures")
-    ids = keep(shared.select(F.col("id").alias("h1")).distinct(), "line-ids")
-    told = keep(lines.join(ids, "h1", "left_semi").withColumn("letters", letter_counts(F.col("text"))), "line-texts")
-    drop_kept(keys, ids)
-    return shared, told
+    alike = Window.partitionBy("key")
+    every = signatures(lines, threshold).withColumns({"low": F.min("id").over(alike), "high": F.max("id").over(alike), "met": F.max("indexed").over(alike)})
+    return keep(every.where((F.col("low") < F.col("high")) & F.col("met")).groupBy("key", "id").agg(F.max("indexed").alias("indexed")), "line-signatures")
 
 
 def letter_counts(text: Column) -> Column:
@@ -113,7 +122,7 @@ def alike_letters(x: Column, y: Column, threshold: int) -> Column:
 
 def candidates(lines: DataFrame, threshold: int) -> DataFrame:
     """(a, b): ids of lines that share a segment at admissible places and nearly all letters, a < b."""
-    return meeting(*shared_signatures(lines, threshold), threshold)
+    return meeting(shared_signatures(lines, threshold), lines.withColumn("letters", letter_counts(F.col("text"))), threshold)
 
 
 def meeting(shared: DataFrame, told: DataFrame, threshold: int) -> DataFrame:
@@ -206,10 +215,14 @@ def pieces_kept(a: Column, b: Column, threshold: int) -> Column:
     return reduce(lambda x, y: x + y, found) >= PIECES - threshold
 
 
-def near_lines(lines: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, first_a, first_b, and second hashes) of distinct lines within ``threshold`` edits."""
-    long = lines.withColumn("size", F.length("text")).where(F.col("size") >= max(LEAST_CHARS, threshold + 1))
-    shared, told = shared_signatures(long, threshold)
+def near_lines(docs: DataFrame, distinct: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, first_a, first_b, and second hashes) of the ``distinct`` lines of ``docs`` within ``threshold`` edits."""
+    long = lines_of(docs).withColumn("size", F.length("text")).where(F.col("size") >= max(LEAST_CHARS, threshold + 1))
+    shared = shared_signatures(long, threshold)
+    # Ids grow with the lines: one plan at any size.
+    ids = shared.select(F.col("id").alias("h1")).distinct()
+    places = distinct.select("h1", "h2", "first").join(ids.hint("merge"), "h1", "left_semi")
+    told = keep(texts_at(docs, places).withColumn("letters", letter_counts(F.col("text"))), "line-texts")
     pairs = keep(meeting(shared, told, threshold), "line-pairs")
     a = told.select(F.col("h1").alias("a"), F.col("h2").alias("a2"), F.col("first").alias("first_a"), F.col("text").alias("text_a"))
     b = told.select(F.col("h1").alias("b"), F.col("h2").alias("b2"), F.col("first").alias("first_b"), F.col("text").alias("text_b"))
@@ -224,7 +237,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, removed, near): numbers of the lines to remove, and how many of them are not equal to an earlier line."""
     lines = lines_of(docs)
     distinct = keep(distinct_lines(lines), "lines")
-    near = near_lines(distinct, threshold)
+    near = near_lines(docs, distinct, threshold)
     partners = near.select(F.col("a").alias("h1"), F.col("a2").alias("h2"), F.col("first_b").alias("other")).unionByName(near.select(F.col("b").alias("h1"), F.col("b2").alias("h2"), F.col("first_a").alias("other")))
     earliest = partners.groupBy("h1", "h2").agg(F.min("other").alias("other"))
     # Only lines that occur again, or have a partner, can lose an occurrence.

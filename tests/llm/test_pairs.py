@@ -206,6 +206,28 @@ def test_line_dedup_without_ids(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in linededup.dedup_lines(table).collect()) == [(0, LINE.format(1)), (1, LINE.format(1)), (1, LINE.format(1)), (2, "")]
 
 
+def test_line_dedup_moves_few_texts(spark, docs, monkeypatch):
+    """Only texts of lines that share a segment are kept beside the input, by one plan at any size; copies of documents change nothing."""
+    chance, kept, plans = random.Random(9), {}, {}
+    lines = [" ".join(f"{chance.getrandbits(64):x}" for _ in range(20)) for _ in range(400)]
+    texts = ["\n".join(lines[i:i + 40]) for i in range(0, 400, 40)] + [lines[7] + "xy", lines[3] + "\n" + lines[8][1:], lines[9] + "xyz"]
+    keep = linededup.keep
+
+    def watched(df, name):
+        out = keep(df, name)
+        kept[name] = sum(f.getLen() for f in spark._jvm.org.apache.hadoop.fs.Path(out._llm_path).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(out._llm_path)))
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(linededup, "keep", watched)
+    table = spark.createDataFrame(rows(texts) + rows(texts)[8:], docs.schema).repartition(3)
+    got = [r["text"] for r in linededup.dedup_lines(table).orderBy("doc_id").collect()]
+    left = [*texts[:10], "", "", texts[12]]  # three edits are too many
+    assert got == [x for i, t in enumerate(left) for x in [t] * (1 + (i >= 8))]
+    assert kept["lines"] + kept["line-texts"] < sum(map(len, texts)) / 3
+    assert "Broadcast" not in plans["line-texts"]
+
+
 def test_native_plans(spark, docs):
     """Operators 1 and 6 run no Python."""
     plan = linededup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
